@@ -34,14 +34,17 @@ def query(select: str) -> str:
         if name not in needed:
             needed.add(name)
             todo += [n for n in _used(_BLOCKS[name]) if n != name]
+    body = select.strip()
     if not needed:
-        return select.strip()
+        return body
     parts = [
         f"{name}{_BLOCKS[name]}" if _BLOCKS[name].startswith("(") else f"{name} AS (\n{_BLOCKS[name]}\n)"
         for name in _BLOCKS
         if name in needed
     ]
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select.strip()
+    own = body.startswith("WITH ")
+    joint = ",\n" if own else "\n"
+    return "WITH RECURSIVE " + ",\n".join(parts) + joint + (body[len("WITH ") :] if own else body)
 
 
 def r6(expr: str) -> str:

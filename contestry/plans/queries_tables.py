@@ -711,10 +711,6 @@ def _(t: Tables):
 # --- features ------------------------------------------------------------------------------------
 
 
-def _features(t: Tables):
-    return features.build_features(t.contests, t.competitors, t.ratings, t.history)
-
-
 _BOOLS = ("title_fight", "swapped", "debut_matchup", "stance_mismatch") + tuple(
     f"{n}_{s}" for s in "ab" for n in ("reach_missing", "dob_missing", "southpaw", "debut")
 )
@@ -727,7 +723,7 @@ _FEATURE_SQL = f"""contest_id, {_DAY} AS date, swapped, y_winner, y_method, y_fi
 
 @register("features", f"SELECT {_FEATURE_SQL} FROM features")
 def _(t: Tables):
-    return rounded(_features(t))
+    return rounded(features.build_features(t.contests, t.competitors, t.ratings, t.history))
 
 
 def _scored(t: Tables):
@@ -752,5 +748,4 @@ def _scored(t: Tables):
 
 
 scored_table = _scored
-feature_table = _features
 train_rows = _train

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.operators import history, predictions, ratings
+from contestry.operators import features, history, predictions, ratings
 from contestry.plans import oracle, views
 from contestry.session import materialise
 
@@ -76,6 +76,16 @@ class Tables:
     def snapshots(self) -> DataFrame:
         return history.build_snapshots(self.contests, self.stats, self.ratings)
 
+    @cached_property
+    def features(self) -> DataFrame:
+        """The stored feature table."""
+        return self.stored(
+            "features",
+            lambda: materialise(
+                features.build_features(self.contests, self.competitors, self.ratings, self.history), "features"
+            ),
+        )
+
     @cached_property
     def log(self) -> DataFrame:
         """The prediction log of all cards, stamped a week before each event."""
