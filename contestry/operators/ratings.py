@@ -24,8 +24,8 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,7 +149,6 @@ class _Round:
         ]
         # Each value is sent exactly once, so "first non-null" is the only non-null.
         self.merge = [F.first(c, ignorenulls=True).alias(c) for c in known[1:]]
-        self.n_done = F.count_if("done").alias("n_done")
 
         def message(side: str) -> Column:
             target = F.col(f"contest.next_{side}")
@@ -179,37 +178,78 @@ class _Round:
 
 
 def _folder(params: Sequence[R.RatingParams], tracks: Sequence[str]) -> Callable:
-    """Task-side fold of one slice in date order, streaming over Arrow batches."""
-    k_early = np.array([p.k_early for p in params])
-    k_late = np.array([p.k_late for p in params])
-    early = np.array([p.early_contests for p in params])
-    bonus = np.array([p.finish_bonus for p in params])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: dict[str, np.ndarray] = {}
+    """Task-side fold of one slice in date order, a batch at a time.
 
-        def entering(competitor: str, given: dict | None) -> np.ndarray:
-            if competitor in current:
-                return current[competitor]
-            return np.array([given[t] for t in tracks], dtype=float)
+    Contests of a batch that share no competitor are rated together as arrays
+    of shape (contests, tracks, parameter sets); the ratings of the slice's
+    competitors are all that is kept between batches.
+    """
+    k_early, k_late, bonus = (
+        np.array([getattr(p, name) for p in params]) for name in ("k_early", "k_late", "finish_bonus")
+    )
+    early = np.array([p.early_contests for p in params])
+    n_tracks, n_sets = len(tracks), len(params)
+
+    def given(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that come with a rating, and these ratings."""
+        rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        values = [column.take(pa.array(rows)).field(t).flatten().to_numpy() for t in tracks]
+        return rows, np.stack([v.reshape(len(rows), n_sets) for v in values], axis=1)
+
+    def ratings(values: np.ndarray) -> pa.StructArray:
+        offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * n_sets)
+        lists = [
+            pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values[:, i]).ravel()))
+            for i in range(n_tracks)
+        ]
+        return pa.StructArray.from_arrays(lists, names=list(tracks))
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[str, int] = {}
+        state = np.empty((0, n_tracks, n_sets))
         for batch in batches:
-            posts: dict[str, list] = {"pre_a": [], "pre_b": [], "post_a": [], "post_b": []}
-            for c, given_a, given_b in zip(batch["contest"], batch["pre_a"], batch["pre_b"]):
-                id_a, id_b = c["competitor_a_id"], c["competitor_b_id"]
-                pre_a, pre_b = entering(id_a, given_a), entering(id_b, given_b)
+            contest = batch.column("contest")
+            n = len(contest)
+
+            def field(name: str) -> np.ndarray:
+                return contest.field(name).to_numpy(zero_copy_only=False)
+
+            codes = {
+                s: np.array([index.setdefault(c, len(index)) for c in contest.field(f"competitor_{s}_id").to_pylist()])
+                for s in "ab"
+            }
+            state = np.concatenate([state, np.empty((len(index) - len(state), n_tracks, n_sets))])
+            for s in "ab":
+                rows, values = given(batch.column(f"pre_{s}"))
+                state[codes[s][rows]] = values
+            # A contest's turn: one after the latest turn of its two competitors.
+            turn, latest = np.empty(n, dtype=int), {}
+            for i, (x, y) in enumerate(zip(codes["a"].tolist(), codes["b"].tolist())):
+                turn[i] = max(latest.get(x, 0), latest.get(y, 0))
+                latest[x] = latest[y] = turn[i] + 1
+            share, score = field("share"), field("score_a")[:, None, None]
+            weight = {"overall": np.ones(n), "striking": share, "grappling": 1.0 - share}
+            weights = np.stack([weight[t] for t in tracks], axis=1)[:, :, None]
+            lift = np.where(field("finish").astype(bool)[:, None], bonus, 1.0)
+            k = {
+                s: (np.where(field(f"ordinal_{s}")[:, None] - 1 < early, k_early, k_late) * lift)[:, None, :]
+                for s in "ab"
+            }
+            out = {name: np.empty((n, n_tracks, n_sets)) for name in ("pre_a", "pre_b", "post_a", "post_b")}
+            by_turn = np.argsort(turn, kind="stable")
+            cuts = np.flatnonzero(np.diff(turn[by_turn])) + 1
+            for rows in np.split(by_turn, cuts):
+                a, b = codes["a"][rows], codes["b"][rows]
+                pre_a, pre_b = state[a], state[b]
                 expected = 1.0 / (1.0 + 10.0 ** ((pre_b - pre_a) / 400.0))
-                share = np.array([{"overall": 1.0, "striking": c["share"], "grappling": 1.0 - c["share"]}[t] for t in tracks])
-                lift = bonus if c["finish"] else 1.0
-                k_a = np.where(c["ordinal_a"] - 1 < early, k_early, k_late) * lift
-                k_b = np.where(c["ordinal_b"] - 1 < early, k_early, k_late) * lift
-                score = c["score_a"]
-                post_a = pre_a + k_a * share[:, None] * (score - expected)
-                post_b = pre_b + k_b * share[:, None] * ((1.0 - score) - (1.0 - expected))
-                current[id_a], current[id_b] = post_a, post_b
-                for name, value in zip(posts, (pre_a, pre_b, post_a, post_b)):
-                    posts[name].append(dict(zip(tracks, value)))
-            yield pd.DataFrame({"contest_id": batch["contest_id"], "contest": batch["contest"], **posts})
+                won, w = score[rows], weights[rows]
+                post_a = pre_a + k["a"][rows] * w * (won - expected)
+                post_b = pre_b + k["b"][rows] * w * ((1.0 - won) - (1.0 - expected))
+                state[a], state[b] = post_a, post_b
+                for name, value in zip(out, (pre_a, pre_b, post_a, post_b)):
+                    out[name][rows] = value
+            columns = [batch.column("contest_id"), contest, *[ratings(v) for v in out.values()]]
+            yield pa.RecordBatch.from_arrays(columns, names=["contest_id", "contest", *out])
 
     return fold
 
@@ -261,15 +301,9 @@ def rate(
     while n_left and n_narrow < (1 if n_left <= slice_rows else NARROW_ROUNDS):
         level += 1
         fed = prepared.filter(F.col("feed") == level) if level in feeds else None
-        seen = Observation()
-        (
-            state_before(level, fed)
-            .select(*step.update)
-            .observe(seen, step.n_done)
-            .write.partitionBy("done")
-            .parquet(f"{root}/level={level}")
-        )
-        n_done = seen.get["n_done"]
+        now = state_before(level, fed).select(*step.update)
+        now.write.partitionBy("done").parquet(f"{root}/level={level}")
+        n_done = written(level).filter("done").count()  # read off the file footers
         n_left -= n_done
         n_narrow = n_narrow + 1 if n_done < min_round else 0
 
@@ -300,7 +334,7 @@ def _fold_slices(rest: DataFrame, root: str, level: int, step: _Round, fold: Cal
         (
             part.repartition(1)
             .sortWithinPartitions("contest.date", "contest_id")
-            .mapInPandas(fold, out_type)
+            .mapInArrow(fold, out_type)
             .withColumn("done", F.lit(True))
             .write.partitionBy("done")
             .parquet(f"{root}/level={level + number}")

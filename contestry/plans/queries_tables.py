@@ -32,7 +32,7 @@ def _train(df):
 
 @register("clean_contests", _CONTEST_SQL)
 def _(t: Tables):
-    return rounded(t.contests)
+    return rounded(views.contests(t.spark, t.sf_dir))
 
 
 @register("csv_contests", _CONTEST_SQL)
@@ -50,7 +50,7 @@ def _(t: Tables):
 
 @register("side_stats", _STATS_SQL)
 def _(t: Tables):
-    return t.stats
+    return views.side_stats(t.spark, t.sf_dir)
 
 
 @register(

@@ -42,11 +42,13 @@ class Tables:
 
     @cached_property
     def contests(self) -> DataFrame:
-        return views.contests(self.spark, self.sf_dir)
+        """The stored clean contests."""
+        return self.stored("contests", lambda: materialise(views.contests(self.spark, self.sf_dir), "contests"))
 
     @cached_property
     def stats(self) -> DataFrame:
-        return views.side_stats(self.spark, self.sf_dir)
+        """The stored side statistics."""
+        return self.stored("stats", lambda: materialise(views.side_stats(self.spark, self.sf_dir), "stats"))
 
     @cached_property
     def competitors(self) -> DataFrame:
