@@ -10,6 +10,7 @@ from contestry.functions.odds import decimal_implied, devig
 from contestry.functions.parsing import trailing_hex_id
 from contestry.operators.evaluation import fixed_rows
 from contestry.operators.resolve import attach_names, nearest_any, orientation, resolve_names
+from contestry.session import materialise
 
 THRESHOLDS = (0.00, 0.05, 0.10)
 
@@ -71,7 +72,9 @@ def align(quotes: DataFrame, contests: DataFrame, competitors: DataFrame) -> Dat
             "name_2": F.col("names.competitor_2"),
         }
     )
-    named = attach_names(flat, competitors, "name_1", "name_2")
+    # Stored, one row per contest: names and rows both start from it, and the
+    # quotes are aggregated once.
+    named = attach_names(materialise(flat.drop("ids", "names"), "consensus"), competitors, "name_1", "name_2")
     unresolved = F.concat_ws("; ", "reason_1", "reason_2")
     stray = F.concat(
         F.lit("resolved names '"), F.col("name_1"), F.lit("'/'"), F.col("name_2"),

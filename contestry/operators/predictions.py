@@ -15,6 +15,7 @@ from contestry.operators.careers import STAT_NAMES
 from contestry.operators.dataset import one_row
 from contestry.operators.features import matchup_columns
 from contestry.operators.resolve import FOLDED, attach_names, nearest_within, with_pair
+from contestry.session import materialise
 
 GRADE_WINDOW_DAYS = 3
 PROMOTION_MINIMUM = 150
@@ -184,7 +185,8 @@ def predict_cards(
     scorer: Callable[[DataFrame], DataFrame] = rating_scorer,
 ) -> DataFrame:
     """One row per bout of all cards: a prediction, or a stub with its reason."""
-    rows = matchups(bouts, competitors, snapshots)
+    # Stored, one row per bout: scored and listed from the same rows.
+    rows = materialise(matchups(bouts, competitors, snapshots), "matchups")
     scored = symmetrise(scorer(orientations(rows.filter("NOT skipped"))), *BOUT_KEY)
     made = ~F.col("skipped")
     joined = rows.join(scored, BOUT_KEY, "left")
@@ -249,7 +251,9 @@ def merge_log(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     one counts.  An event not in the log yet is written as it comes.  The input
     is left alone; write the result to a fresh folder.
     """
-    log, new = with_keys(existing), with_keys(incoming)
+    # Stored, because every step below starts from these keys.
+    log = materialise(with_keys(existing), "log-keyed")
+    new = materialise(with_keys(incoming), "run-keyed")
     known_events = log.select(*EVENT).distinct()
     fresh_events = new.join(known_events, EVENT, "left_anti").withColumn("action", F.lit("append"))
     update = new.join(known_events, EVENT, "left_semi")
@@ -260,8 +264,9 @@ def merge_log(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     # Predictions: drop the recorded ones; the first of each id pair is new.
     on_id = [*EVENT, "id_key"]
     on_name = [*EVENT, "name_key"]
-    real = _first_by(
-        update.filter("id_key IS NOT NULL").join(recorded.select(*on_id), on_id, "left_anti"), "id_key"
+    real = materialise(
+        _first_by(update.filter("id_key IS NOT NULL").join(recorded.select(*on_id), on_id, "left_anti"), "id_key"),
+        "new-predictions",
     )
 
     # Stubs: the first of each name pair, unless the pair is in the log already.
@@ -371,30 +376,46 @@ def _grades() -> dict[str, Column]:
 
 
 def track_record(graded: DataFrame) -> DataFrame:
-    """Per model version and overall (null version): counts, scores and baselines."""
-    kept = graded.filter(~F.coalesce("skipped", F.lit(False))).withColumn(
-        "version", F.coalesce("model_version", F.lit("unversioned"))
-    )
-    done = F.col("actual_winner").isNotNull()
-
-    def share(flag: str) -> Column:
-        return F.avg(F.col(flag).cast("double"))
+    """Per model version and overall (null version): counts, scores and baselines.
 
-    rows = kept.groupingSets([["version"], []], "version").agg(
-        F.col("version").alias("model_version"),
+    Versions are summed first; the overall row adds up their few sums, so it is
+    there with zero counts even when nothing was predicted.
+    """
+    kept = graded.filter(~F.coalesce("skipped", F.lit(False)))
+    scores = {
+        "accuracy": "correct",
+        "log_loss": "log_loss_contribution",
+        "brier": "brier_contribution",
+        "coin_flip_accuracy": "coin_flip_correct",
+        "coin_flip_log_loss": "coin_flip_log_loss_contribution",
+        "coin_flip_brier": "coin_flip_brier_contribution",
+        "elo_dummy_accuracy": "elo_dummy_correct",
+    }
+    versions = kept.groupBy(F.coalesce("model_version", F.lit("unversioned")).alias("model_version")).agg(
         F.count("*").alias("n_predicted"),
-        F.count_if(done).alias("n_graded"),
-        share("correct").alias("accuracy"),
-        F.avg("log_loss_contribution").alias("log_loss"),
-        F.avg("brier_contribution").alias("brier"),
+        F.count("actual_winner").alias("n_graded"),
         F.min("predicted_at_utc").alias("first_prediction_at"),
-        share("coin_flip_correct").alias("coin_flip_accuracy"),
-        F.avg("coin_flip_log_loss_contribution").alias("coin_flip_log_loss"),
-        F.avg("coin_flip_brier_contribution").alias("coin_flip_brier"),
-        F.count("elo_dummy_correct").alias("elo_dummy_n"),
-        share("elo_dummy_correct").alias("elo_dummy_accuracy"),
+        *[F.sum(F.col(c).cast("double")).alias(f"sum_{name}") for name, c in scores.items()],
+        *[F.count(c).alias(f"n_{name}") for name, c in scores.items()],
+    )
+    counts = ["n_predicted", "n_graded", *[f"n_{name}" for name in scores]]
+    overall = versions.agg(
+        F.lit(None).cast("string").alias("model_version"),
+        F.min("first_prediction_at").alias("first_prediction_at"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
+        *[F.sum(f"sum_{name}").alias(f"sum_{name}") for name in scores],
+    )
+    return versions.unionByName(overall).select(
+        "model_version",
+        "n_predicted",
+        "n_graded",
+        "first_prediction_at",
+        F.col("n_elo_dummy_accuracy").alias("elo_dummy_n"),
+        *[
+            F.when(F.col(f"n_{name}") > 0, F.col(f"sum_{name}") / F.col(f"n_{name}")).alias(name)
+            for name in scores
+        ],
     )
-    return rows.drop("version")
 
 
 def track_record_document(record: DataFrame, generated_at: str) -> DataFrame:

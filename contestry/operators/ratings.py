@@ -25,7 +25,7 @@ from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,6 +165,11 @@ class _Round:
         self.carried = F.inline(F.when(F.col("done"), sent).otherwise(F.array(itself)))
         self.known = known
 
+    def table(self, spark: SparkSession, root: str) -> DataFrame:
+        """All rounds and slices written so far, as one partitioned table."""
+        schema = T.StructType(self.out_type.fields + [T.StructField("level", T.IntegerType())])
+        return spark.read.schema(schema).parquet(root)
+
     def carry(self, last: DataFrame) -> DataFrame:
         """Contests still waiting, and new ratings addressed to their next contests."""
         return last.select(self.carried).filter("contest_id IS NOT NULL").select(*self.known)
@@ -285,7 +290,7 @@ def rate(
         prepare(contests, stats, len(params), tracks, hot_rows), "prepared", "feed"
     )
     n_left = prepared.count()
-    feeds = [row["feed"] for row in prepared.select("feed").distinct().collect()]
+    feeds = {row["feed"] for row in prepared.select("feed").distinct().collect()} | {1}
     step = _Round(params, tracks, prepared.schema["contest"].dataType)
 
     def written(level: int) -> DataFrame:
@@ -298,7 +303,7 @@ def rate(
         return step.merged(parts if fed is None else parts.unionByName(fed.select(*step.known)))
 
     level, n_narrow = 0, 0
-    while n_left and n_narrow < (1 if n_left <= slice_rows else NARROW_ROUNDS):
+    while level == 0 or (n_left and n_narrow < (1 if n_left <= slice_rows else NARROW_ROUNDS)):
         level += 1
         fed = prepared.filter(F.col("feed") == level) if level in feeds else None
         now = state_before(level, fed).select(*step.update)
@@ -311,8 +316,7 @@ def rate(
         fed = prepared.filter(F.col("feed") > level)
         rest = _slices(state_before(level + 1, fed).filter("contest IS NOT NULL"), slice_rows)
         _fold_slices(materialise(rest, "rest", "slice"), root, level, step, _folder(params, tracks))
-    table_type = T.StructType(step.out_type.fields + [T.StructField("level", T.IntegerType())])
-    return spark.read.schema(table_type).parquet(root).filter("done").drop("done")
+    return step.table(spark, root).filter("done").drop("done")
 
 
 def _fold_slices(rest: DataFrame, root: str, level: int, step: _Round, fold: Callable) -> None:
@@ -322,9 +326,7 @@ def _fold_slices(rest: DataFrame, root: str, level: int, step: _Round, fold: Cal
     for number, bound in enumerate(bounds, start=1):
         part = rest.filter(F.col("slice") == bound["slice"]).select(*step.known)
         if number > 1:
-            folded = spark.read.schema(step.out_type).parquet(
-                *[f"{root}/level={level + i}" for i in range(1, number)]
-            )
+            folded = step.table(spark, root).filter((F.col("level") > level) & F.col("done"))
             # A slice takes only what was sent into its own dates.
             start = bounds[number - 2]["end"]
             sent = step.messages(folded).filter(
