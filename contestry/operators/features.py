@@ -142,7 +142,7 @@ def feature_frame(features: DataFrame, categories: DataFrame | None = None) -> D
     numeric = [F.col(c).cast("double").alias(c) for c in model_inputs(features) if c != "weight_class"]
     if categories is None:
         return features.select("contest_id", *numeric)
-    indexed = features.join(F.broadcast(categories), "weight_class", "left")
+    indexed = features.join(categories, "weight_class", "left")
     index = F.coalesce("weight_class_index", F.lit(0)).alias("weight_class_index")
     return indexed.select("contest_id", index, *numeric)
 

@@ -260,18 +260,19 @@ def _folder(params: Sequence[R.RatingParams], tracks: Sequence[str]) -> Callable
 
 
 def _slices(rest: DataFrame, slice_rows: int) -> DataFrame:
-    """Tag each waiting contest with its slice: whole dates, about equal counts.
+    """Tag each waiting contest with its slice: whole days, about equal counts.
 
-    The count table has one row per date, so its single-partition window stays
-    small whatever the number of contests.
+    The count table has one row per calendar day, so its single-partition window
+    and its broadcast stay small whatever the number of contests.
     """
-    per_date = rest.groupBy(F.col("contest.date").alias("date")).agg(F.count("*").alias("n"))
+    day = F.to_date("contest.date")
+    per_date = rest.groupBy(day.alias("date")).agg(F.count("*").alias("n"))
     before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     cut = per_date.select(
         F.col("date").alias("slice_date"),
         F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / slice_rows).cast("int").alias("slice"),
     )
-    return rest.join(F.broadcast(cut), F.col("contest.date") == F.col("slice_date")).drop("slice_date")
+    return rest.join(F.broadcast(cut), day == F.col("slice_date")).drop("slice_date")
 
 
 def rate(
@@ -286,9 +287,9 @@ def rate(
     """One row per rated contest: the structs contest, pre_a, pre_b, post_a, post_b."""
     spark = contests.sparkSession
     root = scratch_path(spark, "rounds")
-    prepared = materialise(
-        prepare(contests, stats, len(params), tracks, hot_rows), "prepared", "feed"
-    )
+    # Rebalanced by feed: few files for small feeds, several for the large ones.
+    plan = prepare(contests, stats, len(params), tracks, hot_rows).hint("rebalance", "feed")
+    prepared = materialise(plan, "prepared", "feed")
     n_left = prepared.count()
     feeds = {row["feed"] for row in prepared.select("feed").distinct().collect()} | {1}
     step = _Round(params, tracks, prepared.schema["contest"].dataType)

@@ -155,35 +155,44 @@ def _(t: Tables):
 BASE_URL = "https://wiki.example.org/wiki/"
 
 
+EVENTS_PER_PAGE = 8
+
+
 def _schedule_pages(t: Tables):
-    """One schedule page per week: its events as a table, some unlinked or undated."""
-    events = t.bouts.filter("main_event").select("event_name", "event_date").distinct()
+    """Schedule pages of at most eight events of a week, some unlinked or undated."""
+    events = t.bouts.filter("main_event")
     n = F.dayofyear("event_date")
+    link = F.concat(
+        F.lit('<td><a href="/wiki/x" title="'), "event_name", F.lit('"> '), "event_name", F.lit("</a></td>")
+    )
     row = F.concat(
         F.lit("<tr>"),
-        F.when(
-            n % 11 != 0,
-            F.concat(F.lit('<td><a href="/wiki/x" title="'), "event_name", F.lit('"> '), "event_name", F.lit("</a></td>")),
-        ).otherwise(F.concat(F.lit("<td>"), "event_name", F.lit("</td>"))),
+        F.when(n % 11 != 0, link).otherwise(F.concat(F.lit("<td>"), "event_name", F.lit("</td>"))),
         F.lit("<td><span>"),
         F.when(n % 13 == 0, "TBA").otherwise(F.date_format("event_date", "MMM d, yyyy")),
         F.lit("</span></td></tr>"),
     )
-    # The page of an event's day: a handful of rows, at most a day's cards.
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_name", row.alias("r")))), lambda x: x["r"]), "")
-    return events.groupBy("event_date").agg(
-        F.concat(F.lit('<div><table id="Scheduled_events"><tr><th>Event</th></tr>'), body, F.lit("</table></div>")).alias("html")
-    ).select(F.datediff("event_date", F.lit("1990-01-01")).cast("bigint").alias("page_id"), "html")
+    rows = F.array_sort(F.collect_list(F.struct("event_name", row.alias("r"))))
+    body = F.array_join(F.transform(rows, lambda x: x["r"]), "")
+    table = F.concat(
+        F.lit('<div><table id="Scheduled_events"><tr><th>Event</th></tr>'), body, F.lit("</table></div>")
+    )
+    page = F.floor(F.col("card") / EVENTS_PER_PAGE)
+    return events.groupBy("week", "block", page).agg(
+        F.min("a_order").alias("page_id"), table.alias("html")
+    )
 
 
 @register(
     "schedule_pages",
-    f"""SELECT event_date - DATE '1990-01-01' AS page_id,
-               row_number() OVER (PARTITION BY event_date ORDER BY event_name) - 1 AS position, event_name,
+    f"""SELECT min(a_order) OVER (PARTITION BY week, block, card // {EVENTS_PER_PAGE}) AS page_id, pos AS position, event_name,
                event_name AS page_title, CAST(event_date AS VARCHAR) AS date,
                '{BASE_URL}' || replace(replace(event_name, ' ', '_'), ':', '%3A') AS page_url
-        FROM (SELECT DISTINCT event_name, event_date FROM bouts WHERE main_event)
-        WHERE dayofyear(event_date) % 11 <> 0 AND dayofyear(event_date) % 13 <> 0""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY week, block, card // {EVENTS_PER_PAGE}, linked
+                                           ORDER BY event_name) - 1 AS pos
+              FROM (SELECT *, dayofyear(event_date) % 11 <> 0 AND dayofyear(event_date) % 13 <> 0 AS linked
+                    FROM bouts WHERE main_event))
+        QUALIFY linked""",
 )
 def _(t: Tables):
     rows = html.extract_schedule(_schedule_pages(t), BASE_URL)

@@ -238,7 +238,7 @@ SELECT 'Open Night: ' || week || ' / ' || block || '.' || card AS event_name,
        CASE WHEN a_order % 3 = 0 THEN lb.listed_name ELSE la.listed_name END AS name_a,
        CASE WHEN a_order % 3 = 0 THEN la.listed_name ELSE lb.listed_name END AS name_b,
        CASE WHEN a_order % 9 <> 8 THEN 'Lightweight' END AS weight_class, a_order % 7 = 0 AS title_fight,
-       bout % 12 = 0 AS main_event
+       bout % 12 = 0 AS main_event, week, block, card
 FROM pairs JOIN listed la ON la.k = a_cust JOIN listed lb ON lb.k = b_cust
 """,
 )

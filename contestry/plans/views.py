@@ -273,4 +273,7 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("a_order") % 9 != 8, F.lit("Lightweight")).alias("weight_class"),
         (F.col("a_order") % 7 == 0).alias("title_fight"),
         (F.col("bout") % CARD_SIZE == 0).alias("main_event"),
+        "week",
+        "block",
+        "card",
     )
