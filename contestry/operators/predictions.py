@@ -499,11 +499,8 @@ def refresh_decision(raw_dates: DataFrame, processed: DataFrame) -> DataFrame:
 
 def graded_since(graded: DataFrame, cutoff: DataFrame) -> DataFrame:
     """Graded predictions of events strictly after the one-row ``cutoff`` date."""
-    return (
-        graded.filter(~F.col("skipped") & F.col("actual_winner").isNotNull())
-        .join(F.broadcast(cutoff))  # one row by construction
-        .filter(F.col("event_date") > F.col("cutoff"))
-    )
+    done = graded.filter(~F.col("skipped") & F.col("actual_winner").isNotNull())
+    return done.filter(F.col("event_date") > cutoff.select("cutoff").scalar())
 
 
 def promotion_decision(
@@ -519,9 +516,8 @@ def promotion_decision(
     ``scored`` has date, y, p_incumbent and p_candidate.
     """
     n = graded_since(graded, cutoff).agg(F.count("*").alias("n_graded"))
-    latest = scored.agg(F.max("date").alias("latest"))
-    start = F.add_months("latest", -12 * VALIDATION_YEARS)
-    window = scored.join(F.broadcast(latest)).filter(F.col("date") >= start)
+    start = scored.agg(F.add_months(F.max("date"), -12 * VALIDATION_YEARS).alias("start")).scalar()
+    window = scored.filter(F.col("date") >= start)
     losses = window.agg(
         F.count("*").alias("n_window"),
         F.avg(log_loss_term(F.col("y"), F.col("p_incumbent"))).alias("incumbent_log_loss"),

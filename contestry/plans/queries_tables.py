@@ -86,7 +86,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     path = scratch_path(t.spark, "contests")
-    tables.write_table(t.contests, path)
+    tables.write_table(t.contests, path, order_by=tables.ORDER["contests"])
     stored = tables.read_table(t.spark, path, t.contests.schema)
     recent = stored.filter(F.col("date") >= F.lit("1998-01-01").cast("timestamp_ntz"))
     return recent.groupBy(F.year("date").cast("bigint").alias("year"), "winner").agg(
@@ -717,6 +717,17 @@ def _(t: Tables):
     return rounded(t.snapshots)
 
 
+@register(
+    "named_snapshots",
+    f"""SELECT competitor_id, name, career_fights, {q6('elo_overall')} AS elo_overall FROM snapshots
+        JOIN competitors USING (competitor_id) WHERE name IS NOT NULL""",
+)
+def _(t: Tables):
+    named = t.competitors.filter("name IS NOT NULL").select("competitor_id", "name")
+    joined = t.snapshots.join(named, "competitor_id")
+    return rounded(joined.select("competitor_id", "name", "career_fights", "elo_overall"))
+
+
 # --- features ------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,12 +61,25 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Replace a table.  The path must not be one that ``df`` reads."""
-    writer = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, *partition_by: str, order_by: Sequence[str] = ()) -> None:
+    """Replace a table, in a fixed row order if asked.  ``path`` must not be one ``df`` reads.
+
+    The order is a range sort over all tasks, so files follow each other and a
+    later filter on the leading column skips most of them.
+    """
+    ordered = df.sort(*order_by) if order_by else df
+    writer = ordered.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+# The row order of the stored tables.
+ORDER = {
+    "competitors": ("competitor_id",),
+    "contests": ("date", "contest_id"),
+    "side_stats": ("contest_id", "side"),
+}
+
+
 def schema_report(df: DataFrame, source: str) -> DataFrame:
     """Per column: type, row count, non-null count, smallest and largest value as text."""
     counted = df.agg(

@@ -71,3 +71,18 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     tables.write_csv(spark.createDataFrame([("zz", "1", "n")], "extra string, id string, name string"), path)
     row = tables.read_csv(spark, path, tables.RAW_COMPETITORS).first()
     assert (row["id"], row["name"], row["dob"]) == ("1", "n", None)
+
+
+def test_tables_are_stored_in_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [contest(f"c{i * 37 % 100:02d}", f"2020-01-{i % 9 + 1:02d}", "x", "y", "a") for i in range(100)]
+    tables.write_table(frame(spark, rows, CONTESTS_DDL).repartition(5), path, order_by=tables.ORDER["contests"])
+    files = sorted((tmp_path / "t").glob("part-*.parquet"))
+    got = [(r["date"], r["contest_id"]) for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert got == sorted(got) and len(got) == 100
+
+
+def test_schema_report(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None)], "n int, s string")
+    got = {r["column"]: (r["type"], r["n_rows"], r["n_values"], r["smallest"]) for r in tables.schema_report(df, "t").collect()}
+    assert got == {"n": ("int", 2, 2, "1"), "s": ("string", 2, 1, "b")}
