@@ -261,11 +261,11 @@ def merge_log(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     recorded = log.filter("id_key IS NOT NULL")
     old_stubs = log.filter("id_key IS NULL")
 
-    # Predictions: drop the recorded ones; the first of each id pair is new.
+    # Predictions: the first of each id pair counts, and is new unless recorded.
     on_id = [*EVENT, "id_key"]
     on_name = [*EVENT, "name_key"]
     real = materialise(
-        _first_by(update.filter("id_key IS NOT NULL").join(recorded.select(*on_id), on_id, "left_anti"), "id_key"),
+        _first_by(update.filter("id_key IS NOT NULL"), "id_key").join(recorded.select(*on_id), on_id, "left_anti"),
         "new-predictions",
     )
 

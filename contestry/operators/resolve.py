@@ -80,6 +80,13 @@ def orientation(first: Column, second: Column, a: Column, b: Column) -> Column:
     return F.when((first == a) & (second == b), "same").when((first == b) & (second == a), "swapped")
 
 
+def _local_seconds(column: str) -> Column:
+    """Seconds since 1970 on the wall clock, whatever the session's time zone."""
+    at = F.col(column).cast("timestamp_ntz")
+    of_day = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    return F.datediff(F.to_date(at), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400 + of_day
+
+
 def nearest_within(
     left: DataFrame,
     right: DataFrame,
@@ -102,7 +109,7 @@ def nearest_within(
     """
     reach = (days + 1) * 86_400
     span = 32 * 86_400
-    seconds = {c: F.unix_timestamp(F.col(c).cast("timestamp")) for c in (left_time, right_time)}
+    seconds = {c: _local_seconds(c) for c in (left_time, right_time)}
     here = seconds[left_time]
     blocks = F.sequence(F.floor((here - reach) / span), F.floor((here + reach) / span))
     lefts = left.filter(F.col(pair).isNotNull()).select(

@@ -29,6 +29,12 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Let iterative fits checkpoint: keep the cluster's folder, else use ours."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch root; nothing is ever overwritten."""
     app = spark.sparkContext.applicationId
