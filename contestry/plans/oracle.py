@@ -285,11 +285,44 @@ block(
     "SELECT competitor_id, h.* FROM (SELECT competitor_id, unnest(hist) AS h FROM run)",
 )
 block("tuning_chain", "SELECT * FROM chain WHERE date < DATE '2000-01-01'")
-block("grid_run", _recursion("grid", "tuning_chain").replace("@", "grid_run"))
+block(
+    "grid_run",
+    """(pid, competitor_id, r, k, contest_id, hist) USING KEY (pid, competitor_id) AS (
+  SELECT p.pid, c.competitor_id, 1500.0::DOUBLE, 0::BIGINT, NULL::VARCHAR,
+         []::STRUCT(contest_id VARCHAR, side VARCHAR, pre_overall DOUBLE)[]
+  FROM grid p CROSS JOIN (SELECT a_id AS competitor_id FROM tuning_chain UNION SELECT b_id FROM tuning_chain) c
+  UNION
+  SELECT pid, CASE WHEN first THEN a_id ELSE b_id END,
+         CASE WHEN first THEN ra + k_a * (score - e) ELSE rb + k_b * ((1 - score) - (1 - e)) END,
+         CASE WHEN first THEN ka ELSE kb END, contest_id,
+         CASE WHEN first THEN list_append(hist_a, {'contest_id': contest_id, 'side': 'a', 'pre_overall': ra})
+              ELSE list_append(hist_b, {'contest_id': contest_id, 'side': 'b', 'pre_overall': rb}) END
+  FROM (
+    SELECT p.pid, c.*, sa.r AS ra, sb.r AS rb, sa.hist AS hist_a, sb.hist AS hist_b,
+           CASE WHEN ka - 1 < early THEN k_early ELSE k_late END * CASE WHEN finish THEN bonus ELSE 1.0 END AS k_a,
+           CASE WHEN kb - 1 < early THEN k_early ELSE k_late END * CASE WHEN finish THEN bonus ELSE 1.0 END AS k_b,
+           1.0 / (1.0 + pow(10.0, (sb.r - sa.r) / 400.0)) AS e
+    FROM tuning_chain c CROSS JOIN grid p
+    JOIN recurring.grid_run sa ON sa.pid = p.pid AND sa.competitor_id = c.a_id AND sa.k = c.ka - 1
+    JOIN recurring.grid_run sb ON sb.pid = p.pid AND sb.competitor_id = c.b_id AND sb.k = c.kb - 1
+  ) CROSS JOIN (VALUES (true), (false)) v(first)
+)""",
+)
 block(
     "grid_pre",
     "SELECT pid, competitor_id, h.* FROM (SELECT pid, competitor_id, unnest(hist) AS h FROM grid_run)",
 )
+block(
+    "grid_loss",
+    """
+SELECT pid, avg(-(score * ln(q) + (1 - score) * ln(1 - q))) AS log_loss FROM (
+  SELECT x.pid, c.score, least(greatest(1.0 / (1.0 + pow(10.0, (y.pre_overall - x.pre_overall) / 400.0)), 1e-12), 1 - 1e-12) AS q
+  FROM (SELECT * FROM grid_pre WHERE side = 'a') x
+  JOIN (SELECT * FROM grid_pre WHERE side = 'b') y ON y.pid = x.pid AND y.contest_id = x.contest_id
+  JOIN tuning_chain c ON c.contest_id = x.contest_id WHERE c.score <> 0.5)
+GROUP BY pid
+""",
+)
 block(
     "predictions",
     """

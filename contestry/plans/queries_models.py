@@ -14,7 +14,7 @@ from contestry.plans import views
 from contestry.plans.oracle import r6 as q6
 from contestry.plans.queries_tables import LOG_FIELDS, scored_table, train_rows
 from contestry.session import materialise
-from contestry.plans.registry import TEST_START, TODAY, TRAIN_END, TUNE_CUTOFF, VAL, Tables, r6, register, rounded
+from contestry.plans.registry import TEST_START, TODAY, TRAIN_END, VAL, Tables, r6, register, rounded
 
 _LL = "-(y * ln(least(greatest({p}, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest({p}, 1e-12), 1 - 1e-12)))"
 
@@ -135,18 +135,12 @@ def _(t: Tables):
 
 @register(
     "best_parameters",
-    f"""SELECT g.pid AS grid_index, k_early, k_late, early AS early_contests, bonus AS finish_bonus,
-               {q6('log_loss')} AS log_loss
-        FROM grid g JOIN (
-          SELECT x.pid, avg(-(c.score * ln(1.0 / (1.0 + pow(10.0, (y.pre_overall - x.pre_overall) / 400.0)))
-                              + (1 - c.score) * ln(1 - 1.0 / (1.0 + pow(10.0, (y.pre_overall - x.pre_overall) / 400.0))))) AS log_loss
-          FROM grid_pre x JOIN grid_pre y ON y.pid = x.pid AND y.contest_id = x.contest_id AND y.side = 'b'
-          JOIN tuning_chain c ON c.contest_id = x.contest_id WHERE x.side = 'a' AND c.score <> 0.5 GROUP BY x.pid) l ON l.pid = g.pid
-        ORDER BY l.log_loss, g.pid LIMIT 1""",
-)
-def _(t: Tables):
-    early = t.contests.filter(F.col("date") < F.lit(TUNE_CUTOFF).cast("timestamp_ntz"))
-    return rounded(ratings.first_minimum(ratings.grid_losses(early, t.stats, ratings.grid_params())))
+    f"""SELECT grid_index, k_early, k_late, early_contests, finish_bonus, {q6('loss')} AS log_loss FROM (
+          SELECT pid AS grid_index, k_early, k_late, early AS early_contests, bonus AS finish_bonus, log_loss AS loss
+          FROM grid JOIN grid_loss USING (pid) ORDER BY log_loss, pid LIMIT 1)""",
+)
+def _(t: Tables):
+    return rounded(ratings.first_minimum(t.grid_losses))
 
 
 @register(

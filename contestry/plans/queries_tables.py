@@ -10,7 +10,7 @@ from contestry.operators.careers import STAT_NAMES
 from contestry.plans import sql_more, views  # noqa: F401  (sql_more adds SQL blocks)
 from contestry.plans.oracle import r6 as q6
 from contestry.plans.registry import (
-    TEST_START, TODAY, TRAIN_END, TUNE_CUTOFF, VAL, Tables, r6, register, rounded,
+    TEST_START, TODAY, TRAIN_END, VAL, Tables, r6, register, rounded,
 )
 from contestry.session import scratch_path
 from contestry.sources import documents, html, tables
@@ -607,19 +607,11 @@ def _(t: Tables):
 
 @register(
     "rating_grid",
-    f"""SELECT g.pid AS grid_index, {q6('log_loss')} AS log_loss, k_early, k_late, early AS early_contests,
-               bonus AS finish_bonus
-        FROM grid g JOIN (
-          SELECT a.pid, avg(-(score * ln(q) + (1 - score) * ln(1 - q))) AS log_loss FROM (
-            SELECT x.pid, c.score, least(greatest(1.0 / (1.0 + pow(10.0, (y.pre_overall - x.pre_overall) / 400.0)),
-                                                  1e-12), 1 - 1e-12) AS q
-            FROM grid_pre x JOIN grid_pre y ON y.pid = x.pid AND y.contest_id = x.contest_id AND y.side = 'b'
-            JOIN tuning_chain c ON c.contest_id = x.contest_id WHERE x.side = 'a' AND c.score <> 0.5) a
-          GROUP BY a.pid) l ON l.pid = g.pid""",
-)
-def _(t: Tables):
-    early = t.contests.filter(F.col("date") < F.lit(TUNE_CUTOFF).cast("timestamp_ntz"))
-    return rounded(ratings.grid_losses(early, t.stats, ratings.grid_params()))
+    f"""SELECT pid AS grid_index, {q6('log_loss')} AS log_loss, k_early, k_late, early AS early_contests,
+               bonus AS finish_bonus FROM grid JOIN grid_loss USING (pid)""",
+)
+def _(t: Tables):
+    return rounded(t.grid_losses)
 
 
 @register(

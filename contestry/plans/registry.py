@@ -78,6 +78,16 @@ class Tables:
     def snapshots(self) -> DataFrame:
         return history.build_snapshots(self.contests, self.stats, self.ratings)
 
+    @cached_property
+    def grid_losses(self) -> DataFrame:
+        """The stored log-loss of every parameter set of the tuning grid."""
+
+        def build() -> DataFrame:
+            early = self.contests.filter(F.col("date") < F.lit(TUNE_CUTOFF).cast("timestamp_ntz"))
+            return materialise(ratings.grid_losses(early, self.stats, ratings.grid_params()), "grid-losses")
+
+        return self.stored("grid-losses", build)
+
     @cached_property
     def features(self) -> DataFrame:
         """The stored feature table."""
