@@ -14,6 +14,8 @@ from contestry.operators.ratings import grid_params
 from contestry.plans.views import DIVISIONS
 
 _BLOCKS: dict[str, str] = {}
+# Blocks that end a recursion and are read more than once.
+_READ_TWICE = ("ratings", "grid_pre", "tuning_chain", "chain")
 
 
 def block(name: str, sql: str) -> None:
@@ -38,7 +40,9 @@ def query(select: str) -> str:
     if not needed:
         return body
     parts = [
-        f"{name}{_BLOCKS[name]}" if _BLOCKS[name].startswith("(") else f"{name} AS (\n{_BLOCKS[name]}\n)"
+        f"{name}{_BLOCKS[name]}"
+        if _BLOCKS[name].startswith("(")
+        else f"{name} AS {'MATERIALIZED ' if name in _READ_TWICE else ''}(\n{_BLOCKS[name]}\n)"
         for name in _BLOCKS
         if name in needed
     ]
