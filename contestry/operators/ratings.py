@@ -440,7 +440,7 @@ def peaks(ratings: DataFrame, competitors: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def trajectory(ratings: DataFrame, competitors: DataFrame | None = None) -> DataFrame:
+def trajectory(ratings: DataFrame) -> DataFrame:
     """Every competitor's rating after each contest; average where a date has several."""
     return ratings.groupBy("date", "competitor_id").agg(F.avg("post_overall").alias("post_overall"))
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-from contestry.functions import labels
 from contestry.functions.rating import TUNED
 from contestry.operators.ratings import grid_params
 from contestry.plans.views import DIVISIONS
