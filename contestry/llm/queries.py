@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contestry.llm import neardup
+from contestry.llm import bpe, neardup, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,20 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, 40 shards of near-equal bytes."""
+    return shards.plan(_table(spark, sf_dir, "documents"), 40)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded again."""
+    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op7_histogram_shards": op7_histogram_shards,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE: dict[str, str] = {}
