@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contestry.llm import bpe, neardup, shards
+from contestry.llm import bpe, decontam, neardup, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in ten-word windows of benchmark items."""
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, 40 shards of near-equal bytes."""
     return shards.plan(_table(spark, sf_dir, "documents"), 40)
@@ -30,8 +35,40 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_winnowing_decontamination": op4_winnowing_decontamination,
     "op7_histogram_shards": op7_histogram_shards,
     "op9_bpe": op9_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+_PLAIN_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_OP4 = f"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS words
+  FROM (SELECT item_id, w, least(10, len(w)) AS k,
+               unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s
+        FROM i WHERE len(w) > 0)),
+doc_windows AS (
+  SELECT doc_id, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS words
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s
+        FROM d CROSS JOIN sizes WHERE len(w) >= k)),
+hits AS (
+  SELECT doc_id, item_id, x.k AS k, s
+  FROM doc_windows x JOIN item_windows y ON x.k = y.k AND x.words = y.words),
+covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + k)) AS place FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op4_winnowing_decontamination": _OP4}
