@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contestry.llm import bpe, decontam, neardup, shards
+from contestry.llm import bpe, decontam, neardup, rules, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_learned_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics of every document and the verdict of the learned rules."""
+    docs = _table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, 40 shards of near-equal bytes."""
     return shards.plan(_table(spark, sf_dir, "documents"), 40)
@@ -36,6 +42,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_winnowing_decontamination": op4_winnowing_decontamination,
+    "op6_learned_decision_list": op6_learned_decision_list,
     "op7_histogram_shards": op7_histogram_shards,
     "op9_bpe": op9_bpe,
 }
