@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contestry.llm import bpe, decontam, neardup, rules, shards
+from contestry.llm import bpe, chat, decontam, neardup, rules, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.plan(_table(spark, sf_dir, "documents"), 40)
 
 
+def op8_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and one of control strings, read back from their tokens."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.read_back(chat.format_conversations(turns.unionByName(chat.planted(spark)))))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_winnowing_decontamination": op4_winnowing_decontamination,
     "op6_learned_decision_list": op6_learned_decision_list,
     "op7_histogram_shards": op7_histogram_shards,
+    "op8_chat_tokens": op8_chat_tokens,
     "op9_bpe": op9_bpe,
 }
 
@@ -78,4 +85,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op4_winnowing_decontamination": _OP4}
+_ESCAPED = "replace({}, chr(92), chr(92) || chr(92))"
+for _control in chat.CONTROLS:
+    _ESCAPED = f"replace({_ESCAPED}, '{_control}', '{_control[0]}' || chr(92) || '{_control[1:]}')"
+
+_OP8 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(17 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op8_chat_tokens": _OP8, "op4_winnowing_decontamination": _OP4}
