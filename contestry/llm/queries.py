@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contestry.llm import bpe, chat, decontam, neardup, rules, shards
+from contestry.llm import bpe, chat, decontam, neardup, quality, rules, shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and selection of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.grade(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with similar sets of two-word shingles."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
@@ -23,6 +29,12 @@ def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_learned_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics of every document and the verdict of the learned rules."""
     docs = _table(spark, sf_dir, "documents")
@@ -46,8 +58,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ordinal_quality": op1_ordinal_quality,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_winnowing_decontamination": op4_winnowing_decontamination,
+    "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op6_learned_decision_list": op6_learned_decision_list,
     "op7_histogram_shards": op7_histogram_shards,
     "op8_chat_tokens": op8_chat_tokens,
