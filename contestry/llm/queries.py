@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contestry.llm import bpe, chat, decontam, neardup, quality, rules, shards, toxicity
+from contestry.llm import bpe, chat, decontam, neardup, pages, quality, rules, shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op3_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in ten-word windows of benchmark items."""
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -60,6 +65,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_style_tree_text": op3_style_tree_text,
     "op4_winnowing_decontamination": op4_winnowing_decontamination,
     "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op6_learned_decision_list": op6_learned_decision_list,
