@@ -212,12 +212,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return own.mapInArrow(partial(_decode_batches, path=path or default_path()), "doc_id long, ids array<int>, decoded string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Token count and digests of ids and decoded text."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """Token count and digests of ids and decoded text, and the columns named in ``more``."""
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )

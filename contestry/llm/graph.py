@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +45,43 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 def _digest(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
+
+
+def linked(posts: DataFrame, confirm: Callable[[DataFrame], DataFrame], label: str, known_links: DataFrame | None = None) -> DataFrame:
+    """(node, component) of nodes that share a list and are confirmed to be alike.
+
+    ``posts`` (node, key, weight) puts nodes into lists; ``confirm`` keeps the linked
+    pairs of a table (a, b).  First each node is compared with the heaviest node of
+    its lists.  A node's weight says how common its keys are, so that the text which
+    others are copies of heads a list, not a copy that differs from it and from the
+    other copies.  Then a list's nodes outside the component of its head are compared
+    with the list's nodes of other components, as links within a component change
+    nothing.  So a large group of copies costs a row per copy, and no link between
+    components is lost.  Nodes without links may be missing from the result.
+    """
+    heads = posts.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("other"))).alias("head")).select("key", (-F.col("head.other")).alias("a"))
+    stars = posts.withColumnRenamed("node", "b").join(heads, "key").where("a <> b").select("a", "b").distinct()
+    links = confirm(stars)
+    if known_links is not None:
+        links = links.unionByName(known_links)
+    known = components(materialise(links, f"{label}_links"), f"{label}_components")
+    more = materialise(confirm(materialise(_across(posts, known), f"{label}_across")), f"{label}_links")
+    if more.isEmpty():
+        return known
+    joined = known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
+    return components(joined, f"{label}_components")
+
+
+def _across(posts: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a list but no component, but for those with the list's head."""
+    placed = posts.join(known, "node", "left").select("key", "node", "weight", F.coalesce("component", "node").alias("component"))
+    heads = placed.groupBy("key").agg(
+        F.max(F.struct("weight", (-F.col("node")).alias("other"), "component")).alias("head"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+    )
+    mixed = placed.join(heads.where("low <> high").select("key", "head"), "key").where("node <> -head.other")
+    outside = mixed.where("component <> head.component").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
+    others = mixed.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("head.component").alias("main"))
+    pairs = outside.join(others, "key").where("ca <> cb and (cb = main or a < b)")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -113,7 +113,7 @@ class Rows:
 Loss = Callable[[pa.RecordBatch, np.ndarray], tuple[float, np.ndarray]]
 
 
-def fit(sample: DataFrame, rows: int, loss: Loss, start: np.ndarray, decay: float = 5e-6, steps: int = 40) -> np.ndarray:
+def fit(sample: DataFrame, rows: int, loss: Loss, start: np.ndarray, decay: float = 5e-6, steps: int = 30) -> np.ndarray:
     """Parameters that minimise the mean ``loss`` plus ``decay / 2`` times the squared weights.
 
     Limited-memory quasi-Newton steps.  Each trial is one pass over ``sample``,

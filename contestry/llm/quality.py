@@ -70,27 +70,27 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> np.ndarray:
     return linear.fit(sample, count, _loss, start) if count else start
 
 
-def _grade_batches(batches: Iterator[pa.RecordBatch], parameters) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    weights, cuts = parameters.value[: linear.SIZE], thresholds(parameters.value)
-    for batch in batches:
-        margin = linear.margins(batch.column(1), weights)
-        tails = linear.sigmoid(margin[:, None] - cuts)
-        tail_lists = _as_lists(tails)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), tail_lists], names=["doc_id", "expected_grade", "tails"])
-
-
 def _as_lists(tails: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(tails) + 1) * tails.shape[1], pa.int32()), pa.array(tails.ravel()))
 
 
-def grade(docs: DataFrame, parameters: np.ndarray) -> DataFrame:
-    """doc_id, expected_grade, tails (probability of at least grade 1, 2, ...) and kept per row.
+def grade(docs: DataFrame, parameters: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``docs`` with expected_grade, tails and kept.
 
-    Only the text counts; a null or empty text is graded as one without words.
-    Rows are independent, so repeated rows and null ids stay; an empty table gives
-    an empty result.
+    tails are the probabilities of at least grade 1, 2, ...; their sum is the
+    expected grade, and kept says that grade ``KEEP_GRADE`` is likely enough.  Only
+    the text counts; a null or empty text is graded as one without words.  Rows are
+    independent, so repeated rows and null ids stay; an empty table stays empty.
+    Columns of these names in ``docs`` are replaced, others are carried through.
     """
     sent = docs.sparkSession.sparkContext.broadcast(parameters)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    graded = own.mapInArrow(partial(_grade_batches, parameters=sent), "doc_id long, expected_grade double, tails array<double>")
-    return graded.withColumn("kept", F.col("tails")[KEEP_GRADE - 1] >= KEEP_PROBABILITY)
+
+    def tails(texts: pa.Array) -> pa.Array:
+        margin = linear.margins(texts, sent.value[: linear.SIZE])
+        return _as_lists(linear.sigmoid(margin[:, None] - thresholds(sent.value)))
+
+    graded = F.arrow_udf(tails, "array<double>").asNondeterministic()  # so that the planner computes it once
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = docs.drop("expected_grade", "tails", "kept").withColumn("tails", graded(text))
+    expected = F.aggregate("tails", F.lit(0.0), lambda total, tail: total + tail)
+    return found.withColumns({"expected_grade": expected, "kept": F.col("tails")[KEEP_GRADE - 1] >= KEEP_PROBABILITY})

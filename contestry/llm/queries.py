@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contestry.llm import bpe, chat, decontam, neardup, pages, quality, rules, shards, toxicity
+from contestry.llm import bpe, chat, decontam, neardup, pages, quality, rules, shards, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probabilities and selection of every document."""
     docs = _table(spark, sf_dir, "documents")
-    return quality.grade(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    graded = quality.grade(docs.select("doc_id", "text"), quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return graded.select("doc_id", "expected_grade", "tails", "kept")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
 
 
+def op10_paragraph_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occurred before."""
+    return substring.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_histogram_shards": op7_histogram_shards,
     "op8_chat_tokens": op8_chat_tokens,
     "op9_bpe": op9_bpe,
+    "op10_paragraph_substring_dedup": op10_paragraph_substring_dedup,
 }
 
 _PLAIN_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''),

@@ -1,28 +1,65 @@
 """A document pipeline built from the corpus operators.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
-Parquet and read again as the next stage's documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's documents.  Rows that repeat an id are
+one document: a decision about it holds for all of them.  Null and empty texts pass
+the filters unless the classifier rejects a text without words; empty tables stay
+empty; columns beside those of documents are dropped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contestry.llm import neardup
+from contestry.llm import bpe, decontam, neardup, quality, substring
 from contestry.session import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier gives at least grade 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.grade(docs.select(*COLUMNS), quality.fit(docs, labels)).where("kept").select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar five-word shingle sets."""
-    found = neardup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    copies = neardup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that occurred before; those that consist of such passages go."""
+    cut = substring.remove_repeats(docs.select(*COLUMNS))
+    changed = F.size("removed") > 0
+    left = cut.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    length = F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", length).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item; a row without id can't be named and stays."""
+    found, _ = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the digests of ids and of the text decoded from them."""
+    decoded = bpe.decode(bpe.encode(docs))
+    return bpe.digests(decoded, "ids")
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("bpe_encoding", encode),
+]
 
-#: Model fits and whole-text merges have no SQL form; tests compare with brute force.
+#: A model fit, components of similar sets and ranked merges have no SQL form; tests use brute force.
 ORACLE_SQL = None
 
 
