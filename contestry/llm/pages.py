@@ -224,7 +224,8 @@ def _low_branches(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
         return least[node]
 
     low = {n for n, r in rows.items() if r.pages >= LEAST_PAGES and importance(n) < LEAST_IMPORTANCE}
-    return pd.DataFrame({"host": [key[0]] * len(low), "node": sorted(low)})
+    hosts = pd.Series([key[0]] * len(low), dtype=object)  # the result must be plain strings, not an Arrow-backed column
+    return pd.DataFrame({"host": hosts, "node": pd.Series(sorted(low), dtype="int64")})
 
 
 def low_branches(parsed: DataFrame) -> DataFrame:
