@@ -27,9 +27,10 @@ _CHUNK = regex.compile(rf"[^{_SPACE}]+")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")  # white space for str.split, not for the file's pattern
 
 _NONE = np.iinfo(np.int64).max
-_KEPT_CHARS = 6_000_000
-_ROWS = 2_000
-_CHARS = 4_000_000
+#: Limits on remembered chunks, and on the rows and characters worked on at once.
+_KEPT_CHARS = 2_000_000
+_ROWS = 500
+_CHARS = 1_000_000
 
 
 def default_path() -> str:
@@ -171,7 +172,7 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, decoded: bool = False) -> Iterator[pa.RecordBatch]:
     model = merges(path)
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -181,7 +182,8 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
             end = min(max(start + 1, int(np.searchsorted(sizes, before + _CHARS))), start + _ROWS, batch.num_rows)
             ids, bounds = model.encode([t or "" for t in batch.column(1).slice(start, end - start).to_pylist()])
             listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), listed], names=["doc_id", "ids"])
+            part = pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), listed], names=["doc_id", "ids"])
+            yield from _decode_batches(iter([part]), path) if decoded else [part]
             start = end
 
 
@@ -212,6 +214,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return own.mapInArrow(partial(_decode_batches, path=path or default_path()), "doc_id long, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded) per row of ``docs``: ``encode`` and ``decode`` in one pass, with one vocabulary in memory."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    both = partial(_encode_batches, path=path or default_path(), decoded=True)
+    return own.mapInArrow(both, "doc_id long, ids array<int>, decoded string")
+
+
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
     """Token count and digests of ids and decoded text, and the columns named in ``more``."""
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")

@@ -60,7 +60,7 @@ def op8_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
-    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents")))
 
 
 def op10_paragraph_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of ids and of the text decoded from them."""
-    decoded = bpe.decode(bpe.encode(docs))
-    return bpe.digests(decoded, "ids")
+    return bpe.digests(bpe.round_trip(docs), "ids")
 
 
 STAGES = [
