@@ -56,7 +56,7 @@ def features(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner, slot = keys // DIMENSIONS, keys % DIMENSIONS
     values = 1 + np.log(counts)
     norms = np.sqrt(np.bincount(owner, values**2, minlength=chunk.count))
-    values /= norms[owner]
+    values /= np.sqrt(norms)[owner]  # between counts and unit length: a few telling words still show in a long text
 
     n_words = np.diff(words.bounds)
     distinct = np.bincount(np.unique(words.text * DIMENSIONS + (words.hashes >> np.uint64(64 - _BITS)).astype(np.int64)) // DIMENSIONS, minlength=chunk.count)
@@ -113,7 +113,7 @@ class Rows:
 Loss = Callable[[pa.RecordBatch, np.ndarray], tuple[float, np.ndarray]]
 
 
-def fit(sample: DataFrame, rows: int, loss: Loss, start: np.ndarray, decay: float = 5e-6, steps: int = 30) -> np.ndarray:
+def fit(sample: DataFrame, rows: int, loss: Loss, start: np.ndarray, decay: float = 1e-5, steps: int = 30) -> np.ndarray:
     """Parameters that minimise the mean ``loss`` plus ``decay / 2`` times the squared weights.
 
     Limited-memory quasi-Newton steps.  Each trial is one pass over ``sample``,
