@@ -8,11 +8,9 @@ round is therefore one shuffle, by contest, of the ratings just sent and of the
 contests still waiting; rated contests are never read again.  Each round is
 written to the shared folder, which cuts lineage and is the result table.
 
-Rounds are wide at first and narrow at the end, or all along where one
-competitor has a very long career: that chain cannot be computed out of order.
-Once a round rates fewer than ``MIN_ROUND`` contests, the rest is taken in date
-order in slices of about ``SLICE_ROWS`` contests, each folded by one task that
-streams its slice and keeps only the ratings of the competitors in it.
+The number of rounds is the longest chain of contests, where each needs the one
+before: a long career cannot be computed out of order, and that is in the
+definition of the rating.  No round depends on how many contests are left.
 
 All parameter sets advance together: a rating is an array with one value per
 set, so a grid search costs the same number of rounds as a single run.
@@ -20,11 +18,9 @@ set, so a grid search costs the same number of rounds as a single run.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,11 +33,6 @@ from contestry.operators.dataset import contest_totals, decisive, one_row, rated
 from contestry.session import materialise, scratch_path
 
 TRACKS = ("overall", "striking", "grappling")
-MIN_ROUND = 2_000
-SLICE_ROWS = 200_000
-# Narrow rounds in a row before slicing, while more than one slice is left:
-# a thin start may still widen.
-NARROW_ROUNDS = 16
 # Rounds 1..32 each read the contests that may become ready in them; later
 # contests are fed in doubling ranges, so the folder count stays small.
 _SINGLE_FEEDS = 32
@@ -67,8 +58,10 @@ def prepare(
     """Rated contests with share, scores, career positions and next-contest pointers."""
     a, b = F.col("competitor_a_id"), F.col("competitor_b_id")
     same = F.concat(F.lit("same competitor on both sides of "), F.col("contest_id"))
+    undated = F.concat(F.lit("no date for rated contest "), F.col("contest_id"))
     base = (
         rated(contests)
+        .withColumn("date", F.when(F.col("date").isNull(), F.raise_error(undated)).otherwise(F.col("date")))
         .withColumn("competitor_a_id", F.when(a == b, F.raise_error(same)).otherwise(a))
         .join(contest_totals(stats), "contest_id", "left")
         .select(
@@ -161,12 +154,11 @@ class _Round:
 
         itself = F.struct(*known, F.lit(None).cast("timestamp_ntz").alias("target_date"))
         sent = F.array(message("a"), message("b"))
-        self.sent = F.inline(sent)
         self.carried = F.inline(F.when(F.col("done"), sent).otherwise(F.array(itself)))
         self.known = known
 
     def table(self, spark: SparkSession, root: str) -> DataFrame:
-        """All rounds and slices written so far, as one partitioned table."""
+        """All rounds written so far, as one partitioned table."""
         schema = T.StructType(self.out_type.fields + [T.StructField("level", T.IntegerType())])
         return spark.read.schema(schema).parquet(root)
 
@@ -174,117 +166,23 @@ class _Round:
         """Contests still waiting, and new ratings addressed to their next contests."""
         return last.select(self.carried).filter("contest_id IS NOT NULL").select(*self.known)
 
-    def messages(self, done: DataFrame) -> DataFrame:
-        return done.select(self.sent).filter("contest_id IS NOT NULL")
-
     def merged(self, parts: DataFrame) -> DataFrame:
         """One row per contest: what is known of it so far."""
         return parts.groupBy("contest_id").agg(*self.merge)
 
 
-def _folder(params: Sequence[R.RatingParams], tracks: Sequence[str]) -> Callable:
-    """Task-side fold of one slice in date order, a batch at a time.
-
-    Contests of a batch that share no competitor are rated together as arrays
-    of shape (contests, tracks, parameter sets); the ratings of the slice's
-    competitors are all that is kept between batches.
-    """
-    k_early, k_late, bonus = (
-        np.array([getattr(p, name) for p in params]) for name in ("k_early", "k_late", "finish_bonus")
-    )
-    early = np.array([p.early_contests for p in params])
-    n_tracks, n_sets = len(tracks), len(params)
-
-    def given(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that come with a rating, and these ratings."""
-        rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-        values = [column.take(pa.array(rows)).field(t).flatten().to_numpy() for t in tracks]
-        return rows, np.stack([v.reshape(len(rows), n_sets) for v in values], axis=1)
-
-    def ratings(values: np.ndarray) -> pa.StructArray:
-        offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * n_sets)
-        lists = [
-            pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values[:, i]).ravel()))
-            for i in range(n_tracks)
-        ]
-        return pa.StructArray.from_arrays(lists, names=list(tracks))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: dict[str, int] = {}
-        state = np.empty((0, n_tracks, n_sets))
-        for batch in batches:
-            contest = batch.column("contest")
-            n = len(contest)
-
-            def field(name: str) -> np.ndarray:
-                return contest.field(name).to_numpy(zero_copy_only=False)
-
-            codes = {
-                s: np.array([index.setdefault(c, len(index)) for c in contest.field(f"competitor_{s}_id").to_pylist()])
-                for s in "ab"
-            }
-            state = np.concatenate([state, np.empty((len(index) - len(state), n_tracks, n_sets))])
-            for s in "ab":
-                rows, values = given(batch.column(f"pre_{s}"))
-                state[codes[s][rows]] = values
-            # A contest's turn: one after the latest turn of its two competitors.
-            turn, latest = np.empty(n, dtype=int), {}
-            for i, (x, y) in enumerate(zip(codes["a"].tolist(), codes["b"].tolist())):
-                turn[i] = max(latest.get(x, 0), latest.get(y, 0))
-                latest[x] = latest[y] = turn[i] + 1
-            share, score = field("share"), field("score_a")[:, None, None]
-            weight = {"overall": np.ones(n), "striking": share, "grappling": 1.0 - share}
-            weights = np.stack([weight[t] for t in tracks], axis=1)[:, :, None]
-            lift = np.where(field("finish").astype(bool)[:, None], bonus, 1.0)
-            k = {
-                s: (np.where(field(f"ordinal_{s}")[:, None] - 1 < early, k_early, k_late) * lift)[:, None, :]
-                for s in "ab"
-            }
-            out = {name: np.empty((n, n_tracks, n_sets)) for name in ("pre_a", "pre_b", "post_a", "post_b")}
-            by_turn = np.argsort(turn, kind="stable")
-            cuts = np.flatnonzero(np.diff(turn[by_turn])) + 1
-            for rows in np.split(by_turn, cuts):
-                a, b = codes["a"][rows], codes["b"][rows]
-                pre_a, pre_b = state[a], state[b]
-                expected = 1.0 / (1.0 + 10.0 ** ((pre_b - pre_a) / 400.0))
-                won, w = score[rows], weights[rows]
-                post_a = pre_a + k["a"][rows] * w * (won - expected)
-                post_b = pre_b + k["b"][rows] * w * ((1.0 - won) - (1.0 - expected))
-                state[a], state[b] = post_a, post_b
-                for name, value in zip(out, (pre_a, pre_b, post_a, post_b)):
-                    out[name][rows] = value
-            columns = [batch.column("contest_id"), contest, *[ratings(v) for v in out.values()]]
-            yield pa.RecordBatch.from_arrays(columns, names=["contest_id", "contest", *out])
-
-    return fold
-
-
-def _slices(rest: DataFrame, slice_rows: int) -> DataFrame:
-    """Tag each waiting contest with its slice: whole days, about equal counts.
-
-    The count table has one row per calendar day, so its single-partition window
-    and its broadcast stay small whatever the number of contests.
-    """
-    day = F.to_date("contest.date")
-    per_date = rest.groupBy(day.alias("date")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    cut = per_date.select(
-        F.col("date").alias("slice_date"),
-        F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / slice_rows).cast("int").alias("slice"),
-    )
-    return rest.join(F.broadcast(cut), day == F.col("slice_date")).drop("slice_date")
-
-
 def rate(
     contests: DataFrame,
     stats: DataFrame,
     params: Sequence[R.RatingParams] = (R.TUNED,),
     tracks: Sequence[str] = TRACKS,
-    min_round: int = MIN_ROUND,
-    slice_rows: int = SLICE_ROWS,
     hot_rows: int = careers.HOT_ROWS,
 ) -> DataFrame:
-    """One row per rated contest: the structs contest, pre_a, pre_b, post_a, post_b."""
+    """One row per rated contest: the structs contest, pre_a, pre_b, post_a, post_b.
+
+    A rated contest without a date fails, and so does a round that rates nothing
+    while contests are left.
+    """
     spark = contests.sparkSession
     root = scratch_path(spark, "rounds")
     # Rebalanced by feed: few files for small feeds, several for the large ones.
@@ -303,47 +201,19 @@ def rate(
         parts = step.carry(written(level - 1))
         return step.merged(parts if fed is None else parts.unionByName(fed.select(*step.known)))
 
-    level, n_narrow = 0, 0
-    while level == 0 or (n_left and n_narrow < (1 if n_left <= slice_rows else NARROW_ROUNDS)):
+    level = 0
+    while level == 0 or n_left:
         level += 1
         fed = prepared.filter(F.col("feed") == level) if level in feeds else None
         now = state_before(level, fed).select(*step.update)
         now.write.partitionBy("done").parquet(f"{root}/level={level}")
         n_done = written(level).filter("done").count()  # read off the file footers
+        if n_left and not n_done:
+            raise RuntimeError(f"{n_left} contests wait for ratings that never come")
         n_left -= n_done
-        n_narrow = n_narrow + 1 if n_done < min_round else 0
-
-    if n_left:
-        fed = prepared.filter(F.col("feed") > level)
-        rest = _slices(state_before(level + 1, fed).filter("contest IS NOT NULL"), slice_rows)
-        _fold_slices(materialise(rest, "rest", "slice"), root, level, step, _folder(params, tracks))
     return step.table(spark, root).filter("done").drop("done")
 
 
-def _fold_slices(rest: DataFrame, root: str, level: int, step: _Round, fold: Callable) -> None:
-    spark = rest.sparkSession
-    out_type = T.StructType([f for f in step.out_type.fields if f.name != "done"])
-    bounds = rest.groupBy("slice").agg(F.max("contest.date").alias("end")).orderBy("slice").collect()
-    for number, bound in enumerate(bounds, start=1):
-        part = rest.filter(F.col("slice") == bound["slice"]).select(*step.known)
-        if number > 1:
-            folded = step.table(spark, root).filter((F.col("level") > level) & F.col("done"))
-            # A slice takes only what was sent into its own dates.
-            start = bounds[number - 2]["end"]
-            sent = step.messages(folded).filter(
-                (F.col("target_date") > start) & (F.col("target_date") <= bound["end"])
-            )
-            part = step.merged(part.unionByName(sent.select(*step.known)))
-        (
-            part.repartition(1)
-            .sortWithinPartitions("contest.date", "contest_id")
-            .mapInArrow(fold, out_type)
-            .withColumn("done", F.lit(True))
-            .write.partitionBy("done")
-            .parquet(f"{root}/level={level + number}")
-        )
-
-
 def ratings_table(done: DataFrame, set_index: int = 0) -> DataFrame:
     """Two rows per rated contest with the ratings before and after it."""
     tracks = done.schema["pre_a"].dataType.names

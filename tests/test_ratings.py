@@ -42,38 +42,41 @@ def test_hand_computed(spark):
     assert ("f4", "a") not in got and got[("f3", "a")][3] == 1
 
 
-@pytest.mark.parametrize(
-    "options",
-    [
-        dict(min_round=0),
-        dict(min_round=10**9),
-        dict(min_round=10**9, slice_rows=25),
-        dict(min_round=6, slice_rows=30),
-        dict(min_round=8, hot_rows=20),
-    ],
-    ids=["rounds", "one slice", "many slices", "rounds then slices", "hot careers"],
-)
-def test_every_path_equals_the_sequential_result(spark, options):
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 20}], ids=["plain", "hot careers"])
+def test_rounds_equal_the_sequential_result(spark, options):
+    """One competitor is in a third of all contests."""
     contests, stats = random_league(seed=3, n=90, people=30, star="star")
     close(table(spark, contests, stats, **options), sequential_ratings(contests, stats, 40.0, 24.0, 5, 1.5))
 
 
+def test_all_contests_on_one_day(spark):
+    contests, stats = random_league(seed=4, n=40, people=8)
+    contests = [{**c, "date": contests[0]["date"]} for c in contests]
+    close(table(spark, contests, stats), sequential_ratings(contests, stats, 40.0, 24.0, 5, 1.5))
+
+
+def test_a_contest_without_date_fails(spark):
+    contests = [contest("f0", "2020-01-01", "x", "y", "a"), contest("f1", "2020-02-01", "x", "z", "a")]
+    contests[1]["date"] = None
+    with pytest.raises(Exception, match="no date for rated contest f1"):
+        table(spark, contests, [stat("f0", "a")])
+
+
 def test_parameter_sets_advance_together(spark):
     contests, stats = random_league(seed=5, n=60, people=12)
     sets = [PARAMS, RatingParams(64.0, 48.0, 3, 1.4)]
-    for options in (dict(min_round=0), dict(min_round=10**9, slice_rows=30)):
-        done = ratings.rate(frame(spark, contests, CONTESTS_DDL), frame(spark, stats, STATS_DDL), sets, **options)
-        for i, p in enumerate(sets):
-            rows = ratings.ratings_table(done, i).collect()
-            want = sequential_ratings(contests, stats, p.k_early, p.k_late, p.early_contests, p.finish_bonus)
-            for r in rows:
-                assert r["post_striking"] == pytest.approx(want[(r["contest_id"], r["side"])][5], abs=1e-9)
+    done = ratings.rate(frame(spark, contests, CONTESTS_DDL), frame(spark, stats, STATS_DDL), sets)
+    for i, p in enumerate(sets):
+        rows = ratings.ratings_table(done, i).collect()
+        want = sequential_ratings(contests, stats, p.k_early, p.k_late, p.early_contests, p.finish_bonus)
+        for r in rows:
+            assert r["post_striking"] == pytest.approx(want[(r["contest_id"], r["side"])][5], abs=1e-9)
 
 
 def test_grid_and_selection(spark):
     contests, stats = random_league(seed=6, n=60, people=10)
     grid = [RatingParams(k, 24.0, 5, 1.2) for k in (10.0, 40.0, 40.0)]
-    losses = ratings.grid_losses(frame(spark, contests, CONTESTS_DDL), frame(spark, stats, STATS_DDL), grid, min_round=10)
+    losses = ratings.grid_losses(frame(spark, contests, CONTESTS_DDL), frame(spark, stats, STATS_DDL), grid)
     got = {r["grid_index"]: r["log_loss"] for r in losses.collect()}
     for i, p in enumerate(grid):
         want = sequential_ratings(contests, stats, p.k_early, p.k_late, 5, 1.2)
@@ -100,5 +103,5 @@ def test_no_rated_contests(spark):
 def test_checks_find_nothing_wrong(spark):
     contests, stats = random_league(seed=7, n=60, people=9)
     df = frame(spark, contests, CONTESTS_DDL)
-    row = ratings.rating_checks(ratings.run_elo(df, frame(spark, stats, STATS_DDL), PARAMS, min_round=10), df).first()
+    row = ratings.rating_checks(ratings.run_elo(df, frame(spark, stats, STATS_DDL), PARAMS), df).first()
     assert row["n_rows"] == row["n_expected"] and row["n_broken_chains"] == 0 and row["n_out_of_range"] == 0
