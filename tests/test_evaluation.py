@@ -66,7 +66,18 @@ def test_exact_medians_by_bracketing(spark):
     df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
     want = {c: statistics.median([x for x in v if x is not None]) if c != "none" else None for c, v in columns.items()}
     assert quantiles.exact_medians(df, list(columns)) == pytest.approx(want)
-    assert quantiles.exact_medians(df, list(columns), direct_rows=10) == pytest.approx(want)
+
+
+def test_medians_of_odd_values(spark):
+    inf, nan = math.inf, math.nan
+    columns = {
+        "inf": [1.0, 2.0, inf, 3.0], "low": [-inf, -inf, -inf, 1.0], "nan": [nan, nan, nan, 1.0], "between": [1.0, 2.0, inf, nan],
+        "huge": [-1.7e308, 1.7e308, 1.0, 5.0], "tiny": [5e-324, 0.0, 1e-323, -0.0],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    got = quantiles.exact_medians(df, list(columns))
+    assert (got["inf"], got["low"], got["huge"], got["between"]) == (2.5, -inf, 3.0, inf)
+    assert math.isnan(got["nan"]) and 0.0 <= got["tiny"] <= 5e-324
 
 
 def test_preprocessing(spark):
