@@ -296,8 +296,10 @@ def merge_log(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     reals = placed.withColumn("action", F.when(takes_place, "replace").otherwise("append")).drop(
         "real_position", "stubbed", "passing"
     )
-    replaced = reals.filter("action = 'replace'").select(*on_name)
-    kept = recorded.unionByName(old_stubs.join(replaced, on_name, "left_anti")).withColumn(
+    # A prediction takes one place: that of the last stub of its names.
+    last_stub = old_stubs.groupBy(*on_name).agg(F.max("position").alias("position"))
+    replaced = reals.filter("action = 'replace'").select(*on_name).join(last_stub, on_name)
+    kept = recorded.unionByName(old_stubs.join(replaced, [*on_name, "position"], "left_anti")).withColumn(
         "action", F.lit("keep")
     )
     parts = [reals, new_stubs.withColumn("action", F.lit("append")), fresh_events]

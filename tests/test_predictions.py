@@ -47,6 +47,12 @@ def test_new_bouts_append_and_predictions_replace_stubs(spark):
         ("append", "Eve", "v2", False), ("append", "Gus", "v2", True), ("keep", "Ann", "v1", False), ("replace", "Di", "v2", False)]
 
 
+def test_a_prediction_takes_the_place_of_one_stub_only(spark):
+    old = [stub(0, "Ann", "Bea"), stub(1, "Bea", "Ann"), stub(2, "Cy", "Di")]
+    new = [real(5, "Ann", "Bea", version="v2")]
+    assert merged(spark, old, new) == [("keep", "Ann", "v1", True), ("keep", "Cy", "v1", True), ("replace", "Ann", "v2", False)]
+
+
 def test_a_stub_never_displaces_a_prediction_and_copies_count_once(spark):
     old = [real(0, "Ann", "Bea")]
     new = [stub(0, "Bea", "Ann", version="v2"), real(1, "Cy", "Di", p=0.7, version="v2"), real(2, "Di", "Cy", p=0.1, version="v2"),
