@@ -152,80 +152,37 @@ def _(t: Tables):
     return documents.metric_document(counted)
 
 
-BASE_URL = "https://wiki.example.org/wiki/"
-
-
-EVENTS_PER_PAGE = 8
-
-
-def _schedule_pages(t: Tables):
-    """Schedule pages of at most eight events of a week, some unlinked or undated."""
-    events = t.bouts.filter("main_event")
-    n = F.dayofyear("event_date")
-    link = F.concat(
-        F.lit('<td><a href="/wiki/x" title="'), "event_name", F.lit('"> '), "event_name", F.lit("</a></td>")
-    )
-    row = F.concat(
-        F.lit("<tr>"),
-        F.when(n % 11 != 0, link).otherwise(F.concat(F.lit("<td>"), "event_name", F.lit("</td>"))),
-        F.lit("<td><span>"),
-        F.when(n % 13 == 0, "TBA").otherwise(F.date_format("event_date", "MMM d, yyyy")),
-        F.lit("</span></td></tr>"),
-    )
-    rows = F.array_sort(F.collect_list(F.struct("event_name", row.alias("r"))))
-    body = F.array_join(F.transform(rows, lambda x: x["r"]), "")
-    table = F.concat(
-        F.lit('<div><table id="Scheduled_events"><tr><th>Event</th></tr>'), body, F.lit("</table></div>")
-    )
-    page = F.floor(F.col("card") / EVENTS_PER_PAGE)
-    return events.groupBy("week", "block", page).agg(
-        F.min("a_order").alias("page_id"), table.alias("html")
-    )
+_ITEMS_SQL = """
+page_items AS (
+  SELECT page_id, regexp_extract(coalesce(url, ''), '^[A-Za-z]+://[^/?#]+') AS site,
+         list_filter(regexp_extract_all(coalesce(html, ''), '<li><a href="[^"]*">[^<]*</a></li>'),
+                     lambda x: regexp_matches(x, '>\\s*[^<>\\s][^<>]*</a>')) AS found
+  FROM pages),
+item_places AS (SELECT page_id, site, found, unnest(range(len(found))) AS position FROM page_items),
+titled AS (
+  SELECT page_id, site, position, len(found) AS n, regexp_extract(found[position + 1], 'href="([^"]*)"', 1) AS href,
+         trim(regexp_replace(regexp_extract(found[position + 1], '>([^<>]*)</a>', 1), '\\s*\\(c\\)\\s*$', '')) AS title
+  FROM item_places)
+"""
 
 
 @register(
     "schedule_pages",
-    f"""SELECT min(a_order) OVER (PARTITION BY week, block, card // {EVENTS_PER_PAGE}) AS page_id, pos AS position, event_name,
-               event_name AS page_title, CAST(event_date AS VARCHAR) AS date,
-               '{BASE_URL}' || replace(replace(event_name, ' ', '_'), ':', '%3A') AS page_url
-        FROM (SELECT *, row_number() OVER (PARTITION BY week, block, card // {EVENTS_PER_PAGE}, linked
-                                           ORDER BY event_name) - 1 AS pos
-              FROM (SELECT *, dayofyear(event_date) % 11 <> 0 AND dayofyear(event_date) % 13 <> 0 AS linked
-                    FROM bouts WHERE main_event))
-        QUALIFY linked""",
-)
-def _(t: Tables):
-    rows = html.extract_schedule(_schedule_pages(t), BASE_URL)
-    return rounded(rows)
-
-
-def _card_pages(t: Tables):
-    """One card page per event; twelve bouts at most."""
-    champion = F.when(F.col("title_fight"), " (c)").otherwise("")
-    row = F.concat(
-        F.lit("<tr><td>"), F.coalesce("weight_class", F.lit("")), F.lit("</td><td><b>"), "competitor_a_name", champion,
-        F.lit("</b></td><td>vs.</td><td>"), "competitor_b_name", F.lit("</td><td>KO</td></tr>"),
-    )
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", row.alias("r")))), lambda x: x["r"]), "")
-    return t.bouts.groupBy("event_name", "event_date").agg(
-        F.min("a_order").alias("page_id"),
-        F.concat(
-            F.lit('<div><h2 id="Fight_card">Card</h2></div><p>Note</p><table><tr><th colspan="5">Main</th></tr>'),
-            body,
-            F.lit("<tr><td>only</td><td>two</td></tr></table>"),
-        ).alias("html"),
-    )
+    f"""WITH {_ITEMS_SQL} SELECT page_id, CAST(position AS INTEGER) AS position, title AS event_name,
+               CASE WHEN href LIKE '/%' THEN site || href ELSE href END AS page_url FROM titled""",
+)
+def _(t: Tables):
+    return rounded(html.extract_schedule(t.table("pages")))
 
 
 @register(
     "card_pages",
-    """SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY position) - 1 AS position,
-              name_a AS competitor_a_name, name_b AS competitor_b_name, coalesce(weight_class, '') AS weight_class,
-              title_fight, row_number() OVER (PARTITION BY page_id ORDER BY position) = 1 AS main_event
-       FROM (SELECT *, min(a_order) OVER (PARTITION BY event_name, event_date) AS page_id FROM bouts)""",
+    f"""WITH {_ITEMS_SQL} SELECT page_id, CAST(a.position // 2 AS INTEGER) AS position, a.title AS competitor_a_name,
+               b.title AS competitor_b_name, a.position = 0 AS main_event
+        FROM titled a JOIN titled b USING (page_id) WHERE a.position % 2 = 0 AND b.position = a.position + 1""",
 )
 def _(t: Tables):
-    return rounded(html.extract_cards(_card_pages(t)))
+    return rounded(html.extract_cards(t.table("pages")))
 
 
 @register(

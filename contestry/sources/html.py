@@ -1,195 +1,46 @@
-"""Schedule and card tables out of HTML pages.
+"""Schedules and cards out of web pages, as column expressions.
 
-The pages are a Spark table; each task parses its own rows with the standard
-library's HTML parser and returns plain rows.
+A schedule is a page's linked list items; a card is its list items taken two by two.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-from datetime import datetime
-from html.parser import HTMLParser
-from urllib.parse import quote
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+_ITEM = r'<li><a href="[^"]*">[^<]*</a></li>'
+_HREF = r'href="([^"]*)"'
+_TITLE = r">([^<>]*)</a>"
 
-# Tasks get this small module with the function, so executors need no install.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+def _title(item: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_extract(item, _TITLE, 1), r"\s*\(c\)\s*$", ""))
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "parts", "parent")
+def _items(html: Column) -> Column:
+    """The page's linked list items in order; those without a title are skipped."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_ITEM), F.lit(0))
+    return F.filter(found, lambda item: _title(item) != "")
 
-    def __init__(self, tag: str, attrs: dict, parent: "_Node | None"):
-        self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
 
-    def walk(self) -> Iterator["_Node"]:
-        for part in self.parts:
-            if isinstance(part, _Node):
-                yield part
-                yield from part.walk()
-
-    def all(self, tag: str) -> list["_Node"]:
-        return [n for n in self.walk() if n.tag == tag]
-
-    def first(self, tag: str) -> "_Node | None":
-        return next((n for n in self.walk() if n.tag == tag), None)
-
-    def by_id(self, wanted: str) -> "_Node | None":
-        return next((n for n in self.walk() if n.attrs.get("id") == wanted), None)
-
-    def text(self) -> str:
-        """Trimmed pieces of text, joined without blanks."""
-        pieces = []
-        for part in self.parts:
-            pieces.append(part.text() if isinstance(part, _Node) else part.strip())
-        return "".join(pieces)
-
-
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.here = _Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, dict(attrs), self.here)
-        self.here.parts.append(node)
-        if tag not in _VOID:
-            self.here = node
-
-    def handle_endtag(self, tag):
-        node = self.here
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.here = node.parent
-
-    def handle_data(self, data):
-        self.here.parts.append(data)
-
-
-def _parse(html: str) -> _Node:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    return tree.root
-
-
-def _date(text: str) -> str | None:
-    for spelling in ("%b %d, %Y", "%B %d, %Y"):
-        try:
-            return datetime.strptime(text, spelling).date().isoformat()
-        except ValueError:
-            pass
-    return None
-
-
-def schedule_rows(html: str, base_url: str) -> list[dict]:
-    """Linked and dated rows of the schedule table, in table order."""
-    table = _parse(html).by_id("Scheduled_events")
-    if table is None or table.tag != "table":
-        return []
-    rows = []
-    for row in table.all("tr"):
-        cells = row.all("td")
-        link = cells[0].first("a") if len(cells) >= 2 else None
-        if link is None or not link.attrs.get("href"):
-            continue
-        date = _date((cells[1].first("span") or cells[1]).text())
-        if date is None:
-            continue
-        title = link.attrs.get("title") or link.text()
-        rows.append(
-            {
-                "event_name": link.text(),
-                "page_title": title,
-                "date": date,
-                "page_url": base_url + quote(title.replace(" ", "_")),
-            }
-        )
-    return rows
-
-
-def _champion(name: str) -> tuple[str, bool]:
-    marked = name.endswith("(c)")
-    return (name[:-3].strip() if marked else name), marked
-
-
-def _card_table(root: _Node) -> _Node | None:
-    """The first table after the block that holds the card heading."""
-    heading = root.by_id("Fight_card")
-    if heading is None:
-        return None
-    block = heading.parent
-    while block is not None and block.tag != "div":
-        block = block.parent
-    block = block or heading
-    siblings = [p for p in block.parent.parts if isinstance(p, _Node)]
-    return next((n for n in siblings[siblings.index(block) + 1 :] if n.tag == "table"), None)
-
-
-def card_rows(html: str) -> list[dict]:
-    """Bouts in listed order; the first is the main event."""
-    table = _card_table(_parse(html))
-    rows: list[dict] = []
-    for row in table.all("tr") if table else ():
-        cells = [c.text() for c in row.all("td")]
-        if len(cells) < 4 or "vs" not in cells[2].lower():
-            continue
-        (name_a, champion_a), (name_b, champion_b) = _champion(cells[1]), _champion(cells[3])
-        if name_a and name_b:
-            rows.append(
-                {
-                    "position": len(rows),
-                    "competitor_a_name": name_a,
-                    "competitor_b_name": name_b,
-                    "weight_class": cells[0],
-                    "title_fight": champion_a or champion_b,
-                    "main_event": not rows,
-                }
-            )
-    return rows
-
-
-SCHEDULE_SCHEMA = "page_id long, position int, event_name string, page_title string, date string, page_url string"
-CARD_SCHEMA = (
-    "page_id long, position int, competitor_a_name string, competitor_b_name string, weight_class string, "
-    "title_fight boolean, main_event boolean"
-)
-
-
-def extract_schedule(pages: DataFrame, base_url: str) -> DataFrame:
-    """pages(page_id, html) -> one row per scheduled event."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "position", "event_name", "page_title", "date", "page_url"]
-        for batch in batches:
-            rows = [
-                {"page_id": page, "position": i, **row}
-                for page, html in zip(batch["page_id"], batch["html"])
-                for i, row in enumerate(schedule_rows(html or "", base_url))
-            ]
-            yield pd.DataFrame(rows, columns=names)
-
-    return pages.select("page_id", "html").mapInPandas(parse, SCHEDULE_SCHEMA)
+def extract_schedule(pages: DataFrame) -> DataFrame:
+    """(page_id, position, event_name, page_url) per linked list item; links are resolved against the page's site."""
+    site = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z]+://[^/?#]+", 0)
+    rows = pages.select("page_id", site.alias("site"), F.posexplode(_items(F.col("html"))).alias("position", "item"))
+    href = F.regexp_extract("item", _HREF, 1)
+    page_url = F.when(href.startswith("/"), F.concat("site", href)).otherwise(href)
+    return rows.select("page_id", "position", _title(F.col("item")).alias("event_name"), page_url.alias("page_url"))
 
 
 def extract_cards(pages: DataFrame) -> DataFrame:
-    """pages(page_id, html) -> one row per bout."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in CARD_SCHEMA.split(", ")]
-        for batch in batches:
-            rows = [
-                {"page_id": page, **row}
-                for page, html in zip(batch["page_id"], batch["html"])
-                for row in card_rows(html or "")
-            ]
-            yield pd.DataFrame(rows, columns=names)
-
-    return pages.select("page_id", "html").mapInPandas(parse, CARD_SCHEMA)
+    """(page_id, position, competitor_a_name, competitor_b_name, main_event) per pair of list items; an odd last one is skipped."""
+    items = pages.select("page_id", _items(F.col("html")).alias("items"))
+    pairs = F.transform(
+        F.slice("items", 1, F.floor(F.size("items") / 2).cast("int") * 2),
+        lambda item, k: F.when(k % 2 == 0, F.struct(_title(item).alias("a"), _title(F.get("items", k + 1)).alias("b"))),
+    )
+    rows = items.select("page_id", F.posexplode(F.filter(pairs, lambda p: p.isNotNull())).alias("position", "pair"))
+    return rows.select(
+        "page_id", "position", F.col("pair.a").alias("competitor_a_name"), F.col("pair.b").alias("competitor_b_name"),
+        (F.col("position") == 0).alias("main_event"),
+    )

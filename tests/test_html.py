@@ -1,39 +1,11 @@
 from contestry.sources import html
 
-SCHEDULE = """
-<table id="Other"><tr><td><a href="/x">No</a></td><td>Jan 1, 2026</td></tr></table>
-<table class="w" id="Scheduled_events"><tbody><tr><th>Event</th><th>Date</th></tr>
-<tr><td><a href="/wiki/E_9" title="Event 9: A &amp; B"> Event 9 </a></td><td><span>Sep 19, 2026</span> x</td></tr>
-<tr><td>Not linked</td><td>Sep 26, 2026</td></tr>
-<tr><td><a href="/wiki/E_8">Event 8</a></td><td>October 3, 2026</td></tr>
-<tr><td><a href="/wiki/E_7">Event 7</a></td><td>TBA</td></tr>
-<tr><td>one</td></tr></tbody></table>"""
+PAGE = """<nav><ul><li><a href="/x/1">Event 1</a></li><li><a href="http://w/2"> Two (c)</a></li><li><a href="/3"> </a></li>
+<li>unlinked</li><li><a href="/4">Four</a></li></ul></nav>"""
 
-CARD = """
-<div class="head"><h2 id="Fight_card">Fight card</h2></div><p>text</p>
-<table><tr><th>Main</th></tr>
-<tr><td>Lightweight</td><td><a>Ann&nbsp;</a> (c)</td><td>vs.</td><td>Bea</td><td></td></tr>
-<tr><td>Flyweight</td><td>Cy</td><td>def.</td><td>Di</td></tr>
-<tr><td>Flyweight</td><td>Eve<br></td><td>VS</td><td>Fay</td></tr>
-<tr><td>Flyweight</td><td></td><td>vs</td><td>Gus</td></tr></table>
-<table><tr><td>x</td><td>Not</td><td>vs</td><td>Here</td></tr></table>"""
 
-
-def test_schedule():
-    rows = html.schedule_rows(SCHEDULE, "http://w/")
-    assert [(r["event_name"], r["page_title"], r["date"]) for r in rows] == [
-        ("Event 9", "Event 9: A & B", "2026-09-19"), ("Event 8", "Event 8", "2026-10-03")]
-    assert rows[1]["page_url"] == "http://w/Event_8" and html.schedule_rows("<p>none</p>", "") == []
-
-
-def test_card():
-    rows = html.card_rows(CARD)
-    assert [(r["competitor_a_name"], r["competitor_b_name"], r["title_fight"], r["main_event"]) for r in rows] == [
-        ("Ann", "Bea", True, True), ("Eve", "Fay", False, False)]
-    assert html.card_rows("<h2>none</h2>") == [] and html.card_rows('<div><h2 id="Fight_card"></h2></div>') == []
-
-
-def test_as_a_job(spark):
-    pages = spark.createDataFrame([(1, CARD), (2, None), (3, SCHEDULE)], "page_id long, html string").repartition(3)
-    assert [r["page_id"] for r in html.extract_cards(pages).collect()] == [1, 1]
-    assert html.extract_schedule(pages, "http://w/").count() == 2
+def test_items_and_pairs(spark):
+    pages = spark.createDataFrame([(1, "http://w.example/p?q", PAGE), (2, "u", None), (3, None, "<p>none</p>")], "page_id long, url string, html string")
+    found = [tuple(r) for r in html.extract_schedule(pages).orderBy("position").collect()]
+    assert found == [(1, 0, "Event 1", "http://w.example/x/1"), (1, 1, "Two", "http://w/2"), (1, 2, "Four", "http://w.example/4")]
+    assert [tuple(r) for r in html.extract_cards(pages).collect()] == [(1, 0, "Event 1", "Two", True)]
