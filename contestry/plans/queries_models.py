@@ -590,7 +590,7 @@ def _log_versions(t: Tables) -> tuple[DataFrame, DataFrame]:
     """A log recorded earlier, and a later run over the same cards.
 
     The earlier log lacks some events and the later bouts, and holds a stub at
-    position 4.  The later run lists odd bouts the other way round and in
+    position 4, twice.  The later run lists odd bouts the other way round and in
     accents, repeats bout 2, has a stub for bout 6, and lists bout 10 first as
     a stub.
     """
@@ -607,6 +607,7 @@ def _log_versions(t: Tables) -> tuple[DataFrame, DataFrame]:
 
     day = F.dayofmonth("event_date")
     earlier = log.filter((day % 5 != 0) & (at < 9)).withColumns(stub(at == 4, "earlier failure"))
+    earlier = earlier.unionByName(earlier.filter(at == 4).withColumn("position", at + 200))
     odd = at % 2 == 1
 
     def accented(c: str) -> Column:
@@ -630,12 +631,15 @@ def _log_versions(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 _MERGE_SQL = f"""
-WITH earlier AS (
+WITH recorded AS (
   SELECT event_name, event_date, position, name_a, name_b,
          CASE WHEN position <> 4 THEN a_id END AS a_id, CASE WHEN position <> 4 THEN b_id END AS b_id,
          CASE WHEN position <> 4 THEN p_a_wins END AS p, skipped OR position = 4 AS skipped,
          CASE WHEN position = 4 AND NOT skipped THEN 'earlier failure' ELSE reason END AS reason, model_version
   FROM log WHERE day(event_date) % 5 <> 0 AND position < 9),
+earlier AS (
+  SELECT * FROM recorded
+  UNION ALL SELECT * REPLACE (position + 200 AS position) FROM recorded WHERE position = 4),
 turned AS (
   SELECT event_name, event_date, position,
          CASE WHEN odd THEN regexp_replace(name_b, '^Jose ', 'José ') ELSE name_a END AS name_a,
@@ -676,6 +680,8 @@ placed AS (
                THEN 'replace' ELSE 'append' END AS action FROM reals r),
 merged AS (
   SELECT *, 'keep' AS action FROM old o WHERE ik IS NOT NULL
+     OR position < (SELECT max(x.position) FROM old x WHERE x.ik IS NULL AND x.event_name = o.event_name
+                     AND x.event_date = o.event_date AND x.nk = o.nk)
      OR NOT EXISTS (SELECT 1 FROM placed p WHERE p.action = 'replace' AND p.event_name = o.event_name
                      AND p.event_date = o.event_date AND p.nk = o.nk)
   UNION ALL SELECT * FROM placed
@@ -836,7 +842,7 @@ def _winner_model(t: Tables):
     rows, inputs = _model_rows(t)
     train, val = _splits(rows)
     flagged = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
-    return learn.train_winner(flagged, max_rounds=20), rows, inputs
+    return learn.train_winner(flagged), rows, inputs
 
 
 @register("winner_model")

@@ -15,7 +15,7 @@ from contestry.session import materialise
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple, DataFrame] = {}
 
 # The splits used on the order dates of the test tables (1995-2001).
 TRAIN_END, TEST_START = "1999-01-01", "2000-01-01"
@@ -30,12 +30,21 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def version(self) -> tuple:
+        """Sizes and change times of the folder's files, so that a rewritten folder is read anew."""
+        java = self.spark.sparkContext._jvm
+        path = java.org.apache.hadoop.fs.Path(self.sf_dir)
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f for top in files.listStatus(path) for f in (files.listStatus(top.getPath()) if top.isDirectory() else [top])]
+        return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+
     def table(self, name: str) -> DataFrame:
         return views.table(self.spark, self.sf_dir, name)
 
     def stored(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A table other queries build on: computed once per session and folder."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, label)
+        """A table other queries build on: computed once per session, folder and state of its files."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.version, label)
         if key not in _stored:
             _stored[key] = build()
         return _stored[key]

@@ -53,7 +53,7 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 
 def local_session(cores: int | str = 8, app_name: str = "contestry") -> SparkSession:
-    """A single-JVM session for tests and the benchmark."""
+    """A single-JVM session for tests and the benchmark, with a checkpoint folder of its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -63,5 +63,6 @@ def local_session(cores: int | str = 8, app_name: str = "contestry") -> SparkSes
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(_CHECKPOINT_KEY, tempfile.mkdtemp(prefix="contestry-"))
         .getOrCreate()
     )
