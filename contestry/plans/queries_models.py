@@ -300,24 +300,41 @@ _CORRECTION = {m: f"p_{m}" for m in METHODS}
           FROM (VALUES ('ko_tko'), ('submission'), ('decision')) v(label))""",
 )
 def _(t: Tables):
-    empirical, probs = _method_shares(t)
-    factors = learn.correction_factors(empirical, learn.mean_probs(probs, METHODS).first().asDict())
-    return rounded(t.spark.createDataFrame(list(factors.items()), "label string, factor double"))
+    shares = learn.class_priors(_train_labels(t)).filter("prior = 'method'").select("label", "share")
+    return rounded(learn.share_ratios(shares, _train_probs(t), METHODS))
 
 
-def _method_shares(t: Tables) -> tuple[dict[str, float], DataFrame]:
-    priors = learn.class_priors(_train_labels(t)).filter("prior = 'method'")
-    known = train_rows(dataset.decisive(given_probs(t))).filter("method IS NOT NULL")
-    return {r["label"]: r["share"] for r in priors.collect()}, known
+def _train_probs(t: Tables) -> DataFrame:
+    return train_rows(dataset.decisive(given_probs(t))).filter("method IS NOT NULL")
 
 
-@register("correction_factors")
+def _prior_groups(t: Tables) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
+    """Training probabilities of each group of priors."""
+    rounds = learn.masked_rounds(_round_probs(t)).join(_train_probs(t).select("contest_id"), "contest_id", "left_semi")
+    long = F.coalesce("scheduled_rounds", F.lit(3)) == 5
+    return {
+        "method": (_train_probs(t), METHODS),
+        "round_3": (rounds.filter(F.coalesce("scheduled_rounds", F.lit(3)) <= 3), ROUND_CLASSES),
+        "round_5": (rounds.filter(long), ROUND_CLASSES),
+    }
+
+
+@register(
+    "correction_factors",
+    f"SELECT prior, label, share AS empirical, true AS met, share > 0 AS used FROM ({_PRIOR_SQL})",
+)
 def _(t: Tables):
-    empirical, probs = _method_shares(t)
-    factors = learn.fit_factors(empirical, probs)
-    fitted = learn.mean_probs(probs, METHODS, factors).first().asDict()
-    rows = [(c, factors[c], empirical[c], fitted[c]) for c in METHODS]
-    return t.spark.createDataFrame(rows, "label string, factor double, empirical double, corrected_mean double")
+    """Priors with whether the corrected mean meets them; the factors are fitted out of stored rows."""
+    shares: dict[str, dict[str, float]] = {}
+    for r in learn.class_priors(_train_labels(t)).collect():
+        shares.setdefault(r["prior"], {})[r["label"]] = r["share"]
+    rows = []
+    for group, (probs, classes) in _prior_groups(t).items():
+        probs = materialise(probs.select(*[f"p_{c}" for c in classes]), "probabilities")
+        factors = learn.prior_factors(probs, shares[group])
+        mean = learn.mean_probs(probs, classes, factors).first().asDict()
+        rows += [(group, c, shares[group][c], abs((mean[c] or 0.0) - shares[group][c]) < 1e-6, factors[c] > 0) for c in classes]
+    return rounded(t.spark.createDataFrame(rows, "prior string, label string, empirical double, met boolean, used boolean"))
 
 
 # --- preprocessing ---------------------------------------------------------------------------------

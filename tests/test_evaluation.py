@@ -120,9 +120,20 @@ def test_correction_factors_reach_the_empirical_shares(spark):
         rows.append(tuple(x / sum(w) for x in w))
     probs = spark.createDataFrame(rows, "p_a double, p_b double, p_c double").cache()
     empirical = {"a": 0.5, "b": 0.3, "c": 0.2}
-    factors = learn.fit_factors(empirical, probs)
-    assert learn.mean_probs(probs, list("abc"), factors).first().asDict() == pytest.approx(empirical, abs=1e-5)
-    assert learn.correction_factors({"a": 0.5}, {"a": 1e-9}) == {"a": 0.0}
+    factors = learn.prior_factors(probs, empirical)
+    assert learn.mean_probs(probs, list("abc"), factors).first().asDict() == pytest.approx(empirical, abs=1e-8)
+    assert learn.prior_factors(probs, {"a": 0.9, "b": 0.0, "c": 0.1})["b"] == 0.0
+    shares = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "label string, share double")
+    few = spark.createDataFrame([(1e-9, 0.25)], "p_a double, p_b double")
+    assert {r["label"]: r["factor"] for r in learn.share_ratios(shares, few, ["a", "b"]).collect()} == {"a": 0.0, "b": 2.0}
+
+
+def test_coarse_search_finds_the_grid_minimum(spark):
+    rows = [(g, 0.3 * g * (k % 7 - 3), float((k * k + g) % 5 < 2 + (k % 7) // 4)) for g in range(1, 5) for k in range(60)]
+    scored = spark.createDataFrame(rows, "g int, logit double, y double")
+    whole = learn.temperature_losses(scored, learn.TEMPERATURES, "g").collect()
+    want = {g: min((r["log_loss"], r["t"]) for r in whole if r["g"] == g)[1] for g in range(1, 5)}
+    assert {r["g"]: r["t"] for r in learn.fit_temperatures(scored, "g").collect()} == want
 
 
 def test_temperature_of_overconfident_logits(spark):
