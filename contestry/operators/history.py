@@ -103,6 +103,14 @@ def build_snapshots(
     return stats_now.join(last_ratings(ratings), "competitor_id", "left")
 
 
+def snapshots_before(
+    contests: DataFrame, stats: DataFrame, ratings: DataFrame, cut: Column, limit: int = careers.HOT_ROWS
+) -> DataFrame:
+    """Snapshots out of the contests strictly before ``cut``."""
+    earlier = F.col("date") < cut
+    return build_snapshots(contests.filter(earlier), stats, ratings.filter(earlier), limit)
+
+
 def last_ratings(ratings: DataFrame) -> DataFrame:
     """Each competitor's ratings after the latest (date, contest)."""
     latest = F.max_by(

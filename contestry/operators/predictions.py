@@ -69,22 +69,29 @@ def _corner(number: int, as_of: Column) -> Column:
 
 
 def matchups(bouts: DataFrame, competitors: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Card rows with resolved ids, both current states, or the reason to skip them."""
+    """Card rows with resolved ids, both current states, or the reason to skip them.
+
+    With a column ``run`` in both, a bout takes the states of its own run.
+    """
+    run = ["run"] if "run" in snapshots.columns else []
     named = attach_names(bouts, competitors, "competitor_a_name", "competitor_b_name")
     state = snapshots.join(
         competitors.select("competitor_id", F.struct("height_cm", "reach_cm", "stance", "dob").alias("bio")),
         "competitor_id",
         "left",
-    ).select("competitor_id", F.struct(*[c for c in snapshots.columns if c != "competitor_id"]).alias("now"), "bio")
+    )
+    values = [c for c in snapshots.columns if c not in ("competitor_id", "run")]
+    state = state.select("competitor_id", *run, F.struct(*values).alias("now"), "bio")
 
     def of(number: int) -> DataFrame:
         return state.select(
+            *run,
             F.col("competitor_id").alias(f"id_{number}"),
             F.col("now").alias(f"now_{number}"),
             F.col("bio").alias(f"bio_{number}"),
         )
 
-    joined = named.join(of(1), "id_1", "left").join(of(2), "id_2", "left")
+    joined = named.join(of(1), ["id_1", *run], "left").join(of(2), ["id_2", *run], "left")
     unmatched = F.col("id_1").isNull() | F.col("id_2").isNull()
     unseen = [
         F.when(F.col(f"now_{i}").isNull(), F.concat(F.lit("'"), F.col(f"competitor_{s}_name"), F.lit("'")))

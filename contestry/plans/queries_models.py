@@ -568,7 +568,7 @@ def _(t: Tables):
                {q6('elo_a')} AS elo_a, {q6('elo_b')} AS elo_b FROM log""",
 )
 def _(t: Tables):
-    made = predictions.predict_cards(t.bouts, t.competitors, t.snapshots)
+    made = predictions.predict_cards(t.run_bouts, t.competitors, t.run_snapshots)
     return rounded(made.select(*[c for c in LOG_FIELDS if c not in ("predicted_at_utc", "model_version")]))
 
 
@@ -579,7 +579,7 @@ def _(t: Tables):
         FROM log WHERE NOT skipped""",
 )
 def _(t: Tables):
-    ready = predictions.matchups(t.bouts, t.competitors, t.snapshots).filter("NOT skipped")
+    ready = predictions.matchups(t.run_bouts, t.competitors, t.run_snapshots).filter("NOT skipped")
     scored = predictions.rating_scorer(predictions.orientations(ready))
     both = predictions.symmetrise(scored.drop("method_probs", "round_probs"), *predictions.BOUT_KEY)
     return rounded(both)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,9 @@ TRAIN_END, TEST_START = "1999-01-01", "2000-01-01"
 VAL = ("1999-01-01", "1999-12-31")
 TUNE_CUTOFF = "2000-01-01"
 TODAY = "2000-06-30"
+# Cards are predicted in runs, out of contests more than a week before the run.
+RUNS = ("1900-01-01", "1996-07-01", "1998-01-01", "1999-07-01", TODAY)
+RUN_LEAD_DAYS = 7
 
 
 class Tables:
@@ -97,6 +100,28 @@ class Tables:
 
         return self.stored("grid-losses", build)
 
+    @cached_property
+    def run_bouts(self) -> DataFrame:
+        """The bouts with the last run before their event."""
+        day = F.col("event_date")
+        run = F.coalesce(*[F.when(day >= F.lit(r).cast("date"), F.lit(r).cast("date")) for r in reversed(RUNS)])
+        return self.bouts.withColumn("run", run)
+
+    @cached_property
+    def run_snapshots(self) -> DataFrame:
+        """The snapshots each run could know."""
+
+        def build() -> DataFrame:
+            made = []
+            for r in RUNS:
+                run = F.lit(r).cast("date")
+                cut = F.date_sub(run, RUN_LEAD_DAYS).cast("timestamp_ntz")
+                known = history.snapshots_before(self.contests, self.stats, self.ratings, cut)
+                made.append(known.withColumn("run", run))
+            return materialise(reduce(DataFrame.unionByName, made), "run-snapshots")
+
+        return self.stored("run-snapshots", build)
+
     @cached_property
     def features(self) -> DataFrame:
         """The stored feature table."""
@@ -112,7 +137,7 @@ class Tables:
         """The prediction log of all cards, stamped a week before each event."""
 
         def build() -> DataFrame:
-            made = predictions.predict_cards(self.bouts, self.competitors, self.snapshots)
+            made = predictions.predict_cards(self.run_bouts, self.competitors, self.run_snapshots)
             day = F.col("event_date")
             at = F.concat(F.date_format(F.date_sub(day, 7), "yyyy-MM-dd"), F.lit("T12:00:00Z"))
             version = F.concat(F.lit("v"), (F.year(day) % 3).cast("string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from contestry.operators.careers import STAT_NAMES
 from contestry.operators.features import DIFF_STEMS, PER_SIDE
 from contestry.plans.oracle import block
+from contestry.plans.registry import RUN_LEAD_DAYS, RUNS
 
 block(
     "side_values",
@@ -242,6 +243,14 @@ SELECT 'Open Night: ' || week || ' / ' || block || '.' || card AS event_name,
 FROM pairs JOIN listed la ON la.k = a_cust JOIN listed lb ON lb.k = b_cust
 """,
 )
+block("runs", "SELECT * FROM (VALUES " + ", ".join(f"(DATE '{r}')" for r in RUNS) + ") v(run)")
+block(
+    "ratings_at_runs",
+    f"""
+SELECT run, competitor_id, post_overall AS elo_overall FROM ratings JOIN runs ON date < run - {RUN_LEAD_DAYS}
+QUALIFY row_number() OVER (PARTITION BY run, competitor_id ORDER BY date DESC, contest_id DESC) = 1
+""",
+)
 block(
     "log",
     """
@@ -263,9 +272,10 @@ FROM (
                 THEN 'matched competitor id has no contest history: ['
                      || concat_ws(', ', CASE WHEN s1.elo_overall IS NULL THEN '''' || name_a || '''' END,
                                   CASE WHEN s2.elo_overall IS NULL THEN '''' || name_b || '''' END) || ']' END AS reason
-  FROM bouts b LEFT JOIN resolved r1 ON r1.name = name_a LEFT JOIN resolved r2 ON r2.name = name_b
-  LEFT JOIN last_ratings s1 ON s1.competitor_id = r1.resolved_id
-  LEFT JOIN last_ratings s2 ON s2.competitor_id = r2.resolved_id
+  FROM (SELECT *, (SELECT max(run) FROM runs WHERE run <= event_date) AS run FROM bouts) b
+  LEFT JOIN resolved r1 ON r1.name = name_a LEFT JOIN resolved r2 ON r2.name = name_b
+  LEFT JOIN ratings_at_runs s1 ON s1.competitor_id = r1.resolved_id AND s1.run = b.run
+  LEFT JOIN ratings_at_runs s2 ON s2.competitor_id = r2.resolved_id AND s2.run = b.run
 )
 """,
 )
