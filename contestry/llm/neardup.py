@@ -1,17 +1,16 @@
 """Near-duplicate documents by a join of MinHash signature coordinates.
 
-Every set of word shingles gets ``coords`` MinHash values.  Equal sets collapse to
+Every set of word shingles gets a signature of ``coords`` coordinates, each made of
+``ROWS`` MinHash values, so that sets with little in common seldom share one.  Equal sets collapse to
 one representative first.  A representative is posted under its coordinate values;
 of two sets with at least ``matches`` equal coordinates, both must have one of the
 shared values among their ``coords - matches + 1`` rarest, so only that prefix is
 posted and the long lists of frequent values are skipped.  Values found once need
 no posting at all.
 
-Within a list, members are compared with the list's first member.  What is left to
-compare is a list's members outside the component of its first member, against the
-members of other components: links inside one component change nothing.  So a large
-group of copies costs a row per copy, not per pair.  Pairs with enough equal
-coordinates are confirmed on the full sets.
+Within a list, members are first compared with one head, then only across components
+(see ``graph.linked``), so a large group of copies costs a row per copy, not per
+pair.  Pairs with enough equal coordinates are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -25,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contestry.llm import text as tx
-from contestry.llm.graph import components
+from contestry.llm.graph import MEASURED, linked
 from contestry.session import materialise
 
-#: 32 coordinates, 13 to match: a pair at similarity 0.8 is missed with probability 1e-7.
+#: 32 coordinates of three values, 3 to match: a pair at similarity 0.8 is missed with probability 6e-8.
 COORDS = 32
-MATCHES = 13
+ROWS = 3
+MATCHES = 3
 _SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>"
 
 
@@ -41,7 +41,7 @@ def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[tx.Chunk, np.ndarray
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int, coords: int) -> Iterator[pa.RecordBatch]:
-    factors = tx.mix(np.arange(1, coords + 1, dtype=np.uint64)) | np.uint64(1)
+    factors = tx.mix(np.arange(1, coords * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     salts = tx.mix(np.arange(1001, coords + 1001, dtype=np.uint64))
     for batch in batches:
         for chunk, sets, bounds in _sets(batch.column(1), shingle):
@@ -54,7 +54,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int, coords: int
                 sums[0, full] = np.add.reduceat(tx.mix(sets ^ salts[0]), at)
                 sums[1, full] = np.add.reduceat(tx.mix(sets ^ salts[1]), at)
                 for k in range(coords):
-                    keys[:, k] = tx.mix(np.minimum.reduceat(sets * factors[k], at) ^ salts[k])
+                    for factor in factors[k * ROWS : (k + 1) * ROWS]:
+                        keys[:, k] = tx.mix(keys[:, k] + np.minimum.reduceat(sets * factor, at) ^ salts[k])
             each = np.concatenate([[0], np.cumsum(np.where(sizes > 0, coords, 0))])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -76,40 +77,31 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterato
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             left, right = sets_of(part.column(2)), sets_of(part.column(3))
-            shared = np.array([len(np.intersect1d(x, y, True)) for x, y in zip(left, right, strict=True)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - shared
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(shared), pa.array(union)], names=["a", "b", "shared", "united"]
-            )
+            fresh = [np.setdiff1d(y, x, True) for x, y in zip(left, right, strict=True)]
+            na, nb, nf = (np.array([len(x) for x in sets], np.int64) for sets in (left, right, fresh))
+            bounds = np.concatenate([[0], np.cumsum(nf)])
+            columns = [part.column(0), part.column(1), pa.array(nb - nf), pa.array(na), pa.array(nb)]
+            columns.append(tx.lists(tx.longs(np.concatenate([*fresh, np.empty(0, np.uint64)])), bounds, pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "na", "nb", "fresh"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _measured(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) with what their full sets share."""
     right = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("right")), "b")
     both = right.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("left")), "a")
-    compared = both.select("a", "b", "left", "right").mapInArrow(
-        partial(_compare_batches, shingle=shingle), "a long, b long, shared long, united long"
-    )
-    return compared.where(F.expr(f"100 * shared >= {percent} * united")).select("a", "b")
-
-
-def _alike(pairs: DataFrame, sketches: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs whose sizes allow the similarity and whose signatures match in enough places."""
-    a = sketches.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    b = sketches.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-    both = pairs.join(b, "b").join(a, "a").where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
-    return both.where(F.size(F.array_intersect("sa", "sb")) >= matches).select("a", "b")
+    return both.select("a", "b", "left", "right").mapInArrow(partial(_compare_batches, shingle=shingle), MEASURED)
 
 
 def _postings(reps: DataFrame, coords: int, matches: int) -> DataFrame:
-    """(rep, key): each representative under the non-unique values of its prefix."""
+    """(node, key, weight): each representative under the non-unique values of its prefix."""
     keys = reps.select("rep", F.explode("sig").alias("key"))
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keys.join(counts, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"))
+    shared = keys.join(counts, "key").groupBy("rep")
+    shared = shared.agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("found"), F.sum("n").alias("weight"))
     # values found once come first in the order and use up the prefix
     room = F.lit(coords - matches + 1 - coords) + F.size("found")
-    posted = shared.where(room > 0).select("rep", F.explode(F.slice("found", F.lit(1), room)).alias("post"))
-    return posted.select("rep", F.col("post.key").alias("key"))
+    posted = shared.where(room > 0).select("rep", "weight", F.explode(F.slice("found", F.lit(1), room)).alias("post"))
+    return posted.select(F.col("rep").alias("node"), F.col("post.key").alias("key"), "weight")
 
 
 def near_duplicates(
@@ -138,23 +130,16 @@ def near_duplicates(
     reps = named.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     reps = materialise(reps, "neardup_reps")
     posts = materialise(_postings(reps, coords, matches), "neardup_posts")
-    posted = posts.select("rep").distinct()
-    sketches = materialise(reps.join(posted, "rep", "left_semi").select("rep", "n_shingles", "sig"), "neardup_posted")
+    posted = posts.select(F.col("node").alias("rep")).distinct()
+    signed = reps.join(posted, "rep", "left_semi").select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "sig")
+    signed = materialise(signed, "neardup_posted")
     texts = own.withColumnRenamed("doc_id", "rep").join(posted, "rep", "left_semi")
     texts = materialise(texts, "neardup_texts")
 
-    heads = posts.groupBy("key").agg(F.min("rep").alias("a"))
-    stars = posts.withColumnRenamed("rep", "b").join(heads, "key").where("a <> b").select("a", "b").distinct()
-    links = _confirmed(_alike(stars, sketches, matches, percent), texts, shingle, percent)
-    first = materialise(_same_id(sketch, reps).unionByName(links), "neardup_links")
-    known = components(first, "neardup_components")
-
-    rest = materialise(_rest(posts, known), "neardup_rest")
-    more = _confirmed(_alike(rest, sketches, matches, percent), texts, shingle, percent)
-    more = materialise(more, "neardup_more")
-    if not more.isEmpty():
-        joined = known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more)
-        known = components(joined, "neardup_components")
+    def measure(pairs: DataFrame) -> DataFrame:
+        return _measured(pairs, texts, shingle)
+
+    known = linked(posts, measure, percent, "neardup", _same_id(sketch, reps), signed, matches)
     classes = reps.drop("sig").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     found = sketch.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
@@ -174,17 +159,3 @@ def _same_id(sketch: DataFrame, reps: DataFrame) -> DataFrame:
     mixed = named.join(sets, "doc_id").select("doc_id", "h1", "h2", "n_shingles")
     return mixed.join(reps.drop("sig"), ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-
-def _rest(posts: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a list but no component, but for those with the list's first member."""
-    placed = posts.join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    heads = placed.groupBy("key").agg(
-        F.min(F.struct("rep", "component")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    mixed = placed.join(heads.where("low <> high").select("key", "head"), "key")
-    mixed = mixed.where("rep <> head.rep").select("key", "rep", "component", F.col("head.component").alias("main"))
-    outside = mixed.where("component <> main").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    others = mixed.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("main").alias("mb"))
-    pairs = outside.join(others, "key").where("ca <> cb and (cb = mb or a < b)")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
