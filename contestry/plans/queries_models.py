@@ -919,14 +919,20 @@ def _(t: Tables):
 
 _COEFFICIENTS = {
     "elo_diff": 0.004, "age_diff": -0.02, "reach_diff": 0.01, "streak_diff": 0.05, "kd_pf_diff": 0.1,
-    "career_win_rate_diff": 0.8, "td_landed_pf_diff": 0.03, "height_diff": 0.005,
+    "career_win_rate_diff": 0.8, "td_landed_pf_diff": 0.03, "height_diff": 0.005, "age_a": 0.02, "age_b": -0.03,
 }
-_CONTRIBUTION = "CASE c " + " ".join(f"WHEN '{c}' THEN {c} * {w}" for c, w in _COEFFICIENTS.items()) + " END"
+# Turned round, a difference changes its sign and a side's own value becomes the other's.
+_TURNED = {"age_a": "age_b", "age_b": "age_a"}
+_CONTRIBUTION = "CASE c " + " ".join(
+    f"WHEN '{c}' THEN (coalesce({c}, 0) - {f'coalesce({_TURNED[c]}, 0)' if c in _TURNED else f'coalesce(-{c}, 0)'}) * {w} / 2"
+    for c, w in _COEFFICIENTS.items()
+) + " END"
 
 
 def _contributions(t: Tables) -> DataFrame:
     forward = t.features.select("contest_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _COEFFICIENTS])
-    backward = forward.select("contest_id", *[(-F.col(c)).alias(c) for c in _COEFFICIENTS])
+    turned = [F.col(_TURNED[c]) if c in _TURNED else -F.col(c) for c in _COEFFICIENTS]
+    backward = forward.select("contest_id", *[v.alias(c) for v, c in zip(turned, _COEFFICIENTS, strict=True)])
     return learn.additive_contributions(forward, backward, _COEFFICIENTS)
 
 
