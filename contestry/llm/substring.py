@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestry.llm import text as tx
-from contestry.llm.graph import linked
+from contestry.llm.graph import MEASURED, linked
 from contestry.session import materialise
 
 PASSAGE = 50
@@ -36,7 +36,9 @@ SIMILARITY = 80
 RECALL = 0.999
 #: Spans with at most so many words between them are cut as one.
 BRIDGE = 3
-_BITMAP_BITS = 26
+_BITMAP_BITS = 27
+#: Each key sets three bits: the parts of it from these bits on.
+_SHIFTS = (64 - _BITMAP_BITS, 18, 0)
 
 
 def bands_for(similarity: float, rows: int, recall: float = RECALL) -> int:
@@ -126,14 +128,11 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tx.longs(np.concatenate([marks.pieces, marks.keys.ravel()])))], names=["key"])
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return keys >> np.uint64(64 - _BITMAP_BITS)
-
-
 def _repeated(docs: DataFrame) -> np.ndarray:
-    """A bit for each slot with a key that occurs twice; its size does not depend on the data."""
+    """A bitmap of the keys that occur twice; its size does not depend on the data."""
     keys = docs.select("text").mapInArrow(_key_batches, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    slots = keys.select(F.shiftrightunsigned("key", 64 - _BITMAP_BITS).alias("slot"))
+    parts = [F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << _BITMAP_BITS) - 1)) for shift in _SHIFTS]
+    slots = keys.select(F.explode(F.array(*parts)).alias("slot"))
     words = slots.selectExpr("slot >> 5 AS word", "shiftleft(1L, CAST(slot & 31 AS INT)) AS bit")
     words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << (_BITMAP_BITS - 5), np.uint32)
@@ -150,8 +149,11 @@ def _mark_chunk(chunk: tx.Chunk, bits: np.ndarray) -> pa.StructArray:
     words = marks.words
 
     def repeated(keys: np.ndarray) -> np.ndarray:
-        slots = _slots(keys)
-        return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        found = np.ones(keys.shape, bool)
+        for shift in _SHIFTS:
+            slots = (keys >> np.uint64(shift)) & np.uint64((1 << _BITMAP_BITS) - 1)
+            found &= (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return found
 
     own = repeated(marks.pieces)
     places, pieces = marks.places[own], marks.pieces[own]
@@ -190,23 +192,24 @@ def _words_of(text: str | None) -> tx.Words:
     return tx.find_words(chunk._replace(data=tx.lower(chunk.data)), tx.SPACED)
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact similarity of the lines (start, size) of two texts."""
+def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the shingle sets of lines (start, size) of two texts share."""
 
     def shingles(text: str, start: int, size: int) -> np.ndarray:
         return np.unique(tx.grams(_words_of(text).hashes[start : start + size], SHINGLE))
 
     for batch in batches:
-        linked_rows = []
+        rows = []
         for row in batch.to_pylist():
             x, y = shingles(row["ta"], row["sa"], row["na"]), shingles(row["tb"], row["sb"], row["nb"])
-            shared = len(np.intersect1d(x, y, True))
-            linked_rows.append(100 * shared >= SIMILARITY * (len(x) + len(y) - shared))
-        kept = pa.array(linked_rows, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+            fresh = np.setdiff1d(y, x, True)
+            rows.append((len(y) - len(fresh), len(x), len(y), tx.longs(fresh)))
+        shared, na, nb, fresh = zip(*rows, strict=True) if rows else ((), (), (), ())
+        columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (shared, na, nb)), pa.array(fresh, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "na", "nb", "fresh"])
 
 
-def _line_spans(found: DataFrame) -> DataFrame:
+def _line_spans(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(row, start, end, source) of lines whose cluster has an earlier one."""
     lines = found.select("row", "doc_id", F.explode("found.lines").alias("l")).select("row", "doc_id", "l.*")
     first = F.min(F.struct("doc_id", "row", "start", "size")).alias("first")
@@ -217,18 +220,18 @@ def _line_spans(found: DataFrame) -> DataFrame:
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     posts = materialise(shared.select("node", "key").join(weights, "node"), "passage_posts")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    needed = posts.select(F.col("node").alias("content")).distinct().join(classes, "content").select("first.row").distinct()
+    texts = materialise(texts.join(needed, "row", "left_semi"), "passage_texts")
+
+    def measure(pairs: DataFrame) -> DataFrame:
         a = classes.select(F.col("content").alias("a"), F.col("first.row").alias("ra"), F.col("first.start").alias("sa"), F.col("first.size").alias("na"))
         b = classes.select(F.col("content").alias("b"), F.col("first.row").alias("rb"), F.col("first.start").alias("sb"), F.col("first.size").alias("nb"))
         placed = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {SIMILARITY - 10} * greatest(na, nb)")
-        placed = materialise(placed, "passage_pairs")
-        needed = placed.select(F.explode(F.array("ra", "rb")).alias("row")).distinct()
-        texts = materialise(found.select("row", "text").join(needed, "row", "left_semi"), "passage_texts")
         both = placed.join(texts.select(F.col("row").alias("ra"), F.col("text").alias("ta")), "ra")
         both = both.join(texts.select(F.col("row").alias("rb"), F.col("text").alias("tb")), "rb")
-        return both.select("a", "b", "sa", "na", "sb", "nb", "ta", "tb").mapInArrow(_verify_batches, "a long, b long")
+        return both.select("a", "b", "sa", "na", "sb", "nb", "ta", "tb").mapInArrow(_measure_batches, MEASURED)
 
-    groups = linked(posts, confirm, "passage")
+    groups = linked(posts, measure, SIMILARITY, "passage")
     grouped = classes.select("content", "first").join(groups.withColumnRenamed("node", "content"), "content", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "content"))
     firsts = grouped.groupBy("component").agg(F.min("first").alias("first"))
@@ -332,19 +335,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(held, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bitmap = docs.sparkSession.sparkContext.broadcast(_repeated(texts))
     mark = _marker(bitmap)
-    marked = texts.withColumn("found", mark(F.coalesce("text", F.lit(""))))
+    marked = texts.withColumn("found", mark(F.coalesce("text", F.lit("")))).drop("text")
     some = (F.size("found.pieces") > 0) | (F.size("found.lines") > 0)
     found = materialise(marked.where(some).withColumn("row", F.monotonically_increasing_id()), "passage_found")
+    found_texts = found.select("row", F.col(f"own.`{text_col}`").cast("string").alias("text"))
 
     runs = _piece_runs(found)
-    asked = runs.join(found.select(F.col("row").alias("from_row"), "text"), "from_row")
+    asked = runs.join(found_texts.withColumnRenamed("row", "from_row"), "from_row")
     asked = asked.select("row", "start", "end", "source", "from_row", "from_start", "from_end", "text")
     extended = asked.mapInArrow(_context_batches, "row long, start int, end int, source long, before array<long>, after array<long>")
-    whole = _line_spans(found).withColumns({"before": F.array().cast("array<long>"), "after": F.array().cast("array<long>")})
+    whole = _line_spans(found, found_texts).withColumns({"before": F.array().cast("array<long>"), "after": F.array().cast("array<long>")})
     spans = extended.unionByName(whole).groupBy("row").agg(
         F.collect_list(F.struct("start", "end", "before", "after")).alias("spans"), F.sort_array(F.collect_set("source")).alias("sources")
     )
-    touched = found.select("row", "own", "text").join(spans, "row", "left").withColumn("cut", F.arrow_udf(_cut_texts, _CUT)("text", "spans"))
+    touched = found.select("row", "own").join(spans, "row", "left")
+    touched = touched.withColumn("cut", F.arrow_udf(_cut_texts, _CUT)(F.col(f"own.`{text_col}`").cast("string"), "spans"))
     changed = F.size("cut.removed") > 0
     none = "array<struct<start: int, end: int>>"
     touched = touched.select(
