@@ -48,8 +48,9 @@ def _digest(links: DataFrame) -> tuple:
 
 
 
-#: What a comparison of pairs (a, b) gives: sizes of both sets, of what they share, and b's members that a lacks.
-MEASURED = "a long, b long, shared long, na long, nb long, fresh array<long>"
+#: What a comparison of pairs (a, b) gives: sizes of both sets and of what they share,
+#: b's members that a lacks (fresh), and a's members that b lacks (lost).
+MEASURED = "a long, b long, shared long, na long, nb long, fresh array<long>, lost array<long>"
 
 
 def linked(
@@ -72,9 +73,9 @@ def linked(
     says how common its keys are, so that the text which others are copies of heads a
     list, not a copy that differs from it and from the other copies.  Links within a
     component change nothing, so what is left is pairs of different components in one
-    list.  For two nodes that were both measured against one head, the head's share
-    bounds what they can have in common beside their own fresh members, which leaves
-    hardly a pair that is not a link.  Pairs with a node whose signature is unlike
+    list.  For two nodes that were both measured against one head, what each lost of
+    the head and has beside it tells exactly what the two share, so only links leave
+    that join.  Pairs with a node whose signature is unlike
     the head's are compared by signature.  So a large group of copies costs a row per
     copy, and no link between components is lost.  Nodes without links may be missing
     from the result.
@@ -120,20 +121,25 @@ def _alike(pairs: DataFrame, signatures: DataFrame, matches: int, percent: int)
 
 
 def _beyond_heads(measured: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that may be linked, of nodes measured against one head."""
+    """Pairs of different components that are linked, of nodes measured against one head.
+
+    What two nodes share is the head without what either lost, and the fresh members
+    they have in common.
+    """
     own = known.select(F.col("node").alias("b"), F.col("component").alias("own"))
     main = known.select(F.col("node").alias("a"), F.col("component").alias("main"))
     placed = measured.join(own, "b", "left").join(main, "a", "left")
-    placed = placed.select("a", "b", "shared", "nb", "fresh", F.coalesce("own", "b").alias("own"), F.coalesce("main", "a").alias("main"))
-    outside = placed.where("own <> main").select("a", *(F.col(c).alias(f"{c}_x") for c in ("b", "shared", "nb", "fresh", "own")))
+    placed = placed.select("a", "b", "shared", "na", "nb", "fresh", "lost", F.coalesce("own", "b").alias("own"), F.coalesce("main", "a").alias("main"))
+    outside = placed.where("own <> main").select("a", *(F.col(c).alias(f"{c}_x") for c in ("b", "shared", "nb", "fresh", "lost", "own")))
     mixed = placed.join(outside.select("a").distinct(), "a", "left_semi")
-    room = f"{100 + percent} * (least(shared_x, shared) + {{}}) >= {percent} * (nb_x + nb)"
+    enough = f"{100 + percent} * ({{}}) >= {percent} * (nb_x + nb)"
+    both_lost, both_fresh = "size(array_intersect(lost_x, lost))", "size(array_intersect(fresh_x, fresh))"
     joined = outside.join(
         mixed,
         (outside["a"] == mixed["a"])
         & F.expr("own_x <> own AND (own = main OR b_x < b)")
-        & F.expr(room.format("least(size(fresh_x), size(fresh))"))
-        & F.expr(room.format("size(array_intersect(fresh_x, fresh))")),
+        & F.expr(enough.format("least(shared_x, shared) + least(size(fresh_x), size(fresh))"))
+        & F.expr(enough.format(f"na - size(lost_x) - size(lost) + {both_lost} + {both_fresh}")),
     )
     return joined.select(F.least("b_x", "b").alias("a"), F.greatest("b_x", "b").alias("b")).distinct()
 

@@ -78,11 +78,13 @@ def _compare_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterato
             part = batch.slice(start, 256)
             left, right = sets_of(part.column(2)), sets_of(part.column(3))
             fresh = [np.setdiff1d(y, x, True) for x, y in zip(left, right, strict=True)]
+            lost = [np.setdiff1d(x, y, True) for x, y in zip(left, right, strict=True)]
             na, nb, nf = (np.array([len(x) for x in sets], np.int64) for sets in (left, right, fresh))
-            bounds = np.concatenate([[0], np.cumsum(nf)])
             columns = [part.column(0), part.column(1), pa.array(nb - nf), pa.array(na), pa.array(nb)]
-            columns.append(tx.lists(tx.longs(np.concatenate([*fresh, np.empty(0, np.uint64)])), bounds, pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "na", "nb", "fresh"])
+            for sets in (fresh, lost):
+                bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                columns.append(tx.lists(tx.longs(np.concatenate([*sets, np.empty(0, np.uint64)])), bounds, pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "na", "nb", "fresh", "lost"])
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:

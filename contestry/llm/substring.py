@@ -21,6 +21,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +110,14 @@ def _range_hash(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return tx.mix(np.array(found, np.uint64) + (ends - starts).astype(np.uint64)) if found else np.empty(0, np.uint64)
 
 
+def _piece_hashes(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One hash for the ``PIECE`` words from each place on."""
+    found = np.zeros(len(places), np.uint64)
+    for k in range(PIECE):
+        found = tx.mix(found + hashes[places + k])
+    return found
+
+
 class _Marks:
     """Pieces and long lines of a chunk, with positions counted from each text's first word."""
 
@@ -116,7 +125,7 @@ class _Marks:
         self.words = words = tx.find_words(chunk._replace(data=tx.lower(chunk.data)), tx.SPACED)
         hashes = tx.grams(words.hashes, SHINGLE)
         self.places = _anchors(words, hashes)
-        self.pieces = tx.grams(words.hashes, PIECE)[self.places] if len(self.places) else np.empty(0, np.uint64)
+        self.pieces = _piece_hashes(words.hashes, self.places)
         self.starts, self.ends = _lines(chunk, words)
         self.keys = _band_keys(hashes, self.starts, self.ends)
 
@@ -203,10 +212,11 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for row in batch.to_pylist():
             x, y = shingles(row["ta"], row["sa"], row["na"]), shingles(row["tb"], row["sb"], row["nb"])
             fresh = np.setdiff1d(y, x, True)
-            rows.append((len(y) - len(fresh), len(x), len(y), tx.longs(fresh)))
-        shared, na, nb, fresh = zip(*rows, strict=True) if rows else ((), (), (), ())
-        columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (shared, na, nb)), pa.array(fresh, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "na", "nb", "fresh"])
+            rows.append((len(y) - len(fresh), len(x), len(y), tx.longs(fresh), tx.longs(np.setdiff1d(x, y, True))))
+        shared, na, nb, fresh, lost = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+        columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (shared, na, nb))]
+        columns += [pa.array(x, pa.list_(pa.int64())) for x in (fresh, lost)]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "na", "nb", "fresh", "lost"])
 
 
 def _line_spans(found: DataFrame, texts: DataFrame) -> DataFrame:
@@ -272,50 +282,81 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + sides, names=["row", "start", "end", "source", "before", "after"])
 
 
-def _equal(ours: np.ndarray, theirs: list[int]) -> int:
+def _equal(ours: np.ndarray, theirs: np.ndarray) -> int:
     """How many words agree from the first on."""
     n = min(len(ours), len(theirs))
-    same = ours[:n] == np.array(theirs[:n], np.int64)
+    same = ours[:n] == theirs[:n]
     return n if same.all() else int(np.argmin(same))
 
 
-def _cut(text: str, spans: list[dict]) -> tuple[str, list[dict]]:
-    words = _words_of(text)
-    hashes, count = tx.longs(words.hashes), len(words.hashes)
-    ranges = []
-    for span in spans:
-        start, end = span["start"], span["end"]
-        start -= _equal(hashes[max(0, start - PIECE) : start][::-1], span["before"])
-        end += _equal(hashes[end : end + PIECE], span["after"])
-        ranges.append((start, end))
-    merged: list[list[int]] = []
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of ``PASSAGE`` words or more, after joining those at most ``BRIDGE`` words apart."""
+    merged: list[tuple[int, int]] = []
     for start, end in sorted(ranges):
         if merged and start <= merged[-1][1] + BRIDGE:
-            merged[-1][1] = max(merged[-1][1], end)
+            merged[-1] = (merged[-1][0], max(merged[-1][1], end))
         else:
-            merged.append([start, end])
-    merged = [m for m in merged if m[1] - m[0] >= PASSAGE]
-    if not merged:
-        return text, []
-    data, pieces, place = text.encode("utf-8", "replace"), [], 0
-    for start, end in merged:
-        pieces.append(data[place : words.starts[start]])
-        place = words.starts[end] if end < count else words.ends[count - 1]
-    pieces.append(data[place:])
-    return b"".join(pieces).decode("utf-8"), [{"start": a, "end": b} for a, b in merged]
+            merged.append((start, end))
+    return [(start, end) for start, end in merged if end - start >= PASSAGE]
+
+
+class _Spans:
+    """The spans of a batch as arrays: each with its range and the words around its first occurrence."""
+
+    def __init__(self, spans: pa.ListArray) -> None:
+        flat = spans.flatten()
+        self.bounds = _ends(spans)
+        self.start, self.end = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+        self.sides = {}
+        for side in ("before", "after"):
+            lists = flat.field(side)
+            self.sides[side] = (lists.flatten().to_numpy(zero_copy_only=False), _ends(lists))
+
+    def around(self, side: str, k: int) -> np.ndarray:
+        values, bounds = self.sides[side]
+        return values[bounds[k] : bounds[k + 1]]
+
+    def ranges(self, text: int, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """The text's ranges, extended as far as words agree with the first occurrence."""
+        found = []
+        for k in range(self.bounds[text], self.bounds[text + 1]):
+            start, end = int(self.start[k]), int(self.end[k])
+            start -= _equal(hashes[max(0, start - PIECE) : start][::-1], self.around("before", k))
+            found.append((start, end + _equal(hashes[end : end + PIECE], self.around("after", k))))
+        return found
+
+
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    """Bounds of the lists in their flattened values; null lists are empty."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+
+
+def _without(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranges: list[tuple[int, int]]) -> str:
+    """The text without the words of the ranges; words are given by their bytes."""
+    pieces, place = [], 0
+    for start, end in ranges:
+        pieces.append(data[place : starts[start]])
+        place = starts[end] if end < len(starts) else ends[-1]
+    return np.concatenate([*pieces, data[place:]]).tobytes().decode("utf-8")
 
 
 _CUT = "struct<text: string, removed: array<struct<start: int, end: int>>>"
 
 
 def _cut_texts(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    kind = pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    rows = []
-    for text, own in zip(texts, spans, strict=True):
-        text, own = text.as_py(), own.as_py()
-        left, removed = _cut(text, own) if own else (text, [])
-        rows.append({"text": left, "removed": removed})
-    return pa.array(rows, kind)
+    known, left, removed = _Spans(spans), [], []
+    for chunk in tx.chunks(texts):
+        data, offsets = chunk.data, chunk.offsets
+        words = tx.find_words(chunk._replace(data=tx.lower(data)), tx.SPACED)
+        hashes = tx.longs(words.hashes)
+        for text in range(chunk.count):
+            own = slice(words.bounds[text], words.bounds[text + 1])
+            ranges = _merged(known.ranges(chunk.first + text, hashes[own]))
+            first, last = offsets[text], offsets[text + 1]
+            left.append(_without(data[first:last], words.starts[own] - first, words.ends[own] - first, ranges) if ranges else None)
+            removed.append([{"start": a, "end": b} for a, b in ranges])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(removed, kind)], names=["text", "removed"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
