@@ -38,6 +38,8 @@ HEADLINE = (
     "graded_log",
     "track_record",
     "card_pages",
+    "winner_model",
+    "ensemble",
 )
 
 
