@@ -260,8 +260,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     parsed = materialise(own.mapInArrow(_parse_batches, _PARSED), "pages_parsed")
     low = low_branches(parsed)
-    joined = parsed.select("page_id", "url", "host", "blocks").join(low, "host", "left")
+    open_pages = F.exists("blocks", lambda b: F.size(b["branches"]) > 0)
+    # pages without a branch that may go are done; only the others meet their host's list
+    done = parsed.where(~open_pages).select("page_id", "url", "blocks")
+    joined = parsed.where(open_pages).select("page_id", "url", "host", "blocks").join(low, "host", "left")
     gone = F.coalesce("removed", F.array().cast("array<long>"))
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["branches"], gone))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    texts = done.unionByName(joined.select("page_id", "url", kept.alias("blocks")))
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), " ")
+    return texts.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
