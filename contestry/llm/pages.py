@@ -30,7 +30,7 @@ NEVER = frozenset(
     "head script style noscript template nav footer aside form button select option textarea input iframe svg canvas "
     "object audio video map dialog menu".split()
 )
-#: Words of class, id or role that mark what is not main text.
+#: Whole names (class, id or role) that mark what is not main text.
 NOT_MAIN = frozenset(
     "ad ads advert advertisement advertisements adverts sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar footer masthead header topbar toolbar cookie cookies consent gdpr notice notices alert "
@@ -38,6 +38,8 @@ NOT_MAIN = frozenset(
     "recommendations comment comments commentlist disqus reply replies respond pagination pager widget widgets "
     "contentinfo complementary search skip skiplink copyright legal disclaimer tags".split()
 )
+#: Names of elements that are left out even if they hold an article: those of comments and teasers.
+_HOLD_ARTICLES = frozenset("related recommended recommendations comment comments commentlist disqus reply replies respond".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
@@ -46,7 +48,6 @@ _INLINE = frozenset(
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _LISTS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_NAME = regex.compile(r"[a-z]+")
 _DIGITS = regex.compile(r"\d+")
 
 
@@ -56,21 +57,26 @@ def _number(path: str) -> int:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "region", "named", "children")
+    __slots__ = ("tag", "path", "dropped", "region", "named", "children", "names", "marked")
 
-    def __init__(self, tag: str, path: str, dropped: bool, region: str, named: tuple[str, ...]) -> None:
+    def __init__(self, tag: str, path: str, dropped: bool, region: str, named: tuple[str, ...], names: frozenset[str], marked: tuple["_Element", ...]) -> None:
         self.tag, self.path, self.dropped, self.region, self.named = tag, path, dropped, region, named
         self.children: list[str] = []
+        # names that leave it out, none once an article or main begins in it, and the elements around that had some
+        self.names, self.marked = names, (*marked, self) if names else marked
+
+    def left_out(self) -> bool:
+        return any(e.names for e in self.marked)
 
 
 class _Blocks(HTMLParser):
-    """Blocks as (region, path, removable paths, text), and element paths with child sequences."""
+    """Blocks as (element, text), and element paths with child sequences."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack = [_Element("", "", False, "", ())]
+        self.stack = [_Element("", "", False, "", (), frozenset(), ())]
         self.pieces: list[str] = []
-        self.blocks: list[tuple[str, str, tuple[str, ...], str]] = []
+        self.blocks: list[tuple[_Element, str]] = []
         self.nodes: list[tuple[str, str]] = []
 
     def flush(self) -> None:
@@ -78,7 +84,7 @@ class _Blocks(HTMLParser):
         self.pieces = []
         if text:
             holder = next(e for e in reversed(self.stack) if e.tag not in _INLINE)
-            self.blocks.append((holder.region, holder.path, holder.named, text))
+            self.blocks.append((holder, text))
 
     def _pop(self, depth: int) -> None:
         if any(e.tag not in _INLINE for e in self.stack[depth:]):
@@ -110,17 +116,18 @@ class _Blocks(HTMLParser):
                 self._pop(depth)
             self.flush()
         known = dict(attrs)
-        names = f"{known.get('class') or ''} {known.get('id') or ''} {known.get('role') or ''}".lower()
+        names = f"{known.get('class') or ''} {known.get('id') or ''} {known.get('role') or ''}".lower().split()
         above = self.stack[-1]
         label = tag + "".join(f".{_DIGITS.sub('0', n)}" for n in sorted((known.get("class") or "").split()[:3]))
         path = f"{above.path}/{label}"
         hidden = "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in (known.get("style") or "").replace(" ", "")
-        dropped = above.dropped or tag in NEVER or hidden or (tag not in ("html", "body", "article", "main") and not NOT_MAIN.isdisjoint(_NAME.findall(names)))
+        dropped = above.dropped or tag in NEVER or hidden
+        marks = NOT_MAIN.intersection(names) if tag not in ("html", "body", "article", "main") else frozenset()
         region = above.region
         if tag in ("article", "main") and not dropped:
             region = "article" if "article" in (tag, region) else tag
-            if not NOT_MAIN.isdisjoint(_NAME.findall(names)):
-                dropped = True
+            for element in above.marked:
+                element.names &= _HOLD_ARTICLES
         if tag == "header" and region != "article":
             dropped = True
         if above.tag == "header" and tag not in _HEADINGS and tag not in ("div", "hgroup") and tag not in _INLINE:
@@ -129,7 +136,7 @@ class _Blocks(HTMLParser):
         removable = tag not in ("html", "body", "article", "main") and (region == "" or known.get("class") or known.get("id"))
         named = (*above.named, path) if removable else above.named
         above.children.append(label)
-        self.stack.append(_Element(tag, path, dropped, region, named))
+        self.stack.append(_Element(tag, path, dropped, region, named, marks, above.marked))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _VOID:
@@ -153,8 +160,11 @@ def blocks_of(html: str) -> tuple[list[tuple[str, tuple[str, ...], str]], list[t
     parser = _Blocks()
     parser.feed(html)
     parser.finish()
+    kept = [(e, text) for e, text in parser.blocks if not e.left_out()]
+    # an article among teasers or comments is the page's own if there is nothing else
+    kept = kept or [(e, text) for e, text in parser.blocks if e.region]
     for region in ("article", "main", ""):
-        chosen = [b[1:] for b in parser.blocks if b[0] == region or not region]
+        chosen = [(e.path, e.named, text) for e, text in kept if e.region == region or not region]
         if chosen:
             return chosen, parser.nodes
     return [], parser.nodes

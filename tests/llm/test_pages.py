@@ -45,3 +45,13 @@ def test_given_pages(spark):
 
 def test_empty_table(spark):
     assert texts(spark, []) == {}
+
+
+def test_names_drop_neither_an_article_nor_what_holds_it(spark):
+    body = "<h1>Head</h1><p>Long story</p>"
+    made = [f"<div class='wrap no-sidebar'><article>{body}</article></div>", f"<article class='post has-sidebar'>{body}</article>", f"<main class='search-results'>{body}</main>"]
+    made += [f"<div class='content sidebar'>x<article class='sidebar'>{body}</article></div>", f"<main id='search'><div class='widget'><article>{body}</article></div></main>"]
+    made += [f"<article><div class='article-header'><h1>Head</h1></div><section id='legal-framework'>Long</section><h2 id='related-work'>story</h2><div class='share'>x</div></article>"]
+    made += [f"<main>{body}<div id='comments'><article class='comment'>Nice!</article></div></main>", f"<div class='related'><article>{body}</article></div>", "<div class='ad'>Buy</div>"]
+    found = texts(spark, [(k, f"http://h{k}.example/", html) for k, html in enumerate(made)])
+    assert [found[k][0] for k in range(len(made))] == ["Head Long story"] * 8 + [""]
