@@ -56,6 +56,11 @@ def _number(path: str) -> int:
     return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def _above(named: tuple[str, ...]) -> str:
+    """The style node over the last of an element's removable paths."""
+    return named[-2] if len(named) > 1 else ""
+
+
 class _Element:
     __slots__ = ("tag", "path", "dropped", "region", "named", "children", "names", "marked")
 
@@ -70,14 +75,14 @@ class _Element:
 
 
 class _Blocks(HTMLParser):
-    """Blocks as (element, text), and element paths with child sequences."""
+    """Blocks as (element, text), and element paths with the nodes over them and child sequences."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack = [_Element("", "", False, "", (), frozenset(), ())]
         self.pieces: list[str] = []
         self.blocks: list[tuple[_Element, str]] = []
-        self.nodes: list[tuple[str, str]] = []
+        self.nodes: list[tuple[str, str, str]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
@@ -90,8 +95,8 @@ class _Blocks(HTMLParser):
         if any(e.tag not in _INLINE for e in self.stack[depth:]):
             self.flush()
         for element in self.stack[depth:]:
-            if element.named and not element.dropped and element.children:
-                self.nodes.append((element.path, " ".join(element.children)))
+            if element.path in element.named and not element.dropped and element.children:
+                self.nodes.append((element.path, _above(element.named), " ".join(element.children)))
         del self.stack[depth:]
 
     def _find(self, tags: tuple[str, ...], limits: tuple[str, ...] = ()) -> int:
@@ -155,7 +160,7 @@ class _Blocks(HTMLParser):
         self.flush()
 
 
-def blocks_of(html: str) -> tuple[list[tuple[str, tuple[str, ...], str]], list[tuple[str, str]]]:
+def blocks_of(html: str) -> tuple[list[tuple[str, tuple[str, ...], str]], list[tuple[str, str, str]]]:
     """Blocks (path, removable paths, text) of a page's main part, and its element nodes."""
     parser = _Blocks()
     parser.feed(html)
@@ -184,9 +189,9 @@ def _parsed_row(html: str | None) -> tuple[int, list[dict], list[dict]]:
     nodes = []
     for path, named, text in blocks:
         if path in named:
-            nodes.append((path, named[-2] if len(named) > 1 else "", True, text))
-    for path, children in elements:
-        nodes.append((path, path.rpartition("/")[0], False, children))
+            nodes.append((path, _above(named), True, text))
+    for path, above, children in elements:
+        nodes.append((path, above, False, children))
     listed = [{"node": _number(n), "above": _number(a), "leaf": leaf, "feature": _number(f)} for n, a, leaf, f in nodes]
     return _number("\n".join(text for _, _, text in blocks)), found, listed
 

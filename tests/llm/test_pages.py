@@ -55,3 +55,13 @@ def test_names_drop_neither_an_article_nor_what_holds_it(spark):
     made += [f"<main>{body}<div id='comments'><article class='comment'>Nice!</article></div></main>", f"<div class='related'><article>{body}</article></div>", "<div class='ad'>Buy</div>"]
     found = texts(spark, [(k, f"http://h{k}.example/", html) for k, html in enumerate(made)])
     assert [found[k][0] for k in range(len(made))] == ["Head Long story"] * 8 + [""]
+
+
+def test_a_node_with_text_and_children_has_one_place_in_the_tree(spark):
+    page = "<body><article><p class='lead'>Unique {k} <a>x</a></p><div class='box'><section><p class='in'>Own {k}<b>y</b></p></section></div></article>"
+    for html in (page, page.replace("article", "div")):
+        blocks, nodes = pages.blocks_of(html)
+        over = {path: named[-2] if len(named) > 1 else "" for path, named, _ in blocks}
+        assert set(over.items()) <= {(path, above) for path, above, _ in nodes}
+    found = texts(spark, [(k, f"http://lead.example/{k}", page.replace("{k}", str(k))) for k in range(8)])
+    assert all(found[k][0] == f"Unique {k} x Own {k}y" for k in range(8))
