@@ -5,8 +5,8 @@ footers, sidebars, notices, adverts, forms and comments are left out by tag, rol
 or name.  For what is left, the pages of a host are merged into one tree of styles:
 counts per (host, node, feature) give each node's entropy, over contents for nodes
 that hold text and over child sequences for others.  Importance is combined from
-the leaves up, and branches of low importance, which repeat over the site, are
-removed from each page.
+the leaves up.  Branches of low importance, which repeat over the site, are removed
+from each page, and so are content nodes: single texts that repeat in their node.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestry.session import materialise
@@ -137,9 +139,7 @@ class _Blocks(HTMLParser):
             dropped = True
         if above.tag == "header" and tag not in _HEADINGS and tag not in ("div", "hgroup") and tag not in _INLINE:
             dropped = True
-        # inside the article, plain text elements are never removed as style nodes
-        removable = tag not in ("html", "body", "article", "main") and (region == "" or known.get("class") or known.get("id"))
-        named = (*above.named, path) if removable else above.named
+        named = above.named if tag in ("html", "body", "article", "main") else (*above.named, path)
         above.children.append(label)
         self.stack.append(_Element(tag, path, dropped, region, named, marks, above.marked))
 
@@ -175,24 +175,26 @@ def blocks_of(html: str) -> tuple[list[tuple[str, tuple[str, ...], str]], list[t
     return [], parser.nodes
 
 
-_BLOCK = pa.struct([("text", pa.string()), ("branches", pa.list_(pa.int64()))])
-_NODE = pa.struct([("node", pa.int64()), ("above", pa.int64()), ("leaf", pa.bool_()), ("feature", pa.int64())])
-_PARSED = (
-    "page_id long, url string, host string, page_hash long, blocks array<struct<text: string, branches: array<long>>>, "
-    "nodes array<struct<node: long, above: long, leaf: boolean, feature: long>>"
-)
+_BLOCK = pa.struct([("text", pa.string()), ("node", pa.int64()), ("content", pa.int64())])
+_NODE = pa.struct([("node", pa.int64()), ("above", pa.int64()), ("kind", pa.int8()), ("feature", pa.int64())])
+_NODES = "array<struct<node: long, above: long, kind: tinyint, feature: long>>"
+_PARSED = f"page_id long, url string, host string, page_hash long, blocks array<struct<text: string, node: long, content: long>>, nodes {_NODES}"
+#: Rows of a style node: that a page has it, a text it holds there, a sequence of its children.
+_SEEN, _TEXT, _SHAPE = 0, 1, 2
 
 
 def _parsed_row(html: str | None) -> tuple[int, list[dict], list[dict]]:
+    """Hash, blocks and style nodes of a page; blocks carry their node and content node.
+
+    The nodes are those that hold blocks of the main part, each once, with their child
+    sequences.  Texts are not listed again, as the blocks have them.
+    """
     blocks, elements = blocks_of(html or "")
-    found = [{"text": text, "branches": [_number(p) for p in named]} for _, named, text in blocks]
-    nodes = []
-    for path, named, text in blocks:
-        if path in named:
-            nodes.append((path, _above(named), True, text))
-    for path, above, children in elements:
-        nodes.append((path, above, False, children))
-    listed = [{"node": _number(n), "above": _number(a), "leaf": leaf, "feature": _number(f)} for n, a, leaf, f in nodes]
+    found = [{"text": text, "node": _number(path), "content": _number(f"{path}\n{text}")} for path, _, text in blocks]
+    held = {path: above for _, named, _ in blocks for above, path in zip(("", *named), named)}
+    nodes = {(path, above, _SEEN, "") for path, above in held.items()} | {(path, "", _SEEN, "") for path, _, _ in blocks if path not in held}
+    nodes |= {(path, above, _SHAPE, children) for path, above, children in elements if path in held}
+    listed = [{"node": _number(n), "above": _number(a), "kind": kind, "feature": _number(f) if f else 0} for n, a, kind, f in sorted(nodes)]
     return _number("\n".join(text for _, _, text in blocks)), found, listed
 
 
@@ -207,14 +209,14 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-#: A branch is removed below this importance, where at least so many different pages show it.
+#: A node is removed below this importance, where at least so many different pages show it.
 LEAST_IMPORTANCE = 0.2
 LEAST_PAGES = 5
 _DECAY = 0.9
 
 
 def _low_branches(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
-    """Topmost nodes of one host whose combined importance is low.
+    """Nodes of one host whose combined importance is low, as is that of all below them.
 
     ``nodes`` has a row per style node, not per page.
     """
@@ -232,35 +234,90 @@ def _low_branches(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
             if not children:
                 least[node] = row.importance
             else:
-                shares = np.array([rows[c].n for c in children], float)
+                shares = np.array([rows[c].pages for c in children], float)
                 lower = float(np.dot(shares / shares.sum(), [importance(c, depth + 1) for c in children]))
                 fade = _DECAY ** len(children)
                 least[node] = (1 - fade) * row.importance + fade * max(lower, row.content)
         return least[node]
 
-    low = {n for n, r in rows.items() if r.pages >= LEAST_PAGES and importance(n) < LEAST_IMPORTANCE}
-    hosts = pd.Series([key[0]] * len(low), dtype=object)  # the result must be plain strings, not an Arrow-backed column
-    return pd.DataFrame({"host": hosts, "node": pd.Series(sorted(low), dtype="int64")})
+    lows: dict[int, bool] = {}
+
+    def low(node: int, depth: int = 0) -> bool:
+        if node not in lows:
+            lows[node] = False
+            own = rows[node].pages >= LEAST_PAGES and importance(node) < LEAST_IMPORTANCE
+            lows[node] = own and (depth >= 100 or all([low(c, depth + 1) for c in below.get(node, [])]))
+        return lows[node]
+
+    gone = [n for n in rows if low(n)]
+    hosts = pd.Series([key[0]] * len(gone), dtype=object)  # the result must be plain strings, not an Arrow-backed column
+    return pd.DataFrame({"host": hosts, "node": pd.Series(sorted(gone), dtype="int64")})
 
 
 def low_branches(parsed: DataFrame) -> DataFrame:
-    """(host, removed): style nodes of low importance on each host.
+    """(host, node): style and content nodes of low importance on each host.
 
     Pages of a host with the same blocks count once, so copies of a page do not make
-    its text look like a template.
+    its text look like a template.  A node's entropy over contents is the mean of
+    1 - log(n) / log(N) over its N texts, n of them equal; a content node, one text of
+    a node, has that value as its importance, N being the pages with the node.
     """
-    own = parsed.where("host <> ''").select("host", "page_hash", "nodes").dropDuplicates(["host", "page_hash"])
-    nodes = own.select("host", "page_hash", F.explode("nodes").alias("n")).select("host", "page_hash", "n.*")
-    seen = nodes.groupBy("host", "node", "above", "leaf", "feature").agg(F.count("*").alias("n"))
-    spread = F.when(F.sum("n") > 1, 1 - F.sum(F.col("n") * F.log("n")) / (F.sum("n") * F.log(F.sum("n")))).otherwise(1.0)
-    kinds = seen.groupBy("host", "node", "above", "leaf").agg(F.sum("n").alias("n"), spread.alias("spread"))
-    content = F.max(F.when(F.col("leaf"), F.col("spread")))
-    shape = F.max(F.when(~F.col("leaf"), F.col("spread")))
-    table = kinds.groupBy("host", "node", "above").agg(
-        F.max("n").alias("n"), F.max("n").alias("pages"), F.coalesce(content, shape).alias("importance"), F.coalesce(content, F.lit(0.0)).alias("content")
+    own = parsed.where("host <> ''").select(
+        "host", "page_hash", "nodes", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["content"].alias("content"))).alias("held")
+    )
+    own = own.dropDuplicates(["host", "page_hash"])
+    above = F.map_from_entries(F.transform(F.filter("nodes", lambda n: n["kind"] == _SEEN), lambda n: F.struct(n["node"], n["above"])))
+    kind = F.lit(_TEXT).cast("byte").alias("kind")
+    held = F.transform(F.array_distinct("held"), lambda h: F.struct(h["node"].alias("node"), F.col("over")[h["node"]].alias("above"), kind, h["content"].alias("feature")))
+    nodes = own.withColumn("over", above).select("host", F.explode(F.concat("nodes", held)).alias("n")).select("host", "n.*")
+    # a page lists a feature of a node once, so n counts pages
+    seen = nodes.groupBy("host", "node", "above", "kind", "feature").agg(F.count("*").alias("n"))
+
+    def spread(kind: int) -> Column:
+        n = F.when(F.col("kind") == kind, F.col("n"))
+        diverse = F.when(F.sum(n) > 1, 1 - F.sum(n * F.log(n)) / (F.sum(n) * F.log(F.sum(n)))).otherwise(1.0)
+        return F.when(F.sum(n) > 0, diverse)
+
+    often = F.collect_list(F.when((F.col("kind") == _TEXT) & (F.col("n") >= LEAST_PAGES), F.struct("feature", "n")))
+    table = seen.groupBy("host", "node", "above").agg(
+        F.sum(F.when(F.col("kind") == _SEEN, F.col("n"))).alias("pages"), spread(_TEXT).alias("texts"), spread(_SHAPE).alias("shapes"), often.alias("often")
     )
-    low = table.groupBy("host").applyInPandas(_low_branches, "host string, node long")
-    return low.groupBy("host").agg(F.collect_list("node").alias("removed"))
+    table = materialise(table, "pages_tree")
+    tree = table.select("host", "node", "above", "pages", F.coalesce("texts", "shapes", F.lit(0.0)).alias("importance"), F.coalesce("texts", F.lit(0.0)).alias("content"))
+    low = tree.where("host <> ''").groupBy("host").applyInPandas(_low_branches, "host string, node long")
+    texts = table.select("host", "pages", F.explode("often").alias("o")).select("host", "pages", "o.*")
+    texts = texts.where((F.col("pages") >= LEAST_PAGES) & (1 - F.log("n") / F.log("pages") < LEAST_IMPORTANCE))
+    return low.unionByName(texts.select("host", F.col("feature").alias("node")))
+
+
+_BITMAP_BITS = 25
+
+
+def _slot(host: Column, node: Column) -> Column:
+    return F.xxhash64(host, node).bitwiseAND(F.lit((1 << _BITMAP_BITS) - 1))
+
+
+def _bitmap(low: DataFrame) -> np.ndarray:
+    """A bitmap of the removed nodes; its size does not depend on the data."""
+    words = low.select(_slot(F.col("host"), F.col("node")).alias("slot")).selectExpr("slot >> 3 AS word", "shiftleft(1, CAST(slot & 7 AS INT)) AS bit")
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (_BITMAP_BITS - 3), np.uint8)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint8)
+    return bits
+
+
+def _asker(bitmap: Any) -> Any:
+    """A column function: whether one of the slots is set."""
+
+    @F.arrow_udf("boolean")
+    def ask(slots: pa.Array) -> pa.Array:
+        flat = slots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        hits = (bitmap.value[flat >> 3] >> (flat & 7).astype(np.uint8)) & 1
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(slots).to_numpy(zero_copy_only=False))])
+        total = np.concatenate([[0], np.cumsum(hits, dtype=np.int64)])
+        return pa.array(total[ends[1:]] > total[ends[:-1]])
+
+    return ask
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -274,13 +331,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     parsed = materialise(own.mapInArrow(_parse_batches, _PARSED), "pages_parsed")
-    low = low_branches(parsed)
-    open_pages = F.exists("blocks", lambda b: F.size(b["branches"]) > 0)
-    # pages without a branch that may go are done; only the others meet their host's list
-    done = parsed.where(~open_pages).select("page_id", "url", "blocks")
-    joined = parsed.where(open_pages).select("page_id", "url", "host", "blocks").join(low, "host", "left")
+    low = materialise(low_branches(parsed), "pages_low")
+    # only pages with a node that may be gone meet their host's list
+    ask = _asker(pages.sparkSession.sparkContext.broadcast(_bitmap(low)))
+    slots = F.flatten(F.transform("blocks", lambda b: F.array(_slot(F.col("host"), b["node"]), _slot(F.col("host"), b["content"]))))
+    asked = parsed.select("page_id", "url", "host", "blocks", ask(slots).alias("open"))
+    removed = low.groupBy("host").agg(F.collect_list("node").alias("removed"))
+    joined = asked.where("open").drop("open").join(removed, "host", "left")
     gone = F.coalesce("removed", F.array().cast("array<long>"))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["branches"], gone))
-    texts = done.unionByName(joined.select("page_id", "url", kept.alias("blocks")))
+    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(F.array(b["node"], b["content"]), gone))
+    texts = asked.where("not open").select("page_id", "url", "blocks").unionByName(joined.select("page_id", "url", kept.alias("blocks")))
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), " ")
     return texts.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -65,3 +65,19 @@ def test_a_node_with_text_and_children_has_one_place_in_the_tree(spark):
         assert set(over.items()) <= {(path, above) for path, above, _ in nodes}
     found = texts(spark, [(k, f"http://lead.example/{k}", page.replace("{k}", str(k))) for k in range(8)])
     assert all(found[k][0] == f"Unique {k} x Own {k}y" for k in range(8))
+
+
+def test_unnamed_template_text_inside_an_article_is_removed(spark):
+    def page(k):
+        return f"<body><div><article><h1>Title {k}</h1><p>Story {k} tells.</p><p>Subscribe to us</p><p>More {k}</p><div><p>Same box</p><p>Same end</p></div>By us</article></div>"
+
+    rows = [(k, f"https://site.example/{k}", page(k)) for k in range(12)]
+    rows += [(100 + k, "https://copy.example/", page(3)) for k in range(30)]  # copies of one page are no template
+    rows += [(200 + k, f"https://small.example/{k}", page(k)) for k in range(2)]
+    rows += [(300, "https://one.example/", "<article>" + "".join(f"<p>Item {k % 3}</p>" for k in range(40)) + "</article>")]
+    found = texts(spark, rows)
+    assert all(found[k][0] == f"Title {k} Story {k} tells. More {k}" for k in range(12))
+    whole = "Title {k} Story {k} tells. Subscribe to us More {k} Same box Same end By us"
+    assert all(found[100 + k][0] == whole.format(k=3) for k in range(30))
+    assert all(found[200 + k][0] == whole.format(k=k) for k in range(2))
+    assert found[300][0].count("Item") == 40
