@@ -236,7 +236,8 @@ def _line_spans(found: DataFrame, texts: DataFrame) -> DataFrame:
     def measure(pairs: DataFrame) -> DataFrame:
         a = classes.select(F.col("content").alias("a"), F.col("first.row").alias("ra"), F.col("first.start").alias("sa"), F.col("first.size").alias("na"))
         b = classes.select(F.col("content").alias("b"), F.col("first.row").alias("rb"), F.col("first.start").alias("sb"), F.col("first.size").alias("nb"))
-        placed = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {SIMILARITY - 10} * greatest(na, nb)")
+        # whatever their sizes: a list's nodes are compared by what each shares with its head
+        placed = pairs.join(a, "a").join(b, "b")
         both = placed.join(texts.select(F.col("row").alias("ra"), F.col("text").alias("ta")), "ra")
         both = both.join(texts.select(F.col("row").alias("rb"), F.col("text").alias("tb")), "rb")
         return both.select("a", "b", "sa", "na", "sb", "nb", "ta", "tb").mapInArrow(_measure_batches, MEASURED)

@@ -66,3 +66,21 @@ def test_bands_reach_the_recall():
     for rows in (1, 2, 3):
         bands = substring.bands_for(0.8, rows)
         assert 1 - (1 - 0.8**rows) ** bands >= substring.RECALL > 1 - (1 - 0.8**rows) ** (bands - 1)
+
+
+def by_id(spark, rows):
+    return {r.doc_id: r for r in substring.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def edited(text, places, mark):
+    return " ".join(f"{mark}{k}" if k in places else w for k, w in enumerate(text.split()))
+
+
+def test_copies_of_a_line_meet_though_their_head_is_longer(spark):
+    places, rows = range(44, 300, 45), []
+    for group in range(16):
+        line = prose(2000 + group, 300)
+        rows += [(100 * group + k, edited(line, places, f"edit{k}")) for k in range(1, 5)] + [(100 * group + 50, f"{line} {line}")]
+    found = by_id(spark, rows)
+    assert all(found[100 * group + 1].n_removed == 0 for group in range(16))
+    assert [100 * group + k for group in range(16) for k in range(2, 5) if found[100 * group + k].text.strip()] == []
