@@ -291,14 +291,14 @@ def _equal(ours: np.ndarray, theirs: np.ndarray) -> int:
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges of ``PASSAGE`` words or more, after joining those at most ``BRIDGE`` words apart."""
+    """Ranges of ``PASSAGE`` words or more, each repeated by itself; those at most ``BRIDGE`` words apart are joined."""
     merged: list[tuple[int, int]] = []
-    for start, end in sorted(ranges):
+    for start, end in sorted(r for r in ranges if r[1] - r[0] >= PASSAGE):
         if merged and start <= merged[-1][1] + BRIDGE:
             merged[-1] = (merged[-1][0], max(merged[-1][1], end))
         else:
             merged.append((start, end))
-    return [(start, end) for start, end in merged if end - start >= PASSAGE]
+    return merged
 
 
 class _Spans:

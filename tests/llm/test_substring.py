@@ -84,3 +84,11 @@ def test_copies_of_a_line_meet_though_their_head_is_longer(spark):
     found = by_id(spark, rows)
     assert all(found[100 * group + 1].n_removed == 0 for group in range(16))
     assert [100 * group + k for group in range(16) for k in range(2, 5) if found[100 * group + k].text.strip()] == []
+
+
+def test_short_repeats_side_by_side_stay(spark):
+    rows = [(k, f"{prose(300 + k, 30)} {prose(400 + k, 45)} {prose(500 + k, 30)}") for k in range(20)]
+    rows += [(100 + k, f"{prose(600 + k, 30)} {prose(400 + k, 45)} {prose(401 + k, 45)} {prose(700 + k, 30)}") for k in range(19)]
+    rows += [(200, f"{prose(800, 70)} {prose(801, 70)}"), (201, f"{prose(802, 60)} {prose(800, 70)} one two {prose(801, 70)} {prose(803, 60)}")]
+    found = by_id(spark, rows)
+    assert [k for k, r in found.items() if r.n_removed] == [201] and found[201].n_removed == 142  # a gap of three words goes too
