@@ -6,7 +6,9 @@ lines are joined, verified by exact Jaccard similarity and clustered by componen
 A passage set into other text shares no line, so pieces of ``PIECE`` words that start
 at anchors (least five-word gram of ``SPACING``) are compared too: two texts with
 ``PASSAGE`` equal words share a whole piece, as one anchor in ``SPACING`` lies early
-enough.  Equal pieces side by side form runs, which are extended word by word.
+enough.  Equal pieces side by side form runs, which are extended word by word.  A run
+follows the first occurrence of its pieces; each window of ``PASSAGE`` words that
+holds one of them but reaches beyond what that place has is compared by itself.
 
 The first occurrence of a cluster stays, by document id and place; later ones are
 cut out of their texts.  A first pass marks the keys that occur twice in a bitmap of
@@ -290,11 +292,11 @@ def _equal(ours: np.ndarray, theirs: np.ndarray) -> int:
     return n if same.all() else int(np.argmin(same))
 
 
-def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges of ``PASSAGE`` words or more, each repeated by itself; those at most ``BRIDGE`` words apart are joined."""
+def _merged(ranges: list[tuple[int, int]], bridge: int) -> list[tuple[int, int]]:
+    """The ranges in order, those at most ``bridge`` words apart joined."""
     merged: list[tuple[int, int]] = []
-    for start, end in sorted(r for r in ranges if r[1] - r[0] >= PASSAGE):
-        if merged and start <= merged[-1][1] + BRIDGE:
+    for start, end in sorted(ranges):
+        if merged and start <= merged[-1][1] + bridge:
             merged[-1] = (merged[-1][0], max(merged[-1][1], end))
         else:
             merged.append((start, end))
@@ -302,12 +304,13 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class _Spans:
-    """The spans of a batch as arrays: each with its range and the words around its first occurrence."""
+    """The runs of a batch as arrays: each with its range and the words around its first occurrence."""
 
     def __init__(self, spans: pa.ListArray) -> None:
         flat = spans.flatten()
         self.bounds = _ends(spans)
         self.start, self.end = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+        self.source = flat.field("source").to_pylist()
         self.sides = {}
         for side in ("before", "after"):
             lists = flat.field(side)
@@ -317,14 +320,21 @@ class _Spans:
         values, bounds = self.sides[side]
         return values[bounds[k] : bounds[k + 1]]
 
-    def ranges(self, text: int, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """The text's ranges, extended as far as words agree with the first occurrence."""
-        found = []
+    def ranges(self, text: int, hashes: np.ndarray) -> tuple[list[dict], np.ndarray]:
+        """The text's ranges, extended as far as words agree with the first occurrence.
+
+        And the starts of all windows that hold a piece of a run and leave its range.
+        """
+        found, windows = [], [np.empty(0, np.int64)]
         for k in range(self.bounds[text], self.bounds[text + 1]):
             start, end = int(self.start[k]), int(self.end[k])
-            start -= _equal(hashes[max(0, start - PIECE) : start][::-1], self.around("before", k))
-            found.append((start, end + _equal(hashes[end : end + PIECE], self.around("after", k))))
-        return found
+            low = start - _equal(hashes[max(0, start - PIECE) : start][::-1], self.around("before", k))
+            high = end + _equal(hashes[end : end + PIECE], self.around("after", k))
+            found.append({"start": low, "end": high, "source": self.source[k]})
+            windows.append(np.arange(start + PIECE - PASSAGE, low))
+            windows.append(np.arange(max(high + 1, end) - PASSAGE, end - PIECE + 1))
+        starts = np.unique(np.concatenate(windows))
+        return [r for r in found if r["end"] - r["start"] >= PASSAGE], starts[(starts >= 0) & (starts <= len(hashes) - PASSAGE)]
 
 
 def _ends(lists: pa.ListArray) -> np.ndarray:
@@ -341,23 +351,78 @@ def _without(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranges: lis
     return np.concatenate([*pieces, data[place:]]).tobytes().decode("utf-8")
 
 
-_CUT = "struct<text: string, removed: array<struct<start: int, end: int>>>"
+_RANGES = "array<struct<start: int, end: int, source: bigint>>"
+_EXTENDED = f"struct<ranges: {_RANGES}, windows: array<struct<pos: int, content: bigint>>>"
+_CUT = "struct<text: string, removed: array<struct<start: int, end: int>>, sources: array<bigint>>"
+
+
+def _extend_runs(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    known, rows = _Spans(runs), []
+    for chunk in tx.chunks(texts):
+        words = tx.find_words(chunk._replace(data=tx.lower(chunk.data)), tx.SPACED)
+        for text in range(chunk.count):
+            hashes = words.hashes[words.bounds[text] : words.bounds[text + 1]]
+            ranges, starts = known.ranges(chunk.first + text, tx.longs(hashes))
+            windows = tx.longs(tx.grams(hashes, PASSAGE)[starts]) if len(starts) else []
+            rows.append({"ranges": ranges, "windows": [{"pos": p, "content": c} for p, c in zip(starts, windows, strict=True)]})
+    ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64())]))
+    return pa.array(rows, pa.struct([("ranges", ranges), ("windows", pa.list_(_PIECE_TYPE))]))
+
+
+def _passage_spans(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row, start, end, source, extra) of passages that occurred earlier inside other text; extra for single windows."""
+    asked = _piece_runs(found).join(texts.select(F.col("row").alias("from_row"), "text"), "from_row")
+    asked = asked.select("row", "start", "end", "source", "from_row", "from_start", "from_end", "text")
+    runs = asked.mapInArrow(_context_batches, "row long, start int, end int, source long, before array<long>, after array<long>")
+    runs = runs.groupBy("row").agg(F.collect_list(F.struct("start", "end", "source", "before", "after")).alias("runs"))
+    extended = texts.join(runs, "row").select("row", "doc_id", F.arrow_udf(_extend_runs, _EXTENDED)("text", "runs").alias("x"))
+    extended = materialise(extended.select("row", "doc_id", "x.*"), "passage_windows")
+    windows = extended.select("row", "doc_id", F.explode("windows").alias("w")).select("row", "doc_id", "w.*")
+    firsts = windows.groupBy("content").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = windows.select("row", "pos", "content").join(firsts.drop("n"), "content").where("row <> first.row or pos <> first.pos")
+    later = later.select("row", F.col("pos").alias("start"), (F.col("pos") + PASSAGE).alias("end"), F.col("first.doc_id").alias("source"), F.lit(True).alias("extra"))
+    return extended.select("row", F.explode("ranges").alias("r")).select("row", "r.*", F.lit(False).alias("extra")).unionByName(later)
+
+
+def _beyond(spans: list[tuple], extras: list[tuple]) -> list[tuple]:
+    """The parts of ``extras`` (start, end, source) outside ``spans``, but for ends of at most ``BRIDGE`` words.
+
+    So few words beside a passage may agree with those beside a copy in another source by chance.
+    """
+    found: list[tuple] = []
+    covered = sorted((a, b) for a, b, _ in spans)
+    for start, end in _merged([(a, b) for a, b, _ in extras], 0):
+        place, parts = start, []
+        for a, b in covered:
+            if b > place and a < end:
+                parts.append((place, a))
+                place = b
+        for a, b in [*parts, (place, end)]:
+            beside = {source for x, y, source in spans if x <= b and y >= a}
+            found += [(max(a, x), min(b, y), source) for x, y, source in extras if x < b and y > a and (b - a > BRIDGE or source in beside)]
+    return found
 
 
 def _cut_texts(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    known, left, removed = _Spans(spans), [], []
+    flat, bounds, left, removed, sources = spans.flatten(), _ends(spans), [], [], []
+    places = list(zip(*(flat.field(k).to_pylist() for k in ("start", "end", "source", "extra")), strict=True))
     for chunk in tx.chunks(texts):
         data, offsets = chunk.data, chunk.offsets
         words = tx.find_words(chunk._replace(data=tx.lower(data)), tx.SPACED)
-        hashes = tx.longs(words.hashes)
         for text in range(chunk.count):
             own = slice(words.bounds[text], words.bounds[text + 1])
-            ranges = _merged(known.ranges(chunk.first + text, hashes[own]))
+            own_spans = places[bounds[chunk.first + text] : bounds[chunk.first + text + 1]]
+            used = [(a, b, source) for a, b, source, extra in own_spans if not extra]
+            used += _beyond(used, [(a, b, source) for a, b, source, extra in own_spans if extra])
+            ranges = _merged([(a, b) for a, b, _ in used], BRIDGE)
             first, last = offsets[text], offsets[text + 1]
             left.append(_without(data[first:last], words.starts[own] - first, words.ends[own] - first, ranges) if ranges else None)
             removed.append([{"start": a, "end": b} for a, b in ranges])
+            sources.append(sorted({source for _, _, source in used if source is not None}))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(removed, kind)], names=["text", "removed"])
+    return pa.StructArray.from_arrays(
+        [pa.array(left, pa.string()), pa.array(removed, kind), pa.array(sources, pa.list_(pa.int64()))], names=["text", "removed", "sources"]
+    )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,16 +445,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = texts.withColumn("found", mark(F.coalesce("text", F.lit("")))).drop("text")
     some = (F.size("found.pieces") > 0) | (F.size("found.lines") > 0)
     found = materialise(marked.where(some).withColumn("row", F.monotonically_increasing_id()), "passage_found")
-    found_texts = found.select("row", F.col(f"own.`{text_col}`").cast("string").alias("text"))
+    found_texts = found.select("row", "doc_id", F.col(f"own.`{text_col}`").cast("string").alias("text"))
 
-    runs = _piece_runs(found)
-    asked = runs.join(found_texts.withColumnRenamed("row", "from_row"), "from_row")
-    asked = asked.select("row", "start", "end", "source", "from_row", "from_start", "from_end", "text")
-    extended = asked.mapInArrow(_context_batches, "row long, start int, end int, source long, before array<long>, after array<long>")
-    whole = _line_spans(found, found_texts).withColumns({"before": F.array().cast("array<long>"), "after": F.array().cast("array<long>")})
-    spans = extended.unionByName(whole).groupBy("row").agg(
-        F.collect_list(F.struct("start", "end", "before", "after")).alias("spans"), F.sort_array(F.collect_set("source")).alias("sources")
-    )
+    whole = _line_spans(found, found_texts.select("row", "text")).withColumn("extra", F.lit(False))
+    spans = _passage_spans(found, found_texts).unionByName(whole)
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end", "source", "extra")).alias("spans"))
     touched = found.select("row", "own").join(spans, "row", "left")
     touched = touched.withColumn("cut", F.arrow_udf(_cut_texts, _CUT)(F.col(f"own.`{text_col}`").cast("string"), "spans"))
     changed = F.size("cut.removed") > 0
@@ -397,7 +457,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     touched = touched.select(
         *(F.when(changed, F.col("cut.text")).otherwise(F.col(f"own.`{c}`")).alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in columns),
         F.col("cut.removed").alias("removed"),
-        F.when(changed, F.col("sources")).otherwise(F.array().cast("array<long>")).alias("sources"),
+        F.when(changed, F.col("cut.sources")).otherwise(F.array().cast("array<long>")).alias("sources"),
     )
     untouched = marked.where(~some).select("own.*", F.array().cast(none).alias("removed"), F.array().cast("array<long>").alias("sources"))
     return untouched.unionByName(touched)

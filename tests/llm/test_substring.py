@@ -76,6 +76,14 @@ def edited(text, places, mark):
     return " ".join(f"{mark}{k}" if k in places else w for k, w in enumerate(text.split()))
 
 
+def test_short_repeats_side_by_side_stay(spark):
+    rows = [(k, f"{prose(300 + k, 30)} {prose(400 + k, 45)} {prose(500 + k, 30)}") for k in range(20)]
+    rows += [(100 + k, f"{prose(600 + k, 30)} {prose(400 + k, 45)} {prose(401 + k, 45)} {prose(700 + k, 30)}") for k in range(19)]
+    rows += [(200, f"{prose(800, 70)} {prose(801, 70)}"), (201, f"{prose(802, 60)} {prose(800, 70)} one two {prose(801, 70)} {prose(803, 60)}")]
+    found = by_id(spark, rows)
+    assert [k for k, r in found.items() if r.n_removed] == [201] and found[201].n_removed == 142  # a gap of three words goes too
+
+
 def test_copies_of_a_line_meet_though_their_head_is_longer(spark):
     places, rows = range(44, 300, 45), []
     for group in range(16):
@@ -86,9 +94,13 @@ def test_copies_of_a_line_meet_though_their_head_is_longer(spark):
     assert [100 * group + k for group in range(16) for k in range(2, 5) if found[100 * group + k].text.strip()] == []
 
 
-def test_short_repeats_side_by_side_stay(spark):
-    rows = [(k, f"{prose(300 + k, 30)} {prose(400 + k, 45)} {prose(500 + k, 30)}") for k in range(20)]
-    rows += [(100 + k, f"{prose(600 + k, 30)} {prose(400 + k, 45)} {prose(401 + k, 45)} {prose(700 + k, 30)}") for k in range(19)]
-    rows += [(200, f"{prose(800, 70)} {prose(801, 70)}"), (201, f"{prose(802, 60)} {prose(800, 70)} one two {prose(801, 70)} {prose(803, 60)}")]
+def test_passage_whose_pieces_came_up_before_in_an_excerpt(spark):
+    rows = []
+    for k in range(20):
+        passage = prose(1000 + k, 55).split()
+        rows.append((k, f"{prose(1100 + k, 20)} {' '.join(passage[7:47])} {prose(1200 + k, 20)}"))
+        rows += [(n + k, f"{prose(n + 1300 + k, 30)} a{n} {' '.join(passage)} z{n} {prose(n + 1400 + k, 30)}") for n in (100, 200, 300)]
     found = by_id(spark, rows)
-    assert [k for k, r in found.items() if r.n_removed] == [201] and found[201].n_removed == 142  # a gap of three words goes too
+    for k in range(20):
+        assert found[k].n_removed == 0 and found[100 + k].n_removed == 0
+        assert all(found[n + k].n_removed == 55 and 100 + k in found[n + k].sources for n in (200, 300))
