@@ -1,8 +1,9 @@
 """Passages that repeat within and across documents.
 
 Two kinds of paragraphs are compared.  A line of ``PASSAGE`` words or more is a
-paragraph: its five-word shingles get MinHash bands, tuned for recall, colliding
-lines are joined, verified by exact Jaccard similarity and clustered by components.
+paragraph, and shorter ones are joined to blocks and parts of blocks: their five-word
+shingles get MinHash bands, tuned for recall, colliding paragraphs are joined, verified
+by exact Jaccard similarity and clustered by components.
 A passage set into other text shares no line, so pieces of ``PIECE`` words that start
 at anchors (least five-word gram of ``SPACING``) are compared too: two texts with
 ``PASSAGE`` equal words share a whole piece, as one anchor in ``SPACING`` lies early
@@ -80,29 +81,62 @@ def _anchors(words: tx.Words, hashes: np.ndarray) -> np.ndarray:
     return places[places + PIECE <= words.bounds[words.text[places] + 1]]
 
 
-def _lines(chunk: tx.Chunk, words: tx.Words) -> tuple[np.ndarray, np.ndarray]:
-    """First and one past last word of each line of ``PASSAGE`` words or more."""
+def _lines(chunk: tx.Chunk, words: tx.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and one past last word of each paragraph, in order; paragraphs may overlap.
+
+    A line of ``PASSAGE`` words or more is one.  Shorter lines without a blank line
+    between make a block, and blocks that are too short are joined to the next such
+    ones; each of ``PASSAGE`` words or more is one.  So are its parts between every
+    other cut, cuts being words whose gram is the least of ``PIECE`` on both sides:
+    they lie at the same words whatever the width of lines and the text around.
+    """
     breaks = np.cumsum(chunk.data == 10)
     line = breaks[words.starts] if len(words.starts) else np.empty(0, np.int64)
     fresh = np.ones(len(line), bool)
     fresh[1:] = (line[1:] != line[:-1]) | (words.text[1:] != words.text[:-1])
     starts = np.flatnonzero(fresh)
-    ends = np.append(starts[1:], len(line)) if len(starts) else starts
+    if not len(starts):
+        return starts, starts
+    ends = np.append(starts[1:], len(line))
     long = ends - starts >= PASSAGE
-    return starts[long], ends[long]
+    other = np.ones(len(starts), bool)
+    other[1:] = (words.text[starts[1:]] != words.text[starts[:-1]]) | long[1:] | long[:-1]
+    blank = other.copy()
+    blank[1:] |= line[starts[1:]] - line[starts[:-1]] > 1
+    for _ in range(2):  # lines to blocks, then short blocks to longer ones
+        first = np.flatnonzero(blank)
+        starts, ends = starts[first], np.append(starts[first[1:]], ends[-1])
+        short = ends - starts < PASSAGE
+        other = other[first]
+        blank = other.copy()
+        blank[1:] |= ~short[1:] | ~short[:-1]
+    single = np.isin(starts, np.flatnonzero(fresh)[long])
+    enough = ends - starts >= PASSAGE
+    least = _sliding(np.minimum, hashes, 2 * PIECE + 1) if len(hashes) > 2 * PIECE else np.empty(0, np.uint64)
+    cuts = np.flatnonzero(least == hashes[PIECE : PIECE + len(least)]) + PIECE
+    found = [np.stack([starts[enough], ends[enough]], axis=1)]
+    for start, end in zip(starts[enough & ~single], ends[enough & ~single], strict=True):
+        own = cuts[np.searchsorted(cuts, start + PIECE) : np.searchsorted(cuts, end - PIECE, "right")]
+        own = np.concatenate([[start], own, [end]])
+        if len(own) > 3:
+            found.append(np.stack([own[:-2], own[2:]], axis=1))
+    found = np.concatenate(found)
+    found = found[found[:, 1] - found[:, 0] >= PASSAGE]
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    return found[:, 0], found[:, 1]
 
 
 def _band_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Keys of the bands of each word range; ranges lie apart and are in order."""
+    """Keys of the bands of each word range."""
     if not len(starts):
         return np.empty((0, BANDS), np.uint64)
     factors = tx.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     edges = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
-    edges = edges[:-1] if edges[-1] >= len(hashes) else edges
+    last = np.full(1, np.iinfo(np.uint64).max)  # so that every edge is a place
     keys = np.zeros((len(starts), BANDS), np.uint64)
     for band in range(BANDS):
         for factor in factors[band * ROWS : (band + 1) * ROWS]:
-            keys[:, band] = tx.mix(keys[:, band] + np.minimum.reduceat(hashes * factor, edges)[::2] + np.uint64(band))
+            keys[:, band] = tx.mix(keys[:, band] + np.minimum.reduceat(np.concatenate([hashes * factor, last]), edges)[::2] + np.uint64(band))
     return keys
 
 
@@ -121,14 +155,14 @@ def _piece_hashes(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 class _Marks:
-    """Pieces and long lines of a chunk, with positions counted from each text's first word."""
+    """Pieces and paragraphs of a chunk, with positions counted from each text's first word."""
 
     def __init__(self, chunk: tx.Chunk) -> None:
         self.words = words = tx.find_words(chunk._replace(data=tx.lower(chunk.data)), tx.SPACED)
         hashes = tx.grams(words.hashes, SHINGLE)
         self.places = _anchors(words, hashes)
         self.pieces = _piece_hashes(words.hashes, self.places)
-        self.starts, self.ends = _lines(chunk, words)
+        self.starts, self.ends = _lines(chunk, words, hashes)
         self.keys = _band_keys(hashes, self.starts, self.ends)
 
 
@@ -249,7 +283,9 @@ def _line_spans(found: DataFrame, texts: DataFrame) -> DataFrame:
     grouped = grouped.withColumn("component", F.coalesce("component", "content"))
     firsts = grouped.groupBy("component").agg(F.min("first").alias("first"))
     placed = grouped.select("content", "component").join(firsts, "component").select("content", "first")
-    later = lines.join(placed, "content").where("row <> first.row or start <> first.start")
+    # paragraphs of one text may overlap; the first one does not make others go that share its words
+    apart = "row <> first.row or start >= first.start + first.size or start + size <= first.start"
+    later = lines.join(placed, "content").where(apart)
     return later.select("row", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc_id").alias("source"))
 
 

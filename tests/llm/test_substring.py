@@ -104,3 +104,20 @@ def test_passage_whose_pieces_came_up_before_in_an_excerpt(spark):
     for k in range(20):
         assert found[k].n_removed == 0 and found[100 + k].n_removed == 0
         assert all(found[n + k].n_removed == 55 and 100 + k in found[n + k].sources for n in (200, 300))
+
+
+def test_paragraphs_of_short_lines_are_compared(spark):
+    def wrapped(text, width):
+        own = text.split()
+        return "\n".join(" ".join(own[s : s + width]) for s in range(0, len(own), width))
+
+    passage = prose(1500, 200)
+    copy = edited(passage, (40, 80, 120, 160), "edit")
+    rows = [(1, f"{wrapped(passage, 20)}\n\n{prose(1501, 60)}"), (2, f"{prose(1502, 60)}\n{wrapped(copy, 20)}"), (3, f"{prose(1503, 60)}\n\n{wrapped(copy, 13)}"), (4, copy)]
+    # among other short lines: long passages with few edits
+    long = prose(1504, 900)
+    rows += [(5, wrapped(f"{prose(1505, 100)} {long} {prose(1506, 100)}", 20)), (6, wrapped(f"{prose(1507, 130)} {edited(long, range(48, 900, 49), 'e')} {prose(1508, 70)}", 12))]
+    rows += [(7, wrapped(prose(1509, 700), 4)), (8, "\n\n".join(prose(1510 + k, 20) for k in range(30)))]
+    found = by_id(spark, rows)
+    assert all(found[k].n_removed == 200 for k in (2, 3, 4)) and all(found[k].n_removed == 0 for k in (1, 5, 7, 8))
+    assert 50 <= found[6].n_removed <= 900  # parts of it; edits this dense leave few parts similar enough
