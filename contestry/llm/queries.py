@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contestry.llm import bpe, chat, decontam, neardup, pages, quality, rules, shards, substring, toxicity
+from contestry.llm import align, bpe, chat, decontam, neardup, pages, quality, repair, rules, shards, substring, tokenfiles, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,21 @@ def op10_paragraph_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFram
     return substring.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_diagonal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned groups of two tokenizers' tokens of every document, and how common its links are."""
+    return align.summaries(_table(spark, sf_dir, "documents"))
+
+
+def op12_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from token files."""
+    return tokenfiles.documents(tokenfiles.write(_table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage by checksum."""
+    return repair.report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -79,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_tokens": op8_chat_tokens,
     "op9_bpe": op9_bpe,
     "op10_paragraph_substring_dedup": op10_paragraph_substring_dedup,
+    "op11_diagonal_alignment": op11_diagonal_alignment,
+    "op12_arrow_token_files": op12_arrow_token_files,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _PLAIN_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''),
@@ -129,4 +147,70 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op8_chat_tokens": _OP8, "op4_winnowing_decontamination": _OP4}
+# a checksum bit by bit, then the least (cost, edits, turns) for each row and state in turn
+_OP13 = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+summed AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                             lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS kind
+  FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM summed WHERE kind <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+  FROM damaged),
+marked AS (
+  SELECT conv_id, turn, place, role, text, substr(role, 1, 1) AS initial,
+         CASE WHEN trimmed = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(trimmed, 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS fault,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before
+  FROM numbered),
+counted AS (
+  SELECT conv_id, max(place) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id),
+put(state, after, price, edits, says) AS (VALUES
+  (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+  (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (3, 2, 5, 'I', chr(10) || 'user:'),
+  (2, 3, 5, 'I', chr(10) || 'assistant:'),
+  (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+taken(state, initial, after) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+steps AS (
+  SELECT m.conv_id, m.place, p.state, t.after, p.price + 5 * CAST(m.fault = 't' AS INT) AS price, p.edits || 'K' AS edits,
+         p.says || chr(10) || m.role || ':' || m.text AS says
+  FROM marked m CROSS JOIN put p JOIN taken t ON t.state = p.after AND t.initial = m.initial WHERE m.fault IN ('', 't')
+  UNION ALL
+  SELECT m.conv_id, m.place, p.state, CASE WHEN p.after = 2 THEN 3 ELSE 2 END, p.price + 1 + 5 * CAST(m.fault = 't' AS INT), p.edits || 'R',
+         p.says || chr(10) || CASE WHEN p.after = 2 THEN 'assistant' ELSE 'user' END || ':' || m.text
+  FROM marked m CROSS JOIN put p WHERE m.fault IN ('', 't')
+  UNION ALL
+  SELECT m.conv_id, m.place, p.state, p.after, p.price + 2, p.edits || 'D', p.says FROM marked m CROSS JOIN put p),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS place, 0 AS state, {'cost': CAST(0 AS BIGINT), 'edits': '', 'says': ''} AS best FROM counted
+  UNION ALL
+  SELECT w.conv_id, w.place + 1, s.after, min({'cost': w.best.cost + s.price, 'edits': w.best.edits || s.edits, 'says': w.best.says || s.says})
+  FROM walk w JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.place = w.place + 1 AND s.state = w.state
+  GROUP BY w.conv_id, w.place, s.after),
+done AS (
+  SELECT c.conv_id, min({'cost': w.best.cost + p.price, 'edits': w.best.edits || p.edits, 'says': w.best.says || p.says}) AS best
+  FROM counted c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.place = c.n JOIN put p ON p.state = w.state
+  WHERE p.after IN (0, 3) GROUP BY c.conv_id)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+       coalesce(best.edits, '') AS audit, sha256(substr(coalesce(best.says, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM k.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+ORACLE: dict[str, str] = {"op4_winnowing_decontamination": _OP4, "op8_chat_tokens": _OP8, "op13_conversation_repair": _OP13}
