@@ -1,9 +1,10 @@
 """Token ids of byte-level and piece vocabularies, by the libraries their files belong to.
 
-Byte-level words begin at white space: no pattern of the vocabulary goes on from a
-character that is not white space to one that is.  A text cut before each space that
-follows such a character therefore has the ids of its chunks, one after the other,
-and the library needs to see a chunk only when a worker meets it first.
+No pattern of a byte-level vocabulary goes on from a character that is not white
+space to a space, and no piece of a piece vocabulary (checked on loading) has a space
+behind another character.  A text cut before each space that follows such a character
+therefore has the ids of its chunks, one after the other, and a library needs to see
+a chunk only when a worker meets it first.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 #: Characters of remembered chunks after which a worker begins anew.
-_KEPT_CHARS = 4_000_000
-#: A space after white space: such a text isn't cut.
-_RUN = re.compile(r"\s ")
+_KEPT_CHARS = 3_000_000
+#: Chunks a library gets in one string, and at most in one call.
+_JOINED, _CALL = 256, 1 << 16
+#: A space after white space or at the end: such a text isn't cut.
+_RUN = re.compile(r"\s | $")
 
 
 def default_path(name: str) -> str:
@@ -34,6 +39,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b) if b in printable else chr(next(others)): b for b in range(256)}
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), np.int32), np.array([len(x) for x in lists], np.int64)
+
+
 class ByteLevel:
     """A byte-level vocabulary.  ``plain``: names of special tokens inside texts are text."""
 
@@ -47,18 +56,12 @@ class ByteLevel:
         self.library.encode_special_tokens = plain
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        before = content.get("pre_tokenizer") or {}
+        before, added = content.get("pre_tokenizer") or {}, content["added_tokens"]
         #: Only such files have the words that the cuts rely on.
         self.cuts = content.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
-        self.cuts = self.cuts and not before.get("add_prefix_space") and all(" " not in t["content"] and not t["lstrip"] for t in content["added_tokens"])
+        self.cuts = self.cuts and not before.get("add_prefix_space") and all(" " not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in added)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.int32)
-        self.ends = np.zeros(1, np.int64)
-        self.chars = 0
+        self.sizes = np.array([len(t) for t in self.token_bytes()], np.int64)
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id; special tokens are their names."""
@@ -69,40 +72,25 @@ class ByteLevel:
             found[number] = token.encode() if number in special else bytes(letters[c] for c in token)
         return found
 
-    def _chunks(self, text: str) -> list[str]:
-        if not self.cuts or _RUN.search(text):
-            return [text]
-        first, *others = text.split(" ")
-        chunks = [f" {part}" for part in others]
-        return [first, *chunks] if first else chunks
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        encoded = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        start = int(self.ends[-1])
-        ends = start + np.cumsum([len(e) for e in encoded])
-        if ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids[:start], np.empty(2 * int(ends[-1]) - start, np.int32)])
-        self.ids[start : ends[-1]] = [i for e in encoded for i in e]
-        first = len(self.known)
-        self.ends = np.concatenate([self.ends, ends])
-        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        self.chars += sum(map(len, chunks))
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, and how many each has.
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and where each text's begin and, last, end."""
-        if self.chars > _KEPT_CHARS:
-            self.forget()
-        split = [self._chunks(t) for t in texts]
-        known = self.known
-        fresh = list(dict.fromkeys(c for chunks in split for c in chunks if c not in known))
-        if fresh:
-            self._learn(fresh)
-        index = np.array([known[c] for chunks in split for c in chunks], np.int64)
-        sizes = self.ends[index + 1] - self.ends[index]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.arange(ends[-1]) + np.repeat(self.ends[index] - ends[:-1], sizes)
-        cuts = np.cumsum([0, *map(len, split)])
-        return self.ids[source], ends[cuts]
+        Chunks that begin with a space and don't end in white space go to the library
+        side by side, cut apart again by the bytes of their tokens: a string has far
+        more overhead than a chunk.
+        """
+        if not (self.cuts and all(c[:1] == " " and not c[-1].isspace() for c in chunks)):
+            return _flat(self._ids(chunks))
+        ids, _ = _flat(self._ids(["".join(chunks[k : k + _JOINED]) for k in range(0, len(chunks), _JOINED)]))
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        token_ends = np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(token_ends, ends) + 1
+        if len(ids) != cuts[-1] or not np.array_equal(token_ends[cuts - 1], ends):
+            return _flat(self._ids(chunks))
+        return ids, np.diff(cuts, prepend=0)
 
 
 class Pieces:
@@ -113,6 +101,8 @@ class Pieces:
 
         self.library = SentencePieceProcessor(model_file=path)
         self.size = self.library.get_piece_size()
+        names = [self.library.id_to_piece(i) for i in range(self.size)]
+        self.cuts = b"identity" in self.library.serialized_model_proto() and not any("▁" in n.lstrip("▁") for n in names)
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id: U+2581 is a space, <0xHH> one byte."""
@@ -122,8 +112,74 @@ class Pieces:
             for i, piece in enumerate(map(model.id_to_piece, range(self.size)))
         ]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, which begin with the space that the library adds, and how many each has."""
+        return _flat(self.library.encode([c[1:] for c in chunks], num_threads=1))
+
+
+class Remembered:
+    """Ids of texts by one or more vocabularies, which see each chunk once."""
+
+    def __init__(self, *sides: ByteLevel | Pieces) -> None:
+        self.sides = sides
+        self.cuts = all(s.cuts for s in sides)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = [np.empty(1 << 16, np.int32) for _ in self.sides]
+        self.ends = [np.zeros(1, np.int64) for _ in self.sides]
+        self.chars = 0
+
+    def _chunks(self, text: str) -> list[str]:
+        if not self.cuts or _RUN.search(text):
+            return [text]
+        first, *others = text.split(" ")
+        chunks = [f" {part}" for part in others]
+        return [first, *chunks] if first else chunks
+
+    def _learn(self, chunks: list[str]) -> None:
+        for k, side in enumerate(self.sides):
+            ids, counts = side.encode(chunks)
+            start = int(self.ends[k][-1])
+            ends = start + np.cumsum(counts)
+            if ends[-1] > len(self.ids[k]):
+                self.ids[k] = np.concatenate([self.ids[k][:start], np.empty(2 * int(ends[-1]) - start, np.int32)])
+            self.ids[k][start : ends[-1]] = ids
+            self.ends[k] = np.concatenate([self.ends[k], ends])
+        first = len(self.known)
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.chars += sum(map(len, chunks))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vocabulary all ids of the texts, and where each text's begin and, last, end."""
+        if self.chars > _KEPT_CHARS:
+            self.forget()
+        split = [self._chunks(t) for t in texts]
+        known = self.known
+        fresh = dict.fromkeys(c for chunks in split for c in chunks if c not in known)
+        for group in _alike(list(fresh)):
+            self._learn(group)
+        index = np.fromiter((known[c] for chunks in split for c in chunks), np.int64)
+        cuts = np.cumsum([0, *map(len, split)])
+        found = []
+        for ids, ends in zip(self.ids, self.ends, strict=True):
+            sizes = ends[index + 1] - ends[index]
+            places = np.concatenate([[0], np.cumsum(sizes)])
+            source = np.arange(places[-1]) + np.repeat(ends[index] - places[:-1], sizes)
+            found.append((ids[source], places[cuts]))
+        return found
+
+
+def _alike(chunks: list[str]) -> Iterator[list[str]]:
+    """Chunks that can stand side by side, and the others, in calls of bounded size."""
+    apart = [c for c in chunks if c[:1] != " " or c[-1].isspace()]
+    if apart:
+        others = set(apart)
+        chunks = [c for c in chunks if c not in others]
+    for own in (apart, chunks):
+        for k in range(0, len(own), _CALL):
+            yield own[k : k + _CALL]
 
 
 @lru_cache(maxsize=4)
@@ -134,3 +190,9 @@ def byte_level(path: str, plain: bool) -> ByteLevel:
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
+
+
+@lru_cache(maxsize=2)
+def remembered(path: str) -> Remembered:
+    """A byte-level vocabulary that recognises its special tokens in texts."""
+    return Remembered(byte_level(path, False))

@@ -142,16 +142,16 @@ class Reader:
 
 
 def _write_batches(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: int, length: int, rows: int) -> Iterator[pa.RecordBatch]:
-    model = encoders.byte_level(path, False)
+    model, size = encoders.remembered(path), encoders.byte_level(path, False).size
     part = TaskContext.get().partitionId()
     name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
     writer = None
     for batch in batches:
         for chunk in text.chunks(batch.column(1)):
             texts = [t or "" for t in batch.column(1).slice(chunk.first, chunk.count).to_pylist()]
-            ids, bounds = model.encode(texts)
+            ((ids, bounds),) = model.encode(texts)
             with_ends = np.insert(ids, bounds[1:], end_id)
-            writer = writer or Writer(folder, name, length, rows, max(model.size, end_id + 1) <= 1 << 16)
+            writer = writer or Writer(folder, name, length, rows, max(size, end_id + 1) <= 1 << 16)
             writer.add(batch.column(0).slice(chunk.first, chunk.count), with_ends, bounds + np.arange(len(bounds)))
     if writer:
         writer.close()

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
@@ -15,14 +16,14 @@ STRANGE = ["a<|endoftext|>b </s><s>", "two  spaces \n and\t tabs  ", "▁ looks
 @given(st.sets(st.integers(1, 80)), st.sets(st.integers(1, 80)), st.integers(0, 60))
 def test_runs_and_groups_end_where_both_sides_end(a, b, run):
     a, b = (sorted({100, *ends, *range(101, 101 + run)}) for ends in (a, b))
-    ends_a, ends_b = align.align(a, b)
+    ends_a, ends_b = align.align(np.array(a), np.array(b))
     common = sorted(set(a) & set(b))
     assert [a[i - 1] for i in ends_a] == common and [b[j - 1] for j in ends_b] == common
 
 
 def test_nothing_and_one_long_run():
-    assert align.align([], []) == ([], [])
-    assert align.align([*range(1, 1000)], [*range(1, 1000)]) == ([*range(1, 1000)],) * 2
+    assert [x.tolist() for x in align.align(np.empty(0, int), np.empty(0, int))] == [[], []]
+    assert [x.tolist() for x in align.align(np.arange(1, 1000), np.arange(1, 1000))] == [[*range(1, 1000)]] * 2
 
 
 def brute(rows):
@@ -102,9 +103,11 @@ def test_linked_tokens_are_suffixes_of_each_other():
 
 
 def test_chunks_forgotten_and_learnt_again_give_the_same_ids(monkeypatch):
-    model = encoders.ByteLevel(align.default_paths()[0], False)
-    whole = [e.ids for e in model.library.encode_batch(STRANGE, add_special_tokens=False)]
+    whole = encoders.ByteLevel(align.default_paths()[0], False)
+    model = encoders.Remembered(whole)
+    expected = [e.ids for e in whole.library.encode_batch(STRANGE, add_special_tokens=False)]
     monkeypatch.setattr(encoders, "_KEPT_CHARS", 0)
+    monkeypatch.setattr(encoders, "_JOINED", 3)
     for _ in range(2):
-        ids, bounds = model.encode(STRANGE)
-        assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:])] == whole
+        ((ids, bounds),) = model.encode(STRANGE)
+        assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:])] == expected
