@@ -190,8 +190,12 @@ def predict_cards(
     competitors: DataFrame,
     snapshots: DataFrame,
     scorer: Callable[[DataFrame], DataFrame] = rating_scorer,
+    detail: bool = False,
 ) -> DataFrame:
-    """One row per bout of all cards: a prediction, or a stub with its reason."""
+    """One row per bout of all cards: a prediction, or a stub with its reason.
+
+    ``detail`` adds the spread and what each orientation gave.
+    """
     # Stored, one row per bout: scored and listed from the same rows.
     rows = materialise(matchups(bouts, competitors, snapshots), "matchups")
     scored = symmetrise(scorer(orientations(rows.filter("NOT skipped"))), *BOUT_KEY)
@@ -209,6 +213,8 @@ def predict_cards(
         "elo_a": F.col("side_1.pre_overall"),
         "elo_b": F.col("side_2.pre_overall"),
     }
+    if detail:
+        only_made |= {c: F.col(c) for c in ("winner_spread", "prob_ab", "prob_ba")}
     return joined.select(
         *BOUT_KEY,
         "competitor_a_name",

@@ -817,9 +817,6 @@ def _(t: Tables):
 
 # --- models ---------------------------------------------------------------------------------------------------
 
-_SEEDS = (0, 1, 2, 3, 4)
-
-
 @register(
     "combine_members",
     f"""SELECT contest_id, {q6('(p + (0.1 + 0.8 * p) + (0.2 + 0.6 * p)) / 3')} AS winner_prob,
@@ -832,91 +829,6 @@ def _(t: Tables):
     return rounded(learn.combine_members(members))
 
 
-def _model_rows(t: Tables) -> tuple[DataFrame, list[str]]:
-    """Assembled scaled inputs with targets and split flags, stored once for the fits."""
-
-    def build() -> DataFrame:
-        built = t.features
-        scale = learn.fitted(learn.preprocessing_stats(train_rows(built), features.numeric_inputs(built)))
-        rows = learn.standardised(
-            built.withColumnRenamed("scheduled_rounds", "planned").withColumn("scheduled_rounds", F.col("planned")),
-            scale, "contest_id", "date", "y_winner", "y_method", "y_finish_round", "planned",
-        )
-        return materialise(rows, "model-rows")
-
-    rows = t.stored("model-rows", build)
-    inputs = [c for c in rows.columns if c in _NUMERIC]
-    return learn.assembled(rows, inputs), inputs
-
-
-def _splits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    options = {"train_end": TRAIN_END, "val": VAL, "test_start": TEST_START}
-    return learn.split(rows, "train", **options), learn.split(rows, "val", **options)
-
-
-def _winner_model(t: Tables):
-    rows, inputs = _model_rows(t)
-    train, val = _splits(rows)
-    flagged = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
-    return learn.train_winner(flagged), rows, inputs
-
-
-@register("winner_model")
-def _(t: Tables):
-    model, rows, _ = _winner_model(t)
-    _, val = _splits(rows)
-    scored = learn.winner_scores(model, val, "contest_id", F.col("y_winner").cast("double").alias("y"))
-    return evaluation.winner_metrics(scored)
-
-
-@register("feature_importances")
-def _(t: Tables):
-    model, rows, inputs = _winner_model(t)
-    return learn.importances(model, inputs, rows)
-
-
-@register("method_model")
-def _(t: Tables):
-    rows, _ = _model_rows(t)
-    train, val = _splits(rows)
-    weights = learn.class_weights(train, "y_method", METHODS)
-    weighted = train.join(F.broadcast(weights.withColumnRenamed("label", "y_method")), "y_method")
-    model = learn.train_multiclass(weighted, "y_method", METHODS, weight="weight")
-    scored = learn.class_scores(model, val.filter("y_method IS NOT NULL"), METHODS, "contest_id", "y_method")
-    return evaluation.macro_f1(scored, "y_method", "predicted")
-
-
-@register("finish_round_model")
-def _(t: Tables):
-    rows, _ = _model_rows(t)
-    train, val = _splits(rows)
-    model = learn.train_multiclass(train, "y_finish_round", ROUND_CLASSES)
-    known = val.filter("y_finish_round IS NOT NULL")
-    scored = learn.class_scores(
-        model, known, ROUND_CLASSES, "contest_id", "y_finish_round", F.col("planned").alias("scheduled_rounds")
-    )
-    return evaluation.macro_f1(learn.masked_rounds(scored), "y_finish_round", "predicted")
-
-
-@register("ensemble")
-def _(t: Tables):
-    rows, _ = _model_rows(t)
-    train, val = _splits(rows)
-    outcome = F.col("y_winner").cast("double").alias("y")
-    scores = [
-        learn.winner_scores(learn.train_member(train, seed), val, F.lit(seed).alias("seed"), "contest_id", outcome)
-        for seed in _SEEDS
-    ]
-    # Stored, because the scores are read twice and come out of fitted models.
-    members = learn.calibrated_members(materialise(reduce(DataFrame.unionByName, scores), "members"))
-    combined = learn.combine_members(members)
-    scored = combined.join(val.select("contest_id", outcome), "contest_id")
-    return dataset.one_row(
-        evaluation.winner_metrics(scored, p="winner_prob"),
-        combined.agg(F.avg("winner_spread").alias("mean_spread")),
-    )
-
-
 _COEFFICIENTS = {
     "elo_diff": 0.004, "age_diff": -0.02, "reach_diff": 0.01, "streak_diff": 0.05, "kd_pf_diff": 0.1,
     "career_win_rate_diff": 0.8, "td_landed_pf_diff": 0.03, "height_diff": 0.005, "age_a": 0.02, "age_b": -0.03,
