@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestry.functions.labels import is_finish
@@ -122,3 +122,68 @@ def last_ratings(ratings: DataFrame) -> DataFrame:
         F.struct("date", "contest_id"),
     )
     return ratings.groupBy("competitor_id").agg(latest.alias("now")).select("competitor_id", "now.*")
+
+
+# --- states as of any date ------------------------------------------------------------
+
+#: Days of one block of a competitor's time line.
+BLOCK_DAYS = 32
+
+
+def states_after(
+    contests: DataFrame, stats: DataFrame, ratings: DataFrame, limit: int = careers.HOT_ROWS
+) -> DataFrame:
+    """(competitor_id, date, contest_id, now): what ``build_snapshots`` gives, after every contest."""
+    state = careers.after(careers.career_state(side_values(contests, stats, ratings), limit))
+    values = careers.career_stats()
+    values.pop("days_since_last")
+    now = state.select(
+        "contest_id", "side", "competitor_id", "date", "last_date", *[value.alias(name) for name, value in values.items()]
+    )
+    elo = ratings.select("contest_id", "side", *[F.col(f"post_{t}").alias(f"elo_{t}") for t in ("overall", "striking", "grappling")])
+    joined = now.join(elo, ["contest_id", "side"], "left")
+    fields = [*values, "last_date", "elo_overall", "elo_striking", "elo_grappling"]
+    return joined.select("competitor_id", "date", "contest_id", F.struct(*fields).alias("now"))
+
+
+def states_as_of(events: DataFrame, states: DataFrame, as_of: str = "as_of") -> DataFrame:
+    """``events`` with ``now``: the competitor's state after the last contest strictly before the date ``as_of``.
+
+    Contests and events of a competitor are merged into one order of time; a running
+    window carries the latest state to the events behind it.  Windows lie in blocks of
+    ``BLOCK_DAYS``, and where a block has no earlier contest the last state of the
+    blocks before counts, from a window over one row per competitor and block.  So one
+    competitor's rows spread over as many tasks as blocks.  Null without competitor,
+    date or earlier contest.
+    """
+    columns = events.columns
+    held = F.struct("date", "contest_id", "now")
+
+    def block(day: Column) -> Column:
+        return F.floor(F.unix_date(day.cast("date")) / BLOCK_DAYS)
+
+    known = states.select(
+        "competitor_id", F.col("date").cast("date").alias("day"), block(F.col("date")).alias("block"), F.lit(1).alias("order"),
+        "contest_id", held.alias("held"),
+    )
+    asked = events.select(
+        "competitor_id", F.col(as_of).cast("date").alias("day"), block(F.col(as_of)).alias("block"), F.lit(0).alias("order"),
+        F.struct(*columns).alias("event"),
+    )
+    # on one day events come before contests, so a contest of the day itself isn't seen
+    running = Window.partitionBy("competitor_id", "block").orderBy("day", "order", "contest_id")
+    running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = known.unionByName(asked, allowMissingColumns=True).withColumn("seen", F.last("held", ignorenulls=True).over(running))
+    found = merged.filter("order = 0").select("competitor_id", "block", "event", "seen")
+
+    blocks = known.select("competitor_id", "block", "held").unionByName(
+        asked.select("competitor_id", "block").distinct(), allowMissingColumns=True
+    )
+    ends = blocks.groupBy("competitor_id", "block").agg(F.max_by("held", F.struct("held.date", "held.contest_id")).alias("end"))
+    earlier = Window.partitionBy("competitor_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        F.col("competitor_id").alias("of"), F.col("block").alias("in_block"), F.last("end", ignorenulls=True).over(earlier).alias("carried")
+    )
+    both = found.join(carried, (F.col("competitor_id") == F.col("of")) & (F.col("block") == F.col("in_block")), "left")
+    usable = F.col("event.competitor_id").isNotNull() & F.col(f"event.{as_of}").isNotNull()
+    return both.select("event.*", F.when(usable, F.coalesce("seen", "carried")["now"]).alias("now"))

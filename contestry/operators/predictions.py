@@ -14,6 +14,7 @@ from contestry.functions.probability import brier_term, log_loss_term
 from contestry.operators.careers import STAT_NAMES
 from contestry.operators.dataset import one_row
 from contestry.operators.features import matchup_columns
+from contestry.operators.history import states_as_of
 from contestry.operators.resolve import FOLDED, attach_names, nearest_within, with_pair
 from contestry.session import materialise
 
@@ -92,6 +93,28 @@ def matchups(bouts: DataFrame, competitors: DataFrame, snapshots: DataFrame) ->
         )
 
     joined = named.join(of(1), ["id_1", *run], "left").join(of(2), ["id_2", *run], "left")
+    return _listed(joined, bouts.columns)
+
+
+def matchups_as_of(bouts: DataFrame, competitors: DataFrame, states: DataFrame, known_before: str = "event_date") -> DataFrame:
+    """Like ``matchups``, with each competitor's state strictly before the bout's own date ``known_before``.
+
+    ``states`` are the states after every contest; all dates are served by one merged
+    order of time, whatever the number of cards.
+    """
+    named = attach_names(bouts, competitors, "competitor_a_name", "competitor_b_name")
+    sides = F.array(*[F.struct(F.lit(k).alias("number"), F.col(f"id_{k}").alias("competitor_id")) for k in (1, 2)])
+    events = named.select(*BOUT_KEY, F.col(known_before).alias("as_of"), F.inline(sides)).filter("competitor_id IS NOT NULL")
+    bios = competitors.select("competitor_id", F.struct("height_cm", "reach_cm", "stance", "dob").alias("bio"))
+    found = states_as_of(events, states).join(bios, "competitor_id", "left")
+    folded = found.groupBy(*BOUT_KEY).agg(
+        *[F.first(F.when(F.col("number") == k, F.col(c)), ignorenulls=True).alias(f"{c}_{k}") for k in (1, 2) for c in ("now", "bio")]
+    )
+    return _listed(named.join(folded, BOUT_KEY, "left"), bouts.columns)
+
+
+def _listed(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """Resolved bouts with both states: sides, or the reason to skip them."""
     unmatched = F.col("id_1").isNull() | F.col("id_2").isNull()
     unseen = [
         F.when(F.col(f"now_{i}").isNull(), F.concat(F.lit("'"), F.col(f"competitor_{s}_name"), F.lit("'")))
@@ -107,7 +130,7 @@ def matchups(bouts: DataFrame, competitors: DataFrame, snapshots: DataFrame) ->
     title = F.coalesce("title_fight", F.lit(False))
     folded = (F.col("tier_1") == FOLDED) | (F.col("tier_2") == FOLDED)
     return joined.select(
-        *bouts.columns,
+        *columns,
         reason.alias("reason"),
         reason.isNotNull().alias("skipped"),
         F.col("id_1"),
@@ -190,14 +213,20 @@ def predict_cards(
     competitors: DataFrame,
     snapshots: DataFrame,
     scorer: Callable[[DataFrame], DataFrame] = rating_scorer,
-    detail: bool = False,
 ) -> DataFrame:
-    """One row per bout of all cards: a prediction, or a stub with its reason.
+    """One row per bout of all cards: a prediction, or a stub with its reason."""
+    return predict_matchups(matchups(bouts, competitors, snapshots), scorer)
+
+
+def predict_matchups(
+    matched: DataFrame, scorer: Callable[[DataFrame], DataFrame] = rating_scorer, detail: bool = False
+) -> DataFrame:
+    """One row per bout of ``matchups``: a prediction, or a stub with its reason.
 
     ``detail`` adds the spread and what each orientation gave.
     """
     # Stored, one row per bout: scored and listed from the same rows.
-    rows = materialise(matchups(bouts, competitors, snapshots), "matchups")
+    rows = materialise(matched, "matchups")
     scored = symmetrise(scorer(orientations(rows.filter("NOT skipped"))), *BOUT_KEY)
     made = ~F.col("skipped")
     joined = rows.join(scored, BOUT_KEY, "left")

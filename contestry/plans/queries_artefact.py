@@ -245,7 +245,7 @@ def _modelled_log(t: Tables) -> DataFrame:
     models = models_of(t)
 
     def build() -> DataFrame:
-        made = predictions.predict_cards(t.run_bouts, t.competitors, t.run_snapshots, models.score, detail=True)
+        made = predictions.predict_matchups(t.run_matchups(), models.score, detail=True)
         at = F.concat(F.date_format(F.date_sub("event_date", 7), "yyyy-MM-dd"), F.lit("T12:00:00Z"))
         return materialise(predictions.stamped(made, at, F.lit(models.version)), "modelled-log")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contestry.functions import labels, probability
 from contestry.functions.labels import METHODS, ROUND_CLASSES
+from contestry.operators.careers import STAT_NAMES
 from contestry.operators import dataset, evaluation, features, learn, market, predictions, ratings, resolve
 from contestry.plans import views
 from contestry.plans.oracle import r6 as q6
@@ -568,10 +569,48 @@ def _(t: Tables):
                {q6('elo_a')} AS elo_a, {q6('elo_b')} AS elo_b FROM log""",
 )
 def _(t: Tables):
-    made = predictions.predict_cards(t.run_bouts, t.competitors, t.run_snapshots)
+    made = predictions.predict_matchups(t.run_matchups())
     return rounded(made.select(*[c for c in LOG_FIELDS if c not in ("predicted_at_utc", "model_version")]))
 
 
+_STATS = [c for c in STAT_NAMES if c != "days_since_last"]
+_SIDE_SQL = ", ".join([f"s.{c}" for c in _STATS] + ["z.event_date - s.date AS days_since_last"])
+
+
+@register(
+    "matchup_features",
+    f"""WITH states AS (
+          SELECT c.competitor_id, c.date, {", ".join(f"{'o' if c == 'last5_avg_opp_elo' else 'c'}.{c}" for c in _STATS)},
+                 r.post_overall, r.post_striking, r.post_grappling
+          FROM careers_after c JOIN opposition_after o USING (contest_id, side, competitor_id)
+          JOIN ratings r ON r.contest_id = c.contest_id AND r.side = c.side
+          QUALIFY row_number() OVER (PARTITION BY c.competitor_id, c.date ORDER BY c.contest_id DESC) = 1),
+        named AS (
+          SELECT b.event_name, b.event_date, b.position, k.number, k.competitor_id, coalesce(b.weight_class, 'Lightweight') AS weight_class,
+                 b.title_fight, CASE WHEN b.title_fight OR b.main_event THEN 5 ELSE 3 END AS scheduled_rounds
+          FROM bouts b JOIN resolved r1 ON r1.name = b.name_a JOIN resolved r2 ON r2.name = b.name_b,
+               LATERAL (VALUES (1, r1.resolved_id), (2, r2.resolved_id)) k(number, competitor_id)
+          WHERE r1.resolved_id IS NOT NULL AND r2.resolved_id IS NOT NULL),
+        sided AS (
+          SELECT z.event_name, z.event_date, z.position, z.number, z.weight_class, z.title_fight, z.scheduled_rounds, {_SIDE_SQL},
+                 s.post_overall AS pre_overall, s.post_striking AS pre_striking, s.post_grappling AS pre_grappling, s.career_fights AS pre_fights,
+                 k.height_cm, k.reach_cm, (z.event_date - k.dob) / 365.25 AS age, k.reach_cm IS NULL AS reach_missing,
+                 k.dob IS NULL AS dob_missing, coalesce(k.stance = 'Southpaw', false) AS southpaw, coalesce(s.career_fights, 0) = 0 AS debut
+          FROM named z ASOF JOIN states s ON s.competitor_id = z.competitor_id AND s.date < z.event_date
+          LEFT JOIN competitors k ON k.competitor_id = z.competitor_id)
+        SELECT x.event_name, CAST(x.event_date AS VARCHAR) AS event_date, x.position, CASE x.number WHEN 1 THEN 'ab' ELSE 'ba' END AS orientation,
+               x.weight_class, x.title_fight, CAST(x.scheduled_rounds AS BIGINT) AS scheduled_rounds,
+               {", ".join(f"{q6(f'CAST(x.{src} AS DOUBLE) - CAST(y.{src} AS DOUBLE)')} AS {stem}_diff" for src, stem in features.DIFF_STEMS.items())},
+               {", ".join((q6(f"{t}.{n}") if n == "age" else f"{t}.{n}") + f" AS {n}_{s}" for s, t in (("a", "x"), ("b", "y")) for n in features.PER_SIDE)},
+               x.debut <> y.debut AS debut_matchup, x.southpaw <> y.southpaw AS stance_mismatch
+        FROM sided x JOIN sided y ON x.event_name = y.event_name AND x.event_date = y.event_date AND x.position = y.position AND x.number <> y.number""",
+)
+def _(t: Tables):
+    """Both orientations of every bout, from the states before its own date."""
+    ready = predictions.matchups_as_of(t.bouts, t.competitors, t.states).filter("NOT skipped")
+    return rounded(predictions.orientations(ready))
+
+
 @register(
     "symmetrised",
     f"""SELECT event_name, CAST(event_date AS VARCHAR) AS event_date, position, {q6('p_a_wins')} AS winner_prob,
@@ -579,7 +618,7 @@ def _(t: Tables):
         FROM log WHERE NOT skipped""",
 )
 def _(t: Tables):
-    ready = predictions.matchups(t.run_bouts, t.competitors, t.run_snapshots).filter("NOT skipped")
+    ready = t.run_matchups().filter("NOT skipped")
     scored = predictions.rating_scorer(predictions.orientations(ready))
     both = predictions.symmetrise(scored.drop("method_probs", "round_probs"), *predictions.BOUT_KEY)
     return rounded(both)

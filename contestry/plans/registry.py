@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,19 +108,14 @@ class Tables:
         return self.bouts.withColumn("run", run)
 
     @cached_property
-    def run_snapshots(self) -> DataFrame:
-        """The snapshots each run could know."""
+    def states(self) -> DataFrame:
+        """The stored states of competitors after every contest."""
+        return self.stored("states", lambda: materialise(history.states_after(self.contests, self.stats, self.ratings), "states"))
 
-        def build() -> DataFrame:
-            made = []
-            for r in RUNS:
-                run = F.lit(r).cast("date")
-                cut = F.date_sub(run, RUN_LEAD_DAYS).cast("timestamp_ntz")
-                known = history.snapshots_before(self.contests, self.stats, self.ratings, cut)
-                made.append(known.withColumn("run", run))
-            return materialise(reduce(DataFrame.unionByName, made), "run-snapshots")
-
-        return self.stored("run-snapshots", build)
+    def run_matchups(self) -> DataFrame:
+        """The bouts with the states their run could know."""
+        bouts = self.run_bouts.withColumn("known_before", F.date_sub("run", RUN_LEAD_DAYS))
+        return predictions.matchups_as_of(bouts, self.competitors, self.states, "known_before")
 
     @cached_property
     def features(self) -> DataFrame:
@@ -137,7 +132,7 @@ class Tables:
         """The prediction log of all cards, stamped a week before each event."""
 
         def build() -> DataFrame:
-            made = predictions.predict_cards(self.run_bouts, self.competitors, self.run_snapshots)
+            made = predictions.predict_matchups(self.run_matchups())
             day = F.col("event_date")
             at = F.concat(F.date_format(F.date_sub(day, 7), "yyyy-MM-dd"), F.lit("T12:00:00Z"))
             version = F.concat(F.lit("v"), (F.year(day) % 3).cast("string"))

@@ -72,7 +72,7 @@ def test_nulls_and_unknown_categories_get_probabilities(spark, rows, fitted):
 def test_both_orientations_differ_and_are_averaged(spark, fitted):
     models, _ = fitted
     t = Tables(spark, SF_DIR)
-    ready = predictions.matchups(t.run_bouts, t.competitors, t.run_snapshots).filter("NOT skipped")
+    ready = t.run_matchups().filter("NOT skipped")
     both = predictions.symmetrise(models.score(predictions.orientations(ready)), *predictions.BOUT_KEY).collect()
     assert both and all(r.prob_ab != 1 - r.prob_ba for r in both)
     assert all(abs(r.winner_prob - (r.prob_ab + 1 - r.prob_ba) / 2) < 1e-12 and 0 < r.winner_prob < 1 for r in both)

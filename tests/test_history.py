@@ -1,7 +1,10 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from contestry.operators import careers, features, history, ratings
+from contestry.plans.registry import Tables
 from frames import CONTESTS_DDL, STATS_DDL, contest, frame, random_league, stat
 
 
@@ -145,3 +148,36 @@ def test_features_ignore_later_contests(spark):
         return features.build_features(rows, people, elo, history.build_history(rows, s, elo))
 
     assert features.truncation_differences(build(c), build(c.filter(F.col("date") < cutoff)), cutoff).count() == 0
+
+
+def test_states_as_of_any_date(spark):
+    """The state after the last contest strictly before each date, by a plain scan, across blocks and ties."""
+    import random
+
+    rng = random.Random(2)
+    day0 = dt.date(2001, 1, 1)
+    known = [(f"c{rng.randrange(4)}", day0 + dt.timedelta(rng.randrange(200)), f"k{n:03d}") for n in range(120)]
+    states = spark.createDataFrame([(c, d, k, (k,)) for c, d, k in known], "competitor_id string, date date, contest_id string, now struct<mark: string>")
+    asked = [(n, f"c{rng.randrange(5)}", day0 + dt.timedelta(rng.randrange(-5, 260))) for n in range(300)]
+    asked += [(300, None, day0), (301, "c0", None), (302, "c0", day0 + dt.timedelta(5000))]
+    asked.append(asked[0])
+    events = spark.createDataFrame(asked, "n int, competitor_id string, as_of date").withColumn("now_there", F.lit("x"))
+    found = sorted((r.n, r.now.mark if r.now else None) for r in history.states_as_of(events, states).collect())
+
+    def scan(competitor, day):
+        past = [(d, k) for c, d, k in known if competitor and day and c == competitor and d < day]
+        return max(past)[1] if past else None
+
+    assert found == sorted((n, scan(c, d)) for n, c, d in asked)
+    assert history.states_as_of(events, states.limit(0)).filter("now IS NOT NULL").count() == 0
+    assert history.states_as_of(events.limit(0), states).count() == 0
+
+
+def test_states_as_of_a_run_are_its_snapshots(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    cut = F.lit("1998-06-01").cast("date")
+    snapshots = history.snapshots_before(t.contests, t.stats, t.ratings, cut.cast("timestamp_ntz"))
+    events = snapshots.select("competitor_id", cut.alias("as_of"))
+    again = history.states_as_of(events, t.states).select("competitor_id", "now.*")
+    assert again.count() > 100
+    assert sorted(map(repr, again.select(*snapshots.columns).collect())) == sorted(map(repr, snapshots.collect()))
