@@ -13,7 +13,7 @@ from contestry.plans.registry import (
     TEST_START, TODAY, TRAIN_END, VAL, Tables, r6, register, rounded,
 )
 from contestry.session import scratch_path
-from contestry.sources import documents, html, tables
+from contestry.sources import documents, event_files, html, tables
 
 _DAY = "CAST(date AS VARCHAR)"
 _CONTEST_SQL = f"""
@@ -112,6 +112,44 @@ def _(t: Tables):
     return rounded(documents.read_log(t.spark, path).select(*LOG_FIELDS))
 
 
+_SHARES_SQL = ", ".join(
+    f"CASE WHEN NOT skipped THEN {p} END AS {name}"
+    for name, p in {
+        "p_ko_tko": "0.3::DOUBLE", "p_submission": "0.2::DOUBLE", "p_decision": "0.5::DOUBLE",
+        "p_round_1": "CASE WHEN scheduled_rounds <= 3 THEN 0.5 ELSE 0.4 END::DOUBLE",
+        "p_round_2": "CASE WHEN scheduled_rounds <= 3 THEN 0.3 ELSE 0.24 END::DOUBLE",
+        "p_round_3": "CASE WHEN scheduled_rounds <= 3 THEN 0.2 ELSE 0.16 END::DOUBLE",
+        "p_round_45": "CASE WHEN scheduled_rounds <= 3 THEN 0.0 ELSE 0.2 END::DOUBLE",
+    }.items()
+)
+_SLUG_SQL = "'EVENT_' || trim(regexp_replace(event_name, '[^A-Za-z0-9]+', '_', 'g'), '_') || '_' || event_date || '.json'"
+
+
+@register(
+    "event_files",
+    f"""SELECT {_SLUG_SQL} AS file_name,
+               {_LOG_COLUMNS.replace("match_tier", "CASE WHEN day(event_date) % 2 = 0 THEN match_tier END AS match_tier").replace("model_version", "CASE WHEN day(event_date) % 5 = 0 THEN 'next' ELSE model_version END AS model_version")},
+               {_SHARES_SQL}, CASE WHEN day(event_date) % 5 = 0 THEN '"' || position || ' of the card"' END AS place
+        FROM log""",
+)
+def _(t: Tables):
+    """Events written one file each, some rewritten by a later writer, all read back.
+
+    The first writer does not know ``match_tier`` on odd days; the later one adds a field.
+    """
+    folder, day = scratch_path(t.spark, "event-files"), F.dayofmonth("event_date")
+    first = t.log.withColumn("match_tier", F.when(day % 2 == 0, F.col("match_tier")))
+    event_files.write_event_files(first, folder)
+    later = documents.log_documents(first.filter(day % 5 == 0).withColumn("model_version", F.lit("next")))
+    fights = F.transform("fights", lambda f: f.withField("place", F.concat(f["position"].cast("string"), F.lit(" of the card"))))
+    rows = later.withColumn("fights", fights)
+    fields = [c for c in rows.columns if c != "file_name"]
+    rows.select("file_name", F.to_json(F.struct(*fields)).alias("document")).write.format(event_files.FORMAT).mode("append").save(folder)
+    read = documents.flatten_documents(event_files.read_event_files(t.spark, folder))
+    shares = {f"p_{c}": F.col("method_probs")[c] for c in labels.METHODS} | {f"p_round_{c}": F.col("round_probs")[c] for c in labels.ROUND_CLASSES}
+    return rounded(read.select("file_name", *LOG_FIELDS, *[v.alias(k) for k, v in shares.items()], F.col("more")["place"].alias("place")))
+
+
 @register(
     "log_documents",
     """SELECT 'EVENT_' || trim(regexp_replace(event_name, '[^A-Za-z0-9]+', '_', 'g'), '_') || '_' || event_date || '.json'
