@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.operators import features, history, predictions, ratings
+from contestry.operators import build, features, history, predictions, ratings
 from contestry.plans import oracle, views
 from contestry.session import materialise
 
@@ -55,12 +55,12 @@ class Tables:
     @cached_property
     def contests(self) -> DataFrame:
         """The stored clean contests."""
-        return self.stored("contests", lambda: materialise(views.contests(self.spark, self.sf_dir), "contests"))
+        return self.stored("contests", lambda: build.store_contests(views.contests(self.spark, self.sf_dir))[0])
 
     @cached_property
     def stats(self) -> DataFrame:
         """The stored side statistics."""
-        return self.stored("stats", lambda: materialise(views.side_stats(self.spark, self.sf_dir), "stats"))
+        return self.stored("stats", lambda: build.store_stats(views.side_stats(self.spark, self.sf_dir))[0])
 
     @cached_property
     def competitors(self) -> DataFrame:
