@@ -25,7 +25,7 @@ from contestry.functions.labels import METHODS, ROUND_CLASSES
 from contestry.functions.probability import mask_long_rounds, normalised
 from contestry.operators import learn
 from contestry.operators.features import DROPPED, model_inputs
-from contestry.session import ensure_checkpoint_dir, materialise
+from contestry.session import ensure_checkpoint_dir, materialise, scratch_path
 
 CATEGORY = "weight_class"
 #: Columns of prepared rows: inputs of trees (as they are, category nominal) and of linear models (scaled).
@@ -61,10 +61,18 @@ def fit_inputs(train: DataFrame) -> tuple[PipelineModel, list[str]]:
     return Pipeline(stages=stages).fit(train), names
 
 
-def _fit_all(fits: Mapping[str, Callable[[], object]], threads: int) -> dict[str, object]:
+def _fit_all(spark: SparkSession, fits: Mapping[str, Callable[[], object]], threads: int) -> dict[str, object]:
     """Independent fits, some at a time, as their jobs are many and small."""
     with ThreadPool(threads) as pool:
-        return dict(zip(fits, pool.map(lambda fit: inheritable_thread_target(fit)(), fits.values()), strict=True))
+        return dict(zip(fits, pool.map(lambda fit: inheritable_thread_target(spark)(fit)(), fits.values()), strict=True))
+
+
+def _stored(model: LogisticRegressionModel, spark: SparkSession) -> LogisticRegressionModel:
+    """The model read back from a file: without its training summary, which holds the
+    session and cannot go to tasks once the session has observed a write."""
+    path = scratch_path(spark, "linear-model")
+    model.save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def _boosted(rows: DataFrame, label: Column, max_rounds: int, seed: int) -> GBTClassificationModel:
@@ -85,6 +93,7 @@ class OutcomeModels:
     boosted: dict[str, GBTClassificationModel]
     linear: dict[str, LogisticRegressionModel]
     temperatures: dict[str, float] = field(default_factory=dict)
+    folder: str | None = None
 
     @property
     def members(self) -> list[str]:
@@ -175,7 +184,7 @@ def load(spark: SparkSession, folder: str) -> OutcomeModels:
     head = next(r for r in rows if r["kind"] == "pipeline")
     return OutcomeModels(
         head["version"], head["inputs"], PipelineModel.load(f"{folder}/inputs"), found["boosted"], found["linear"],
-        {r["name"]: r["temperature"] for r in rows if r["temperature"] is not None},
+        {r["name"]: r["temperature"] for r in rows if r["temperature"] is not None}, folder,
     )
 
 
@@ -207,13 +216,13 @@ def fit(
     def linear(task: str) -> LogisticRegressionModel:
         column, classes = TASKS[task]
         weights = learn.class_weights(own, column, classes).withColumnRenamed("label", column)
-        return learn.train_multiclass(own.join(F.broadcast(weights), column), column, classes, LINEAR, "weight")
+        return _stored(learn.train_multiclass(own.join(F.broadcast(weights), column), column, classes, LINEAR, "weight"), spark)
 
     fits: dict[str, Callable[[], object]] = {"winner": lambda: _boosted(both, F.col("y_winner"), max_rounds, 0)}
     for task, (column, classes) in TASKS.items():
         fits |= {f"{task}-{c}": (lambda column=column, c=c: _boosted(both, F.col(column) == c, max_rounds, 0)) for c in classes}
-    members = {f"member-{s}": (lambda s=s: learn.train_member(own, s, LINEAR)) for s in seeds}
-    made = _fit_all(fits | members | {task: (lambda task=task: linear(task)) for task in TASKS}, threads)
+    members = {f"member-{s}": (lambda s=s: _stored(learn.train_member(own, s, LINEAR), spark)) for s in seeds}
+    made = _fit_all(spark, fits | members | {task: (lambda task=task: linear(task)) for task in TASKS}, threads)
     models = OutcomeModels(version, names, inputs, {n: made[n] for n in fits}, {n: made[n] for n in made if n not in fits})
     return OutcomeModels(version, names, inputs, models.boosted, models.linear, _temperatures(models, both.filter("is_val"), list(members)))
 

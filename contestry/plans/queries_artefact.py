@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestry.operators import artefact, dataset, evaluation, features, learn, predictions
+from contestry.operators import artefact, dataset, evaluation, explain, features, learn, predictions
 from contestry.plans.oracle import r6 as q6
 from contestry.plans.queries_models import _metrics_sql
 from contestry.plans.queries_tables import scored_table
@@ -177,6 +177,70 @@ def _(t: Tables):
     return reduce(DataFrame.unionByName, rows)
 
 
+# --- explanations of the stored winner model ---------------------------------------------------------
+
+
+def _parts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Each contest's parts of the boosted winner's log-odds, as listed and with sides exchanged, stored once."""
+    models = models_of(t)
+
+    def build() -> tuple[DataFrame, DataFrame]:
+        leaves = materialise(explain.leaf_parts(t.spark, f"{models.folder}/boosted/winner", models.names), "leaf-parts")
+        rows = (_prepared(t), models.prepared(explain.turned(t.features)))
+        model = models.boosted["winner"].copy().setFeaturesCol(artefact.TREES)
+        return tuple(materialise(explain.contributions(model, r, leaves), "parts") for r in rows)
+
+    return t.stored("winner-parts", build)
+
+
+@register(
+    "contribution_checks",
+    "SELECT contest_id, true AS adds_up, true AS turned_adds_up, true AS symmetrised_adds_up FROM features",
+)
+def _(t: Tables):
+    """Parts of both orientations against the log-odds the model gives, and their halved difference."""
+    models, (forward, backward) = models_of(t), _parts(t)
+
+    def odds(rows: DataFrame, name: str) -> DataFrame:
+        p = F.col("p")
+        return models.boosted_winner(models.prepared(rows)).select("contest_id", (F.ln(p) - F.ln(1.0 - p)).alias(name))
+
+    def total(parts: DataFrame, column: str, name: str) -> DataFrame:
+        return parts.groupBy("contest_id").agg(F.sum(column).alias(name))
+
+    halves = explain.symmetrised(forward, backward)
+    both = odds(t.features, "ab").join(odds(explain.turned(t.features), "ba"), "contest_id")
+    both = both.join(total(forward, "part", "sum_ab"), "contest_id", "left").join(total(backward, "part", "sum_ba"), "contest_id", "left")
+    both = both.join(total(halves, "contribution", "sum_half"), "contest_id", "left")
+    half = F.coalesce("sum_half", F.lit(0.0))
+    return both.select(
+        "contest_id",
+        (F.abs(F.col("ab") - F.col("sum_ab")) < 1e-6).alias("adds_up"),
+        (F.abs(F.col("ba") - F.col("sum_ba")) < 1e-6).alias("turned_adds_up"),
+        (F.abs((F.col("ab") - F.col("ba")) / 2 - half) < 1e-6).alias("symmetrised_adds_up"),
+    )
+
+
+@register("model_factors")
+def _(t: Tables):
+    """The six strongest parts of every contest, in words, with the side each favours."""
+    a, b, size = F.col("competitor_a_id"), F.col("competitor_b_id"), F.abs("contribution")
+    swapped = features.swap_side(F.col("contest_id"))
+    names = dataset.decisive(t.contests).select(
+        "contest_id", F.when(swapped, b).otherwise(a).alias("first"), F.when(swapped, a).otherwise(b).alias("second")
+    )
+    label = F.create_map(*[F.lit(v) for pair in learn.FEATURE_LABELS.items() for v in pair])[F.col("feature")]
+    top = explain.strongest(explain.symmetrised(*_parts(t)))
+    return top.join(names, "contest_id").select(
+        "contest_id",
+        "rank",
+        F.coalesce(label, "feature").alias("label"),
+        "contribution",
+        F.when(F.col("contribution") >= 0, F.col("first")).otherwise(F.col("second")).alias("favors"),
+        F.when(size > 0.3, "strong").when(size > 0.1, "moderate").otherwise("slight").alias("strength"),
+    )
+
+
 # --- held-out evaluation of the stored models ----------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from contestry.operators import artefact, features, learn, predictions
+from contestry.operators import artefact, explain, features, learn, predictions
 from contestry.plans.registry import TRAIN_END, VAL, Tables
 from contestry.session import scratch_path
 
@@ -87,3 +87,27 @@ def test_finish_rounds_beat_the_training_shares(rows, fitted):
     n = {r["y_finish_round"]: r["count"] for r in known.groupBy("y_finish_round").count().collect()}
     total = sum(n.values())
     assert loss < -sum(v / total * math.log(v / total) for v in n.values())
+
+
+def test_parts_of_a_deep_model_add_up(spark, rows, fitted):
+    """Eight trees of depth four: the parts of each row against the log-odds, and none of an unused input."""
+    models, folder = fitted
+    name = max((n for n in models.boosted if n.startswith("finish")), key=lambda n: models.boosted[n].getNumTrees)
+    model = models.boosted[name]
+    assert model.getNumTrees > 1
+    parts = explain.leaf_parts(spark, f"{folder}/boosted/{name}", models.names)
+    assert parts.count() == sum(tree.numNodes // 2 + 1 for tree in model.trees)
+    prepared = models.prepared(rows)
+    found = explain.contributions(model.copy().setFeaturesCol(artefact.TREES), prepared, parts)
+    sums = {r.contest_id: r.total for r in found.groupBy("contest_id").agg(F.sum("part").alias("total")).collect()}
+    scored = models.with_chances(prepared, name).select("contest_id", F.col(f"chance_{name}")[1].alias("p")).collect()
+    assert len(scored) == len(sums) and all(abs(math.log(r.p / (1 - r.p)) - sums[r.contest_id]) < 1e-6 for r in scored)
+    used = {n for n, v in zip(models.names, model.featureImportances.toArray()) if v > 0}
+    assert {r.feature for r in found.select("feature").distinct().collect()} <= used | {explain.BIAS}
+
+
+def test_strongest_parts_and_exchanged_sides(spark, rows):
+    given = spark.createDataFrame([("c", "x", 0.5), ("c", "y", -0.7), ("c", "z", 0.5), ("d", "x", 0.0)], "contest_id string, feature string, contribution double")
+    assert [tuple(r) for r in explain.strongest(given, top_n=2).orderBy("contest_id", "rank").collect()] == [("c", 1, "y", -0.7), ("c", 2, "x", 0.5), ("d", 1, "x", 0.0)]
+    twice = explain.turned(explain.turned(rows))
+    assert twice.exceptAll(rows).count() == 0
