@@ -5,9 +5,9 @@ that order.  Each round counts the exact bytes of all rows in the slices that st
 hold a limit, cut 4096 ways, and keeps the slice that holds each limit, until every
 limit is within tolerance of its target.  Then rows move once.
 
-Equal texts share the first hash, so a limit falls inside a group of equal texts
-only where the group is larger than the tolerance allows; there the second hash
-goes on.
+Equal texts share the first hash.  A limit that would fall inside a group of equal
+texts goes to the nearer end of it, unless the group holds more than ``GROUP_SHARE``
+of a shard's mean size; there the second hash goes on.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from contestry.session import materialise
 _BITS = 12
 _WAYS = 1 << _BITS
 _STEPS = 12  # six for each of the two 64-bit hashes, the last of six with 4 bits
+#: Groups of equal texts up to this share of a shard stay together.
+GROUP_SHARE = 0.02
 
 
 def _digit(step: int) -> Column:
@@ -49,7 +51,7 @@ def _slice_of(digits: tuple[int, ...]) -> Column:
     return found
 
 
-def _refine(sized: DataFrame, limits: list[_Limit], step: int, tolerance: float) -> None:
+def _refine(sized: DataFrame, limits: list[_Limit], step: int, tolerance: float, group: float) -> None:
     """One round: exact bytes of the digits of ``step`` within the open limits' slices.
 
     What reaches the driver is at most 4096 sums for each open limit.
@@ -71,7 +73,8 @@ def _refine(sized: DataFrame, limits: list[_Limit], step: int, tolerance: float)
             if above >= limit.target or row is found[-1]:
                 low, high = limit.target - limit.below, above - limit.target
                 limit.digits = (*base, row["digit"])
-                last = step == _STEPS - 1 or row["n"] == 1
+                whole = step == _STEPS // 2 - 1 and row["bytes"] <= group
+                last = step == _STEPS - 1 or row["n"] == 1 or whole
                 if min(low, high) <= tolerance or last:
                     limit.settled = True
                     if high < low:
@@ -80,13 +83,31 @@ def _refine(sized: DataFrame, limits: list[_Limit], step: int, tolerance: float)
             limit.below = above
 
 
-def _compare(digits: tuple[int, ...]) -> Column:
-    """True for rows at or above the limit ``digits``."""
-    above = F.lit(True)
-    for step in range(len(digits) - 1, -1, -1):
-        digit = _digit(step)
-        above = (digit > digits[step]) | ((digit == digits[step]) & above)
-    return above
+def _place(digits: tuple[int, ...]) -> int:
+    """A limit as a number of 128 bits; a digit past its last value carries over."""
+    return sum(digit << 128 - 64 * (step // 6) - min(_BITS * (step % 6 + 1), 64) for step, digit in enumerate(digits))
+
+
+def _ordered(key: Column) -> Column:
+    """An unsigned 64-bit key as the signed number of the same rank."""
+    return key.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _shard(limits: list[_Limit]) -> Column:
+    """How many limits a row lies at or above: a binary search in one array of them."""
+    places = sorted(place for place in (_place(limit.digits) for limit in limits if limit.digits) if place < 1 << 128)
+    if not places:
+        return F.lit(0)
+    halves = [(place >> 64, place & (1 << 64) - 1) for place in places]
+    found = F.array(*[F.struct(*[F.lit(half - (1 << 63)).cast("long") for half in both]) for both in halves])
+    row = F.struct(_ordered(F.col("k1")), _ordered(F.col("k2")))
+    strides = [1 << bit for bit in reversed(range(len(places).bit_length()))]
+
+    def passed(at: Column, stride: Column) -> Column:
+        beyond = at + stride
+        return F.when((beyond <= len(places)) & (F.get(found, beyond - 1) <= row), beyond).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, strides)), F.lit(0), passed)
 
 
 def shard_by_bytes(
@@ -96,7 +117,8 @@ def shard_by_bytes(
     """``docs`` with size, shard and slot: shards of near-equal total size.
 
     size is the text's UTF-8 bytes (null: none) plus ``overhead``.  Limits are
-    within ``tolerance`` of a shard's mean size, or as near as single rows allow.
+    within ``tolerance`` of a shard's mean size, or as near as single rows and groups of
+    equal texts of at most ``GROUP_SHARE`` of a shard, which stay together, allow.
     slot numbers a shard's rows from 0 without gaps.  Rows that repeat an id and
     text, and null ids, are rows like others.  An empty table stays empty.  Columns
     size, shard and slot of ``docs`` are replaced, others are carried through.
@@ -114,11 +136,8 @@ def shard_by_bytes(
     limits = [_Limit(total * i / shards) for i in range(1, shards)]
     for step in range(_STEPS):
         if total and not all(limit.settled for limit in limits):
-            _refine(sized, limits, step, tolerance * total / shards)
-    shard = F.lit(0)
-    for limit in limits:
-        if limit.digits:
-            shard = shard + _compare(limit.digits).cast("int")
+            _refine(sized, limits, step, tolerance * total / shards, GROUP_SHARE * total / shards)
+    shard = _shard(limits)
     # a shard's rows are numbered piece by piece; the pieces' counts place them
     pieces = ["shard", "p1", "p2"]
     placed = keyed.withColumns({"shard": shard, "p1": _digit(0), "p2": F.shiftrightunsigned("k2", 58).cast("int")})

@@ -49,3 +49,27 @@ def test_odd_rows(spark, odd_docs, no_docs, odd_rows):
     assert [(r.size, r.text_crc32, r.slot) for r in one] == [(16, 0, 0)]
     twins = spark.createDataFrame([(1, "a")] * 50, "doc_id long, text string")
     assert sorted(r.slot for r in shards.shard_by_bytes(twins, 1).collect()) == list(range(50))
+
+
+def test_limits_are_places_in_the_order_of_both_hashes():
+    assert shards._place((4096,)) == 1 << 128  # beyond all rows
+    assert shards._place((0, 4096)) == shards._place((1,)) == 1 << 116
+    assert shards._place((0,) * 5 + (3,)) == 3 << 64
+    assert shards._place((0,) * 11 + (5,)) == 5
+    assert shards._place((4095,) * 5 + (15,) + (4095,) * 5 + (15,)) == (1 << 128) - 1
+
+
+def test_given_groups_up_to_the_share_are_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = shards.plan(docs).collect()
+    mean = sum(r.size for r in rows) / 40
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r.text_crc32, r.size].append(r)
+    small = [g for g in groups.values() if len(g) > 1 and sum(r.size for r in g) <= shards.GROUP_SHARE * mean]
+    assert small and all(len({r.shard for r in g}) == 1 for g in small)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.shard] += r.size
+    slack = shards.GROUP_SHARE * mean + max(r.size for r in rows)
+    assert len(sizes) == 40 and max(abs(s - mean) for s in sizes.values()) <= slack
