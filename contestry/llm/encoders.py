@@ -12,16 +12,16 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-#: Characters of remembered chunks after which a worker begins anew.
-_KEPT_CHARS = 3_000_000
-#: Chunks a library gets in one string, and at most in one call.
-_JOINED, _CALL = 256, 1 << 16
+#: Characters of remembered chunks after which a worker keeps only those it has met so often since it last did.
+_KEPT_CHARS = 6_000_000
+_COMMON = 3
+#: Chunks that may go to a library in one string.
+_JOINED = 256
 #: A space after white space or at the end: such a text isn't cut.
 _RUN = re.compile(r"\s | $")
 
@@ -75,23 +75,38 @@ class ByteLevel:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunks, and how many each has.
-
-        Chunks that begin with a space and don't end in white space go to the library
-        side by side, cut apart again by the bytes of their tokens: a string has far
-        more overhead than a chunk.
-        """
-        if not (self.cuts and all(c[:1] == " " and not c[-1].isspace() for c in chunks)):
-            return _flat(self._ids(chunks))
+    def _beside(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of chunks that go to the library side by side, cut apart again by the bytes of their tokens."""
         ids, _ = _flat(self._ids(["".join(chunks[k : k + _JOINED]) for k in range(0, len(chunks), _JOINED)]))
         ends = np.cumsum([len(c.encode()) for c in chunks])
         token_ends = np.cumsum(self.sizes[ids])
         cuts = np.searchsorted(token_ends, ends) + 1
         if len(ids) != cuts[-1] or not np.array_equal(token_ends[cuts - 1], ends):
-            return _flat(self._ids(chunks))
+            return None
         return ids, np.diff(cuts, prepend=0)
 
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, and how many each has.
+
+        Chunks that begin with a space and don't end in white space may stand side by
+        side: a string has far more overhead for the library than a chunk.
+        """
+        joins = np.array([self.cuts and c[:1] == " " and not c[-1].isspace() for c in chunks], bool)
+        counts = np.zeros(len(chunks), np.int64)
+        found = []
+        for own, beside in ((np.flatnonzero(joins), True), (np.flatnonzero(~joins), False)):
+            if len(own):
+                texts = [chunks[i] for i in own]
+                ids, sizes = (self._beside(texts) if beside else None) or _flat(self._ids(texts))
+                counts[own] = sizes
+                found.append((own, ids))
+        starts = np.cumsum(counts) - counts
+        out = np.empty(counts.sum(), np.int32)
+        for own, ids in found:
+            sizes = counts[own]
+            out[np.arange(len(ids)) + np.repeat(starts[own] - (np.cumsum(sizes) - sizes), sizes)] = ids
+        return out, counts
+
 
 class Pieces:
     """A piece vocabulary with byte fallback, whose library puts a space before a text."""
@@ -117,6 +132,18 @@ class Pieces:
         return _flat(self.library.encode([c[1:] for c in chunks], num_threads=1))
 
 
+class _Numbers(dict):
+    """Numbers chunks as they are first asked for."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.fresh.append(chunk)
+        return number
+
+
 class Remembered:
     """Ids of texts by one or more vocabularies, which see each chunk once."""
 
@@ -126,11 +153,28 @@ class Remembered:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.ids = [np.empty(1 << 16, np.int32) for _ in self.sides]
         self.ends = [np.zeros(1, np.int64) for _ in self.sides]
+        self.counts = np.empty(0, np.int64)
         self.chars = 0
 
+    def _keep_common(self) -> None:
+        """Forgets chunks met seldom; all, where common ones alone fill half the room."""
+        chosen = np.flatnonzero(self.counts >= _COMMON)
+        known, ids, ends = list(self.known), self.ids, self.ends
+        chunks = [known[i] for i in chosen]
+        chars = sum(map(len, chunks))
+        self.forget()
+        if 2 * chars <= _KEPT_CHARS:
+            self.known.update(zip(chunks, range(len(chunks)), strict=True))
+            for k, (old, bounds) in enumerate(zip(ids, ends, strict=True)):
+                sizes = bounds[chosen + 1] - bounds[chosen]
+                self.ends[k] = np.concatenate([[0], np.cumsum(sizes)])
+                self.ids[k] = old[np.arange(self.ends[k][-1]) + np.repeat(bounds[chosen] - self.ends[k][:-1], sizes)]
+            self.counts = np.zeros(len(chunks), np.int64)
+            self.chars = chars
+
     def _chunks(self, text: str) -> list[str]:
         if not self.cuts or _RUN.search(text):
             return [text]
@@ -147,20 +191,20 @@ class Remembered:
                 self.ids[k] = np.concatenate([self.ids[k][:start], np.empty(2 * int(ends[-1]) - start, np.int32)])
             self.ids[k][start : ends[-1]] = ids
             self.ends[k] = np.concatenate([self.ends[k], ends])
-        first = len(self.known)
-        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
         self.chars += sum(map(len, chunks))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vocabulary all ids of the texts, and where each text's begin and, last, end."""
         if self.chars > _KEPT_CHARS:
-            self.forget()
+            self._keep_common()
         split = [self._chunks(t) for t in texts]
-        known = self.known
-        fresh = dict.fromkeys(c for chunks in split for c in chunks if c not in known)
-        for group in _alike(list(fresh)):
-            self._learn(group)
-        index = np.fromiter((known[c] for chunks in split for c in chunks), np.int64)
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+        fresh, self.known.fresh = self.known.fresh, []
+        if fresh:
+            self._learn(fresh)
+        met = np.bincount(index, minlength=len(self.known))
+        met[: len(self.counts)] += self.counts
+        self.counts = met
         cuts = np.cumsum([0, *map(len, split)])
         found = []
         for ids, ends in zip(self.ids, self.ends, strict=True):
@@ -171,17 +215,6 @@ class Remembered:
         return found
 
 
-def _alike(chunks: list[str]) -> Iterator[list[str]]:
-    """Chunks that can stand side by side, and the others, in calls of bounded size."""
-    apart = [c for c in chunks if c[:1] != " " or c[-1].isspace()]
-    if apart:
-        others = set(apart)
-        chunks = [c for c in chunks if c not in others]
-    for own in (apart, chunks):
-        for k in range(0, len(own), _CALL):
-            yield own[k : k + _CALL]
-
-
 @lru_cache(maxsize=4)
 def byte_level(path: str, plain: bool) -> ByteLevel:
     return ByteLevel(path, plain)

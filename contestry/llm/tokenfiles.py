@@ -113,6 +113,7 @@ class Reader:
         self.length = self.file.schema.field("ids").type.list_size
         self.batches = self.file.num_record_batches
         self.rows = self.file.get_batch(0).num_rows if self.batches else 0
+        self.open = -1
 
     def close(self) -> None:
         for source in self.sources:
@@ -128,16 +129,24 @@ class Reader:
         batch = self.file.get_batch(number // self.rows)
         return {name: batch.column(name)[number % self.rows].values for name in batch.schema.names}
 
+    def _opened(self, number: int) -> tuple[np.ndarray, pa.Array, int]:
+        """Views of a batch's ids and last marks, and how many of its ids are real; the latest batch stays open."""
+        if self.open != number:
+            batch = self.file.get_batch(number)
+            self.open = number
+            self.views = batch.column("ids").flatten().to_numpy(), batch.column("last").flatten(), batch.column("mask").flatten().true_count
+        return self.views
+
     def tokens(self, start: int, count: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
         """The ids from ``start`` on with their ``last`` marks, in views of one batch each."""
         span = self.rows * self.length
         while count > 0:
-            batch = self.file.get_batch(start // span)
-            place = start % span
-            taken = min(count, len(batch) * self.length - place)
-            if taken <= 0 or not batch.column("mask").flatten()[place + taken - 1].as_py():
+            number, place = divmod(start, span)
+            ids, last, real = self._opened(number) if number < self.batches else (None, None, 0)
+            taken = min(count, span - place)
+            if place + taken > real:
                 raise ValueError("a document reaches beyond its file")
-            yield batch.column("ids").flatten().slice(place, taken).to_numpy(), batch.column("last").flatten().slice(place, taken)
+            yield ids[place : place + taken], last.slice(place, taken)
             start, count = start + taken, count - taken
 
 

@@ -102,12 +102,14 @@ def test_linked_tokens_are_suffixes_of_each_other():
     assert pairs <= sum(map(len, sides[1])) < 200_000
 
 
-def test_chunks_forgotten_and_learnt_again_give_the_same_ids(monkeypatch):
+def test_chunks_forgotten_or_kept_and_learnt_again_give_the_same_ids(monkeypatch):
     whole = encoders.ByteLevel(align.default_paths()[0], False)
-    model = encoders.Remembered(whole)
-    expected = [e.ids for e in whole.library.encode_batch(STRANGE, add_special_tokens=False)]
-    monkeypatch.setattr(encoders, "_KEPT_CHARS", 0)
+    texts = [*STRANGE, *["common words " * 3 + f"rare{k} words" for k in range(40)]]
+    expected = [e.ids for e in whole.library.encode_batch(texts, add_special_tokens=False)]
     monkeypatch.setattr(encoders, "_JOINED", 3)
-    for _ in range(2):
-        ((ids, bounds),) = model.encode(STRANGE)
-        assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:])] == expected
+    for room in (0, 200, 5000):
+        monkeypatch.setattr(encoders, "_KEPT_CHARS", room)
+        model = encoders.Remembered(whole)
+        for first in (0, 20, 0, 30):
+            ((ids, bounds),) = model.encode(texts[first : first + 20])
+            assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:])] == expected[first : first + 20]
