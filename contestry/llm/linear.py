@@ -3,8 +3,10 @@
 Words, their beginnings, runs of marks and the use of capitals are hashed to
 ``DIMENSIONS`` slots; a text's slots are scaled to length one.  A few further slots
 say how long and how repetitive it is.  A fit keeps the features of its bounded
-sample in the shared folder; each step sums the gradients of that table's parts, and
-the driver holds a few vectors of ``SIZE`` numbers.
+sample in the shared folder; each step sums the gradients of that table's parts.  Only
+slots that occur in the sample are fitted (the others' weights stay where they
+started), so only these travel and only these are held by the driver, a few vectors
+of at most ``SIZE`` numbers.
 """
 
 from __future__ import annotations
@@ -109,6 +111,27 @@ class Rows:
         return np.bincount(self.slots, self.values * slopes[self.owner], minlength=SIZE)
 
 
+#: A gradient reaches the driver in rows of so many numbers.
+_BLOCK = 1 << 12
+
+
+def _occurring(sample: DataFrame) -> np.ndarray:
+    """The slots in any feature list of the sample, in order; each part sends one bit per slot."""
+    lists = [c for c in sample.columns if c.endswith("slots")]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SIZE, bool)
+        for batch in batches:
+            for column in batch.columns:
+                seen[column.flatten().to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["seen"])
+
+    seen = np.zeros(SIZE, bool)
+    for row in sample.select(*lists).mapInArrow(part, "seen binary").collect():
+        seen |= np.unpackbits(np.frombuffer(row["seen"], np.uint8), count=SIZE).astype(bool)
+    return np.flatnonzero(seen)
+
+
 #: (batch, parameters) -> (loss, gradient), summed over the batch's rows.
 Loss = Callable[[pa.RecordBatch, np.ndarray], tuple[float, np.ndarray]]
 
@@ -116,32 +139,45 @@ Loss = Callable[[pa.RecordBatch, np.ndarray], tuple[float, np.ndarray]]
 def fit(sample: DataFrame, rows: int, loss: Loss, start: np.ndarray, decay: float = 1e-5, steps: int = 30) -> np.ndarray:
     """Parameters that minimise the mean ``loss`` plus ``decay / 2`` times the squared weights.
 
-    Limited-memory quasi-Newton steps.  Each trial is one pass over ``sample``,
-    which must have a few parts only; the order of sums is fixed.
+    Limited-memory quasi-Newton steps over the slots that occur and the parameters
+    behind the weights; without such a slot a weight has no slope but its decay, so it
+    must start at 0 and stays there.  Each trial is one pass over ``sample``, which
+    must have a few parts only; the order of sums is fixed.
     """
     context = sample.sparkSession.sparkContext
+    moving = np.concatenate([_occurring(sample), np.arange(SIZE, len(start))])
+    n_weights = int(np.searchsorted(moving, SIZE))
+    places = context.broadcast(moving.astype(np.int32))
+    length = len(start)
 
     def evaluate(parameters: np.ndarray) -> tuple[float, np.ndarray]:
         sent = context.broadcast(parameters)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, gradient = 0.0, np.zeros(len(sent.value))
+            whole = np.zeros(length)
+            whole[places.value] = sent.value
+            total, gradient = 0.0, np.zeros(len(places.value))
             for batch in batches:
-                value, slope = loss(batch, sent.value)
+                value, slope = loss(batch, whole)
                 total += value
-                gradient += slope
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([gradient.tobytes()], pa.binary())], names=["loss", "gradient"])
+                gradient += slope[places.value]
+            blocks = [gradient[k : k + _BLOCK].tobytes() for k in range(0, len(gradient), _BLOCK)]
+            columns = [pa.array([total] * len(blocks)), pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(blocks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["loss", "block", "gradient"])
 
-        found = sample.mapInArrow(part, "loss double, gradient binary").collect()
+        found = sample.mapInArrow(part, "loss double, block int, gradient binary").toArrow()
         sent.destroy()
-        pulled = sorted((r["loss"], bytes(r["gradient"])) for r in found)
-        value = sum(v for v, _ in pulled) / rows
-        slope = sum((np.frombuffer(g) for _, g in pulled), np.zeros(len(parameters))) / rows
-        weights = parameters[:SIZE]
-        slope[:SIZE] += decay * weights
+        pulled = sorted(zip(*(found.column(k).to_pylist() for k in range(3)), strict=True))
+        value = sum(v for v, block, _ in pulled if block == 0) / rows
+        slope = np.zeros(len(parameters))
+        for _, block, numbers in pulled:
+            slope[block * _BLOCK : (block + 1) * _BLOCK] += np.frombuffer(numbers)
+        slope /= rows
+        weights = parameters[:n_weights]
+        slope[:n_weights] += decay * weights
         return value + decay / 2 * float(weights @ weights), slope
 
-    place = start.copy()
+    place = start[moving]
     value, slope = evaluate(place)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
@@ -163,7 +199,10 @@ def fit(sample: DataFrame, rows: int, loss: Loss, start: np.ndarray, decay: floa
         place, value, slope = trial, new_value, new_slope
         if gained < 1e-5 * max(value, 1e-3):
             break
-    return place
+    places.destroy()
+    fitted = start.copy()
+    fitted[moving] = place
+    return fitted
 
 
 def _bend(slope: np.ndarray, moves: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
