@@ -221,6 +221,39 @@ def _(t: Tables):
     return rounded(html.extract_cards(t.table("pages")))
 
 
+_SCHEDULE_SQL = """
+SELECT week || '/' || block AS page_id, CAST(row_number() OVER (PARTITION BY week, block ORDER BY event_date, card) - 1 AS BIGINT) AS position,
+       event_name, event_name AS wiki_title, event_date AS day,
+       'https://wiki.example.org/wiki/' || replace(replace(event_name, ' ', '_'), ':', '%3A') AS page_url
+FROM (SELECT DISTINCT week, block, card, event_name, event_date FROM bouts)
+WHERE day(event_date) % 5 <> 0 AND day(event_date) % 7 <> 3"""
+
+
+@register("schedule_tables", f"SELECT * EXCLUDE (day), CAST(day AS VARCHAR) AS date FROM ({_SCHEDULE_SQL})")
+def _(t: Tables):
+    return rounded(html.scheduled_events(views.schedule_pages(t.spark, t.sf_dir)))
+
+
+@register(
+    "upcoming_from_pages",
+    f"""SELECT event_name, CAST(day AS VARCHAR) AS date, page_url FROM ({_SCHEDULE_SQL})
+        WHERE day BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 30""",
+)
+def _(t: Tables):
+    events = html.scheduled_events(views.schedule_pages(t.spark, t.sf_dir)).select("event_name", "date", "page_url")
+    return rounded(predictions.upcoming(events, F.lit(TODAY).cast("date"), 30))
+
+
+@register(
+    "card_tables",
+    """SELECT event_name AS page_id, row_number() OVER w - 1 AS position, name_a AS competitor_a_name, name_b AS competitor_b_name,
+              coalesce(weight_class, '') AS weight_class, title_fight, row_number() OVER w = 1 AS main_event
+       FROM bouts WHERE a_order % 11 <> 3 WINDOW w AS (PARTITION BY event_name ORDER BY position)""",
+)
+def _(t: Tables):
+    return rounded(html.card_bouts(views.card_pages(t.spark, t.sf_dir)))
+
+
 @register(
     "schema_report",
     """SELECT 'customer' AS source, p AS position, c AS "column", ty AS type, n AS n_rows, v AS n_values, lo AS smallest,

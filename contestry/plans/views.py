@@ -277,3 +277,71 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "block",
         "card",
     )
+
+
+def _markup(text: Column) -> Column:
+    """Text as a page's source spells it."""
+    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("#"), F.lit("&#35;"))
+
+
+def _joined(rows: Column, *order: str) -> Column:
+    """The group's rows in order as one text; a card or a schedule is bounded (twelve bouts, one block's events of a week)."""
+    placed = F.array_sort(F.collect_list(F.struct(*order, rows.alias("row"))))
+    return F.array_join(F.transform(placed, lambda r: r["row"]), "\n")
+
+
+def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html) per event: its card behind a heading, among other tables.
+
+    A title fight has the champion's mark at one of its names; every eleventh bout is
+    listed as settled and not as "vs"; some rows have capital tags that never close,
+    some a table in their last cell.
+    """
+    order, champion = F.col("a_order"), F.lit(" <small>(c)</small>")
+
+    def name(column: str, rest: int) -> Column:
+        link = F.concat(F.lit('<a href="/wiki/x">'), _markup(F.col(column)), F.lit("</a>"))
+        return F.when(F.col("title_fight") & (order % 2 == rest), F.concat(link, champion)).otherwise(link)
+
+    against = F.when(order % 11 == 3, "def.").when(order % 3 == 0, "VS").otherwise(" vs. ")
+    cells = (F.coalesce("weight_class", F.lit("")), name("competitor_a_name", 0), against, name("competitor_b_name", 1))
+    notes = F.when(order % 4 == 0, "<table><tr><td>note</td><td>1</td></tr></table>").otherwise("")
+    closed = F.concat(F.lit("<tr><td>"), F.concat_ws("</td>\n<td>", *cells, notes), F.lit("</td></tr>"))
+    opened = F.concat(F.lit("<TR><TD align=left>"), F.concat_ws("<TD>", *cells))
+    rows = F.when(order % 5 == 1, opened).otherwise(closed)
+    head = (
+        '<!DOCTYPE html><html><body><table class="infobox"><tr><td>No</td><td>a</td><td>vs.</td><td>b</td></tr></table>'
+        '<div class="heading"><h2 id="Fight_card">Fight card</h2></div><!-- <table><tr><td>No</td></tr></table> -->'
+        '<table class="card"><tr><th>Class</th><th></th><th>vs.</th><th></th></tr><tr><th colspan="8">Main card</th></tr>'
+    )
+    tail = "</table><table><tr><td>No</td><td>a</td><td>vs.</td><td>b</td></tr></table></body></html>"
+    pages = bouts(spark, sf_dir).groupBy("event_name").agg(_joined(rows, "position", "a_order").alias("rows"))
+    return pages.select(
+        F.col("event_name").alias("page_id"), F.lit("https://wiki.example.org/wiki/x").alias("url"),
+        F.concat(F.lit(head), "rows", F.lit(tail)).alias("html"),
+    )
+
+
+def schedule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html) per week and block: a table of its events.
+
+    Events on days divisible by five have no link and those whose day leaves three of
+    seven no date; month names are long on even days, link titles absent on days
+    divisible by three.
+    """
+    day, date = F.day("event_date"), F.col("event_date")
+    title = F.when(day % 3 == 0, "").otherwise(F.concat(F.lit(' title="'), _markup(F.col("event_name")), F.lit('"')))
+    link = F.concat(F.lit('<i><a href="/wiki/x"'), title, F.lit(">"), _markup(F.col("event_name")), F.lit("</a></i>"))
+    name = F.when(day % 5 == 0, _markup(F.col("event_name"))).otherwise(link)
+    spelt = F.when(day % 2 == 0, F.date_format(date, "MMMM d, yyyy")).otherwise(F.date_format(date, "MMM dd, yyyy"))
+    when = F.when(day % 7 == 3, "TBD").when(day % 3 == 1, spelt).otherwise(F.concat(F.lit("<span>"), spelt, F.lit("</span> (local)")))
+    rows = F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>"), when, F.lit("</td><td>Hall</td></tr>"))
+    events = bouts(spark, sf_dir).select("week", "block", "card", "event_name", "event_date").distinct()
+    pages = events.groupBy("week", "block").agg(_joined(rows, "event_date", "card").alias("rows"))
+    head = '<html><body><table id="Past_events"><tr><td><a href="/wiki/o">Old</a></td><td>May 1, 1990</td></tr></table>'
+    table = '<table class="sortable" id="Scheduled_events"><tr><th>Event</th><th>Date</th></tr>'
+    return pages.select(
+        F.concat_ws("/", F.col("week").cast("string"), F.col("block").cast("string")).alias("page_id"),
+        F.lit("https://wiki.example.org/wiki/List?x=1").alias("url"),
+        F.concat(F.lit(head), F.lit(table), "rows", F.lit("</table></body></html>")).alias("html"),
+    )
