@@ -14,8 +14,9 @@ from contestry.operators import dataset, evaluation, features, learn, market, pr
 from contestry.plans import views
 from contestry.plans.oracle import r6 as q6
 from contestry.plans.queries_tables import LOG_FIELDS, scored_table, train_rows
-from contestry.session import materialise
+from contestry.session import materialise, scratch_path
 from contestry.plans.registry import TEST_START, TODAY, TRAIN_END, VAL, Tables, r6, register, rounded
+from contestry.sources import documents
 
 _LL = "-(y * ln(least(greatest({p}, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest({p}, 1e-12), 1 - 1e-12)))"
 
@@ -807,6 +808,34 @@ def _(t: Tables):
     return rounded(predictions.track_record(_graded(t)))
 
 
+@register(
+    "stored_track_record",
+    f"""SELECT model_version, n_predicted, n_graded, accuracy, log_loss, brier, first_prediction_at,
+               CASE WHEN model_version IS NULL THEN coin_flip_accuracy END AS coin_flip_accuracy,
+               CASE WHEN model_version IS NULL THEN coin_flip_log_loss END AS coin_flip_log_loss,
+               CASE WHEN model_version IS NULL THEN coin_flip_brier END AS coin_flip_brier,
+               CASE WHEN model_version IS NULL THEN elo_dummy_n END AS elo_dummy_n,
+               CASE WHEN model_version IS NULL THEN elo_dummy_accuracy END AS elo_dummy_accuracy
+        FROM (SELECT * REPLACE (CASE WHEN model_version IS NOT NULL THEN first_prediction_at END AS first_prediction_at)
+              FROM ({_RECORD_SQL}))""",
+)
+def _(t: Tables):
+    """Every number of the nested document, as it was read back."""
+    document = predictions.track_record_document(predictions.track_record(_graded(t)), "2000-07-01T00:00:00Z")
+    path = scratch_path(t.spark, "track-record")
+    documents.write_documents(document, path)
+    read = documents.read_documents(t.spark, path, document.schema)
+    scores = ["n_predicted", "n_graded", "accuracy", "log_loss", "brier"]
+    versions = read.select(F.explode("model_versions").alias("model_version", "of")).select("model_version", "of.*")
+    coin, dummy = F.col("baselines.coin_flip"), F.col("baselines.higher_elo_dummy")
+    overall = read.select(
+        *[f"overall.{c}" for c in scores],
+        *[coin[c].alias(f"coin_flip_{c}") for c in ("accuracy", "log_loss", "brier")],
+        dummy["n_graded"].alias("elo_dummy_n"), dummy["accuracy"].alias("elo_dummy_accuracy"),
+    )
+    return rounded(versions.unionByName(overall, allowMissingColumns=True))
+
+
 @register(
     "track_record_document",
     f"""SELECT '2000-07-01T00:00:00Z' AS generated_at_utc, o.n_predicted, o.n_graded, o.log_loss, o.elo_dummy_n,

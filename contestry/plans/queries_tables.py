@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contestry.functions import labels, names, odds, parsing, probability, rating
@@ -272,6 +275,38 @@ def _(t: Tables):
     return rounded(tables.schema_report(t.table("customer"), "customer"))
 
 
+# The tables given.
+GIVEN = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
+
+def _profile_sql(name: str) -> str:
+    """Counts and ends per column; the ends of whole numbers and short texts only, which both engines spell alike."""
+
+    def long_form(what: str, alias: str) -> str:
+        return f"""SELECT * FROM (SELECT {what} FROM {name}) UNPIVOT INCLUDE NULLS ({alias} FOR "column" IN (COLUMNS(*)))"""
+
+    kinds = f"(SELECT column_name AS \"column\", column_type AS kind FROM (DESCRIBE {name}))"
+    return f"""
+SELECT '{name}' AS source, "column", (SELECT count(*) FROM {name}) AS n_rows, n_values,
+       CASE WHEN kind IN ('BIGINT', 'INTEGER', 'VARCHAR') THEN smallest END AS smallest,
+       CASE WHEN kind IN ('BIGINT', 'INTEGER', 'VARCHAR') THEN largest END AS largest
+FROM ({long_form(r"count(COLUMNS('(.*)')) AS '\1'", "n_values")})
+JOIN ({long_form(r"CAST(min(COLUMNS('(.*)')) AS VARCHAR) AS '\1'", "smallest")}) USING ("column")
+JOIN ({long_form(r"CAST(max(COLUMNS('(.*)')) AS VARCHAR) AS '\1'", "largest")}) USING ("column")
+JOIN {kinds} USING ("column")"""
+
+
+@register("table_profiles", " UNION ALL ".join(_profile_sql(name) for name in GIVEN))
+def _(t: Tables):
+    found = reduce(DataFrame.unionByName, [tables.profile(t.table(name), name) for name in GIVEN])
+    alike = F.col("type").isin("bigint", "int", "string")
+    ends = {end: F.when(alike, F.col(end)) for end in ("smallest", "largest")}
+    return found.withColumns(ends).drop("position", "type", "n_different")
+
+
 # --- column expressions --------------------------------------------------------------------
 
 @register(

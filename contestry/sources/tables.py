@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,3 +107,27 @@ def schema_report(df: DataFrame, source: str) -> DataFrame:
         for i, f in enumerate(df.schema.fields)
     ]
     return counted.select(F.inline(F.array(*rows)))
+
+
+def profile(df: DataFrame, source: str) -> DataFrame:
+    """Per column: type, rows, non-null values, about how many differ, smallest and largest as text.
+
+    One aggregate a table, whatever its size: counts are exact, the number of different
+    values comes from a mergeable sketch (about 2 % off).  Columns without an order (maps,
+    variants) have counts only; a table without columns has no rows here.
+    """
+
+    def summary(place: int, field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        ends = [F.lit(None), F.lit(None)] if isinstance(field.dataType, (T.MapType, T.VariantType)) else [F.min(c), F.max(c)]
+        key = F.to_json(F.struct(c)) if isinstance(field.dataType, (T.MapType, T.VariantType)) else c
+        differ = F.approx_count_distinct(F.when(c.isNotNull(), F.xxhash64(key)), 0.02)
+        return F.struct(
+            F.lit(source).alias("source"), F.lit(place).alias("position"), F.lit(field.name).alias("column"),
+            F.lit(field.dataType.simpleString()).alias("type"), F.count("*").alias("n_rows"), F.count(c).alias("n_values"),
+            differ.alias("n_different"), ends[0].cast("string").alias("smallest"), ends[1].cast("string").alias("largest"),
+        )
+
+    found = [summary(place, field) for place, field in enumerate(df.schema.fields)]
+    # one row, one struct a column of the table
+    return df.agg(F.array(*found).alias("columns")).select(F.inline("columns"))

@@ -1,7 +1,7 @@
 import pytest
 
 from contestry.operators import dataset
-from contestry.sources import tables
+from contestry.sources import documents, tables
 from frames import CONTESTS_DDL, STATS_DDL, contest, frame, stat
 
 RAW = [f.name for f in tables.RAW_CONTESTS.fields]
@@ -86,3 +86,30 @@ def test_schema_report(spark):
     df = spark.createDataFrame([(1, "b"), (2, None)], "n int, s string")
     got = {r["column"]: (r["type"], r["n_rows"], r["n_values"], r["smallest"]) for r in tables.schema_report(df, "t").collect()}
     assert got == {"n": ("int", 2, 2, "1"), "s": ("string", 2, 1, "b")}
+
+
+def test_profile(spark):
+    df = spark.range(5000).selectExpr(
+        "id", "id % 7 as few", "nullif(id % 2, 0) as half", "cast(null as string) as none", "map(id, 'x') as m", "array(id) as a", "id as `dotted.name`"
+    )
+    got = {r["column"]: r for r in tables.profile(df, "t").collect()}
+    assert [got[c]["position"] for c in df.columns] == list(range(7)) and all(r["n_rows"] == 5000 for r in got.values())
+    assert {c: got[c]["n_values"] for c in ("id", "half", "none", "m")} == {"id": 5000, "half": 2500, "none": 0, "m": 5000}
+    assert {c: got[c]["n_different"] for c in ("few", "half", "none")} == {"few": 7, "half": 1, "none": 0}
+    assert all(abs(got[c]["n_different"] - 5000) < 400 for c in ("id", "m", "a", "dotted.name"))
+    assert (got["id"]["smallest"], got["id"]["largest"], got["a"]["largest"], got["m"]["largest"]) == ("0", "4999", "[4999]", None)
+    empty = tables.profile(df.limit(0), "t").collect()
+    assert len(empty) == 7 and all(r["n_rows"] == 0 and r["smallest"] is None for r in empty)
+
+
+def test_nested_documents_are_read_back_whole(spark, tmp_path):
+    schema = "at string, overall struct<n: long, loss: double>, versions map<string, struct<n: long, first: string>>, list array<double>"
+    rows = [("now", (3, 0.1 + 0.2), {"v1": (1, "a"), "v2": (2, None)}, [1e-300, 5.0]), (None, None, {}, None), ("é\n", (None, None), None, [])]
+    df = spark.createDataFrame(rows, schema)
+    documents.write_documents(df, str(tmp_path / "d"))
+    back = documents.read_documents(spark, str(tmp_path / "d"), df.schema)
+    assert back.schema == df.schema and sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json").write_text('{"at": "now", "overall": 7}\n')
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ|overall"):
+        documents.read_documents(spark, str(tmp_path / "bad"), df.schema).collect()
