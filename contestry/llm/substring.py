@@ -242,31 +242,42 @@ def _marker(bitmap: Any) -> Any:
     return mark.asNondeterministic()  # so that the planner computes it once
 
 
-def _words_of(text: str | None) -> tx.Words:
-    chunk = next(iter(tx.chunks(pa.array([text or ""], pa.string()))))
-    return tx.find_words(chunk._replace(data=tx.lower(chunk.data)), tx.SPACED)
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct shingles of each text, ascending."""
+    found: list[np.ndarray] = []
+    for chunk in tx.chunks(texts):
+        values, bounds = tx.shingle_sets(tx.find_words(chunk._replace(data=tx.lower(chunk.data)), tx.SPACED), SHINGLE)
+        found += [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return found
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the shingle sets of lines (start, size) of two texts share."""
-
-    def shingles(text: str, start: int, size: int) -> np.ndarray:
-        return np.unique(tx.grams(_words_of(text).hashes[start : start + size], SHINGLE))
-
+    """What the shingle sets of two paragraphs share; rows of one ``a`` come together, and its set is made once."""
     for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            x, y = shingles(row["ta"], row["sa"], row["na"]), shingles(row["tb"], row["sb"], row["nb"])
-            fresh = np.setdiff1d(y, x, True)
-            rows.append((len(y) - len(fresh), len(x), len(y), tx.longs(fresh), tx.longs(np.setdiff1d(x, y, True))))
-        shared, na, nb, fresh, lost = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-        columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (shared, na, nb))]
-        columns += [pa.array(x, pa.list_(pa.int64())) for x in (fresh, lost)]
+        a = batch.column(0).to_numpy()
+        changes = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+        heads, others = _sets(batch.column(2).take(pa.array(changes))), _sets(batch.column(3))
+        owner = np.searchsorted(changes, np.arange(len(a)), "right") - 1
+        shared, fresh, lost = np.zeros(len(a), np.int64), [], []
+        for k, y in enumerate(others):
+            x = heads[owner[k]]
+            places = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = x[places] == y
+            alone = np.ones(len(x), bool)
+            alone[places[both]] = False
+            shared[k] = np.count_nonzero(both)
+            fresh.append(y[~both])
+            lost.append(x[alone])
+        sizes = np.array([len(heads[h]) for h in owner], np.int64), np.array([len(y) for y in others], np.int64)
+        columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (shared, *sizes))]
+        for sets in (fresh, lost):
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
+            columns.append(tx.lists(tx.longs(np.concatenate([np.empty(0, np.uint64), *sets])), bounds, pa.int64()))
         yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "na", "nb", "fresh", "lost"])
 
 
-def _line_spans(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(row, start, end, source) of lines whose cluster has an earlier one."""
+def _line_posts(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paragraphs by row, their classes of equal words, and the classes' keys that others share."""
     lines = found.select("row", "doc_id", F.explode("found.lines").alias("l")).select("row", "doc_id", "l.*")
     first = F.min(F.struct("doc_id", "row", "start", "size")).alias("first")
     classes = lines.groupBy("content").agg(first, F.first("keys").alias("keys"))
@@ -274,19 +285,61 @@ def _line_spans(found: DataFrame, texts: DataFrame) -> DataFrame:
     posts = classes.select(F.col("content").alias("node"), F.explode("keys").alias("key"))
     shared = posts.join(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    posts = materialise(shared.select("node", "key").join(weights, "node"), "passage_posts")
+    return lines, classes, materialise(shared.select("node", "key").join(weights, "node"), "passage_posts")
+
+
+_ANSWERS = "array<struct<content: bigint, start: int, end: int, text: string, before: array<bigint>, after: array<bigint>>>"
+
 
-    needed = posts.select(F.col("node").alias("content")).distinct().join(classes, "content").select("first.row").distinct()
-    texts = materialise(texts.join(needed, "row", "left_semi"), "passage_texts")
+def _answer(texts: pa.Array, places: pa.Array) -> pa.Array:
+    """For each place its words if it has a content, else the word hashes before (nearest first) and after it."""
+    flat, bounds = places.flatten(), _ends(places)
+    content, starts, ends = (flat.field(k) for k in ("content", "start", "end"))
+    inside, low, high = pc.is_valid(content).to_numpy(zero_copy_only=False), starts.to_numpy(), ends.to_numpy()
+    slices, before, after = [], [], []
+    for chunk in tx.chunks(texts):
+        words = tx.find_words(chunk._replace(data=tx.lower(chunk.data)), tx.SPACED)
+        for text in range(chunk.count):
+            first, last = words.bounds[text], words.bounds[text + 1]
+            hashes = tx.longs(words.hashes[first:last])
+            for k in range(bounds[chunk.first + text], bounds[chunk.first + text + 1]):
+                start, end = int(low[k]), int(high[k])
+                own = inside[k]
+                slices.append(chunk.data[words.starts[first + start] : words.ends[first + end - 1]].tobytes().decode("utf-8") if own else None)
+                before.append(None if own else hashes[max(0, start - PIECE) : start][::-1])
+                after.append(None if own else hashes[end : end + PIECE])
+    sides = [pa.array(x, pa.list_(pa.int64())) for x in (before, after)]
+    answers = pa.StructArray.from_arrays([content, starts, ends, pa.array(slices, pa.string()), *sides], names=["content", "start", "end", "text", "before", "after"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), answers)
+
+
+def _asked(texts: DataFrame, classes: DataFrame, posts: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words of each posted class once, and the words around each place that runs came from once.
+
+    The texts move once for both, and each only once however many ask for parts of it.
+    """
+    own = F.struct("content", F.col("first.start").alias("start"), (F.col("first.start") + F.col("first.size")).alias("end")).alias("place")
+    posted = posts.select(F.col("node").alias("content")).distinct().join(classes, "content").select("first.row", own)
+    nothing = F.lit(None).cast("long").alias("content")
+    beside = F.struct(nothing, F.col("from_start").alias("start"), F.col("from_end").alias("end")).alias("place")
+    around = runs.select("from_row", "from_start", "from_end").distinct().select(F.col("from_row").alias("row"), beside)
+    places = posted.unionByName(around).groupBy("row").agg(F.collect_list("place").alias("places"))
+    answers = texts.join(places, "row").select("row", F.arrow_udf(_answer, _ANSWERS)("text", "places").alias("x"))
+    answers = materialise(answers.select("row", F.explode("x").alias("x")).select("row", "x.*"), "passage_answers")
+    words = answers.where("content IS NOT NULL").select("content", "text")
+    sides = answers.where("content IS NULL").select(F.col("row").alias("from_row"), F.col("start").alias("from_start"), F.col("end").alias("from_end"), "before", "after")
+    return words, sides
+
+
+def _line_spans(lines: DataFrame, classes: DataFrame, posts: DataFrame, words: DataFrame) -> DataFrame:
+    """(row, start, end, source) of lines whose cluster has an earlier one."""
 
     def measure(pairs: DataFrame) -> DataFrame:
-        a = classes.select(F.col("content").alias("a"), F.col("first.row").alias("ra"), F.col("first.start").alias("sa"), F.col("first.size").alias("na"))
-        b = classes.select(F.col("content").alias("b"), F.col("first.row").alias("rb"), F.col("first.start").alias("sb"), F.col("first.size").alias("nb"))
-        # whatever their sizes: a list's nodes are compared by what each shares with its head
-        placed = pairs.join(a, "a").join(b, "b")
-        both = placed.join(texts.select(F.col("row").alias("ra"), F.col("text").alias("ta")), "ra")
-        both = both.join(texts.select(F.col("row").alias("rb"), F.col("text").alias("tb")), "rb")
-        return both.select("a", "b", "sa", "na", "sb", "nb", "ta", "tb").mapInArrow(_measure_batches, MEASURED)
+        # whatever their sizes: a list's nodes are compared by what each shares with its head.
+        # The head comes last, so that its words are not moved once a pair
+        other, head = (words.select(F.col("content").alias(c), F.col("text").alias(f"t{c}")) for c in ("b", "a"))
+        both = pairs.join(other, "b").join(head, "a")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_measure_batches, MEASURED)
 
     groups = linked(posts, measure, SIMILARITY, "passage")
     grouped = classes.select("content", "first").join(groups.withColumnRenamed("node", "content"), "content", "left")
@@ -315,22 +368,6 @@ def _piece_runs(found: DataFrame) -> DataFrame:
     )
 
 
-def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word hashes before (nearest first) and after the first occurrence of each run."""
-    for batch in batches:
-        known: dict[int, np.ndarray] = {}
-        before, after = [], []
-        for k in range(batch.num_rows):
-            row, start, end = (batch.column(i)[k].as_py() for i in (4, 5, 6))
-            if row not in known:
-                known = {row: _words_of(batch.column(7)[k].as_py()).hashes}
-            hashes = tx.longs(known[row])
-            before.append(hashes[max(0, start - PIECE) : start][::-1])
-            after.append(hashes[end : end + PIECE])
-        sides = [pa.array(x, pa.list_(pa.int64())) for x in (before, after)]
-        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)] + sides, names=["row", "start", "end", "source", "before", "after"])
-
-
 def _equal(ours: np.ndarray, theirs: np.ndarray) -> int:
     """How many words agree from the first on."""
     n = min(len(ours), len(theirs))
@@ -415,11 +452,9 @@ def _extend_runs(texts: pa.Array, runs: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([("ranges", ranges), ("windows", pa.list_(_PIECE_TYPE))]))
 
 
-def _passage_spans(found: DataFrame, texts: DataFrame) -> DataFrame:
+def _passage_spans(runs: DataFrame, sides: DataFrame, texts: DataFrame) -> DataFrame:
     """(row, start, end, source, extra) of passages that occurred earlier inside other text; extra for single windows."""
-    asked = _piece_runs(found).join(texts.select(F.col("row").alias("from_row"), "text"), "from_row")
-    asked = asked.select("row", "start", "end", "source", "from_row", "from_start", "from_end", "text")
-    runs = asked.mapInArrow(_context_batches, "row long, start int, end int, source long, before array<long>, after array<long>")
+    runs = runs.join(sides, ["from_row", "from_start", "from_end"])
     runs = runs.groupBy("row").agg(F.collect_list(F.struct("start", "end", "source", "before", "after")).alias("runs"))
     extended = texts.join(runs, "row").select("row", "doc_id", F.arrow_udf(_extend_runs, _EXTENDED)("text", "runs").alias("x"))
     extended = materialise(extended.select("row", "doc_id", "x.*"), "passage_windows")
@@ -493,8 +528,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialise(marked.where(some).withColumn("row", F.monotonically_increasing_id()), "passage_found")
     found_texts = found.select("row", "doc_id", F.col(f"own.`{text_col}`").cast("string").alias("text"))
 
-    whole = _line_spans(found, found_texts.select("row", "text")).withColumn("extra", F.lit(False))
-    spans = _passage_spans(found, found_texts).unionByName(whole)
+    lines, classes, posts = _line_posts(found)
+    runs = materialise(_piece_runs(found), "passage_runs")
+    words, sides = _asked(found_texts.select("row", "text"), classes, posts, runs)
+    whole = _line_spans(lines, classes, posts, words).withColumn("extra", F.lit(False))
+    spans = _passage_spans(runs, sides, found_texts).unionByName(whole)
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end", "source", "extra")).alias("spans"))
     touched = found.select("row", "own").join(spans, "row", "left")
     touched = touched.withColumn("cut", F.arrow_udf(_cut_texts, _CUT)(F.col(f"own.`{text_col}`").cast("string"), "spans"))
