@@ -306,8 +306,9 @@ def _answer(texts: pa.Array, places: pa.Array) -> pa.Array:
                 start, end = int(low[k]), int(high[k])
                 own = inside[k]
                 slices.append(chunk.data[words.starts[first + start] : words.ends[first + end - 1]].tobytes().decode("utf-8") if own else None)
-                before.append(None if own else hashes[max(0, start - PIECE) : start][::-1])
-                after.append(None if own else hashes[end : end + PIECE])
+                # copies, so that no chunk's hashes stay
+                before.append(None if own else hashes[max(0, start - PIECE) : start][::-1].copy())
+                after.append(None if own else hashes[end : end + PIECE].copy())
     sides = [pa.array(x, pa.list_(pa.int64())) for x in (before, after)]
     answers = pa.StructArray.from_arrays([content, starts, ends, pa.array(slices, pa.string()), *sides], names=["content", "start", "end", "text", "before", "after"])
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), answers)
@@ -393,7 +394,7 @@ class _Spans:
         flat = spans.flatten()
         self.bounds = _ends(spans)
         self.start, self.end = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
-        self.source = flat.field("source").to_pylist()
+        self.source = flat.field("source")
         self.sides = {}
         for side in ("before", "after"):
             lists = flat.field(side)
@@ -403,8 +404,8 @@ class _Spans:
         values, bounds = self.sides[side]
         return values[bounds[k] : bounds[k + 1]]
 
-    def ranges(self, text: int, hashes: np.ndarray) -> tuple[list[dict], np.ndarray]:
-        """The text's ranges, extended as far as words agree with the first occurrence.
+    def ranges(self, text: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The text's ranges (start, end, run), extended as far as words agree with the first occurrence.
 
         And the starts of all windows that hold a piece of a run and leave its range.
         """
@@ -413,11 +414,12 @@ class _Spans:
             start, end = int(self.start[k]), int(self.end[k])
             low = start - _equal(hashes[max(0, start - PIECE) : start][::-1], self.around("before", k))
             high = end + _equal(hashes[end : end + PIECE], self.around("after", k))
-            found.append({"start": low, "end": high, "source": self.source[k]})
+            if high - low >= PASSAGE:
+                found.append((low, high, k))
             windows.append(np.arange(start + PIECE - PASSAGE, low))
             windows.append(np.arange(max(high + 1, end) - PASSAGE, end - PIECE + 1))
         starts = np.unique(np.concatenate(windows))
-        return [r for r in found if r["end"] - r["start"] >= PASSAGE], starts[(starts >= 0) & (starts <= len(hashes) - PASSAGE)]
+        return np.array(found, np.int64).reshape(-1, 3), starts[(starts >= 0) & (starts <= len(hashes) - PASSAGE)]
 
 
 def _ends(lists: pa.ListArray) -> np.ndarray:
@@ -439,17 +441,30 @@ _EXTENDED = f"struct<ranges: {_RANGES}, windows: array<struct<pos: int, content:
 _CUT = "struct<text: string, removed: array<struct<start: int, end: int>>, sources: array<bigint>>"
 
 
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays end to end, and where each begins."""
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+    return np.concatenate(parts) if parts else np.empty(0, np.int64), bounds
+
+
 def _extend_runs(texts: pa.Array, runs: pa.Array) -> pa.Array:
-    known, rows = _Spans(runs), []
+    known, ranges, places, contents = _Spans(runs), [], [], []
     for chunk in tx.chunks(texts):
         words = tx.find_words(chunk._replace(data=tx.lower(chunk.data)), tx.SPACED)
         for text in range(chunk.count):
             hashes = words.hashes[words.bounds[text] : words.bounds[text + 1]]
-            ranges, starts = known.ranges(chunk.first + text, tx.longs(hashes))
-            windows = tx.longs(tx.grams(hashes, PASSAGE)[starts]) if len(starts) else []
-            rows.append({"ranges": ranges, "windows": [{"pos": p, "content": c} for p, c in zip(starts, windows, strict=True)]})
-    ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source", pa.int64())]))
-    return pa.array(rows, pa.struct([("ranges", ranges), ("windows", pa.list_(_PIECE_TYPE))]))
+            own, starts = known.ranges(chunk.first + text, tx.longs(hashes))
+            ranges.append(own)
+            places.append(starts)
+            contents.append(tx.longs(tx.grams(hashes, PASSAGE)[starts]) if len(starts) else np.empty(0, np.int64))
+    ranges, bounds = _joined(ranges)
+    low, high, run = ranges.reshape(-1, 3).T
+    sides = [pa.array(low, pa.int32()), pa.array(high, pa.int32()), known.source.take(pa.array(run))]
+    ranges = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(sides, names=["start", "end", "source"]))
+    places, bounds = _joined(places)
+    windows = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(_joined(contents)[0])], fields=list(_PIECE_TYPE))
+    windows = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), windows)
+    return pa.StructArray.from_arrays([ranges, windows], names=["ranges", "windows"])
 
 
 def _passage_spans(runs: DataFrame, sides: DataFrame, texts: DataFrame) -> DataFrame:
@@ -486,13 +501,14 @@ def _beyond(spans: list[tuple], extras: list[tuple]) -> list[tuple]:
 
 def _cut_texts(texts: pa.Array, spans: pa.Array) -> pa.Array:
     flat, bounds, left, removed, sources = spans.flatten(), _ends(spans), [], [], []
-    places = list(zip(*(flat.field(k).to_pylist() for k in ("start", "end", "source", "extra")), strict=True))
+    fields = [flat.field(k) for k in ("start", "end", "source", "extra")]
     for chunk in tx.chunks(texts):
         data, offsets = chunk.data, chunk.offsets
         words = tx.find_words(chunk._replace(data=tx.lower(data)), tx.SPACED)
         for text in range(chunk.count):
             own = slice(words.bounds[text], words.bounds[text + 1])
-            own_spans = places[bounds[chunk.first + text] : bounds[chunk.first + text + 1]]
+            span, size = bounds[chunk.first + text], bounds[chunk.first + text + 1] - bounds[chunk.first + text]
+            own_spans = list(zip(*(f.slice(span, size).to_pylist() for f in fields), strict=True))
             used = [(a, b, source) for a, b, source, extra in own_spans if not extra]
             used += _beyond(used, [(a, b, source) for a, b, source, extra in own_spans if extra])
             ranges = _merged([(a, b) for a, b, _ in used], BRIDGE)
