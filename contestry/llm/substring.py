@@ -18,6 +18,7 @@ fixed size, and only documents with such keys are looked at further.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 from typing import Any
@@ -58,6 +59,16 @@ _LINE_TYPE = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("content",
 _FOUND = "pieces: array<struct<pos: int, content: bigint>>, lines: array<struct<start: int, size: int, content: bigint, keys: array<bigint>>>"
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _hand_back() -> None:
+    """Free memory of a worker goes back to the system, as workers stay for later stages; where libc can't, it is kept."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def _sliding(choose: np.ufunc, values: np.ndarray, size: int) -> np.ndarray:
     """``choose`` over every ``size`` neighbours, by doubling."""
     span = 1
@@ -181,6 +192,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batch.column(0)):
             marks = _Marks(chunk)
             yield pa.RecordBatch.from_arrays([pa.array(tx.longs(np.concatenate([marks.pieces, marks.keys.ravel()])))], names=["key"])
+        _hand_back()
 
 
 def _repeated(docs: DataFrame) -> np.ndarray:
@@ -237,6 +249,7 @@ def _marker(bitmap: Any) -> Any:
     @F.arrow_udf(f"struct<{_FOUND}>")
     def mark(texts: pa.Array) -> pa.Array:
         found = [_mark_chunk(chunk, bitmap.value) for chunk in tx.chunks(texts)]
+        _hand_back()
         return pa.concat_arrays(found) if found else pa.array([], pa.struct([("pieces", pa.list_(_PIECE_TYPE)), ("lines", pa.list_(_LINE_TYPE))]))
 
     return mark.asNondeterministic()  # so that the planner computes it once
@@ -274,6 +287,8 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
             columns.append(tx.lists(tx.longs(np.concatenate([np.empty(0, np.uint64), *sets])), bounds, pa.int64()))
         yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shared", "na", "nb", "fresh", "lost"])
+        del heads, others, fresh, lost, columns
+        _hand_back()
 
 
 def _line_posts(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -310,6 +325,7 @@ def _answer(texts: pa.Array, places: pa.Array) -> pa.Array:
                 before.append(None if own else hashes[max(0, start - PIECE) : start][::-1].copy())
                 after.append(None if own else hashes[end : end + PIECE].copy())
     sides = [pa.array(x, pa.list_(pa.int64())) for x in (before, after)]
+    _hand_back()
     answers = pa.StructArray.from_arrays([content, starts, ends, pa.array(slices, pa.string()), *sides], names=["content", "start", "end", "text", "before", "after"])
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), answers)
 
@@ -461,6 +477,7 @@ def _extend_runs(texts: pa.Array, runs: pa.Array) -> pa.Array:
     low, high, run = ranges.reshape(-1, 3).T
     sides = [pa.array(low, pa.int32()), pa.array(high, pa.int32()), known.source.take(pa.array(run))]
     ranges = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(sides, names=["start", "end", "source"]))
+    _hand_back()
     places, bounds = _joined(places)
     windows = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(_joined(contents)[0])], fields=list(_PIECE_TYPE))
     windows = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), windows)
@@ -517,6 +534,7 @@ def _cut_texts(texts: pa.Array, spans: pa.Array) -> pa.Array:
             removed.append([{"start": a, "end": b} for a, b in ranges])
             sources.append(sorted({source for _, _, source in used if source is not None}))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    _hand_back()
     return pa.StructArray.from_arrays(
         [pa.array(left, pa.string()), pa.array(removed, kind), pa.array(sources, pa.list_(pa.int64()))], names=["text", "removed", "sources"]
     )
