@@ -105,3 +105,25 @@ def test_checks_find_nothing_wrong(spark):
     df = frame(spark, contests, CONTESTS_DDL)
     row = ratings.rating_checks(ratings.run_elo(df, frame(spark, stats, STATS_DDL), PARAMS), df).first()
     assert row["n_rows"] == row["n_expected"] and row["n_broken_chains"] == 0 and row["n_out_of_range"] == 0
+
+
+def test_contests_move_few_rounds(spark):
+    """Waiting contests written by all rounds: a small multiple of the contests, however long the chains."""
+    contests, stats = random_league(seed=8, n=400, people=20)
+    contests = [{**c, "contest_id": f"c{k:04d}"} for k, c in enumerate(sorted(contests, key=lambda c: c["date"]))]
+    done = ratings.rate(frame(spark, contests, CONTESTS_DDL), frame(spark, stats, STATS_DDL), [PARAMS])
+    root = done.inputFiles()[0].split("/level=")[0]
+    rounds = spark.read.parquet(root)
+    waited = rounds.filter("NOT done").count()
+    n, last = done.count(), rounds.agg(F.max("level")).first()[0]
+    assert last > 40 and waited < 4 * n
+
+
+def test_eras_follow_the_days(spark):
+    contests, _ = random_league(seed=9, n=300, people=30)
+    ends = ratings.era_ends(frame(spark, contests, CONTESTS_DDL))
+    assert len(ends) > 10 and ends == sorted(set(ends))
+    days = frame(spark, contests, CONTESTS_DDL).select("date", ratings._era(F.col("date"), ends).alias("era"))
+    sizes = [r["count"] for r in days.groupBy("era").count().collect()]
+    assert len(sizes) == len(ends) + 1 and max(sizes) < 5 * len(contests) / len(sizes)
+    assert ratings.era_ends(frame(spark, contests, CONTESTS_DDL).limit(0)) == []
