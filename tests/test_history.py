@@ -181,3 +181,16 @@ def test_states_as_of_a_run_are_its_snapshots(spark):
     again = history.states_as_of(events, t.states).select("competitor_id", "now.*")
     assert again.count() > 100
     assert sorted(map(repr, again.select(*snapshots.columns).collect())) == sorted(map(repr, snapshots.collect()))
+
+
+def test_states_move_once(spark):
+    """Windows carry the place of a state and not the state; rows that repeat and have no id are found once."""
+    rows = [("x", dt.datetime(2020, 1, d), c, (float(d),)) for d, c in ((1, "f1"), (1, "f1"), (9, None))]
+    states = spark.createDataFrame(rows, "competitor_id string, date timestamp_ntz, contest_id string, now struct<n:double>")
+    asked = [(k, "x", dt.date(2020, m, d)) for k, (m, d) in enumerate(((1, 1), (1, 5), (1, 20), (9, 1)))]
+    events = spark.createDataFrame([*asked, (8, None, dt.date(2020, 9, 1)), (9, "x", None)], "k int, competitor_id string, as_of date")
+    found = history.states_as_of(events, states)
+    got = {r["k"]: r["now"] and r["now"]["n"] for r in found.collect()}
+    assert got == {0: None, 1: 1.0, 2: 9.0, 3: 9.0, 8: None, 9: None} and found.count() == 6
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS held" in plan and "now, now#" not in plan
