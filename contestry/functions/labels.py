@@ -44,8 +44,17 @@ def first_match(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda acc, pair: acc.when(*pair), rest, F.when(*head))
 
 
+def plain_text(raw: Column) -> Column:
+    """The text that the names below are looked for in."""
+    return F.lower(clean_text(raw))
+
+
 def method(raw: Column) -> Column:
-    text = F.lower(clean_text(raw))
+    return method_in(plain_text(raw))
+
+
+def method_in(text: Column) -> Column:
+    """Method out of a ``plain_text``."""
     knockout = text.contains("ko/tko") | text.contains("doctor") | text.startswith("tko")
     return first_match(
         [
@@ -57,7 +66,11 @@ def method(raw: Column) -> Column:
 
 
 def decision_subtype(raw: Column) -> Column:
-    text = F.lower(clean_text(raw))
+    return decision_subtype_in(plain_text(raw))
+
+
+def decision_subtype_in(text: Column) -> Column:
+    """Kind of decision out of a ``plain_text``."""
     kinds = first_match([(text.contains(kind), F.lit(kind)) for kind in DECISION_SUBTYPES])
     return F.when(text.contains("decision"), kinds)
 
@@ -68,11 +81,14 @@ def scheduled_rounds(raw: Column) -> Column:
 
 
 def weight_class(raw: Column) -> Column:
-    text = F.lower(clean_text(raw))
+    return weight_class_in(plain_text(raw))
+
+
+def weight_class_in(text: Column) -> Column:
+    """Class out of a ``plain_text``."""
     canonical = {"Catchweight": "Catch Weight"}
-    return first_match(
-        [(text.contains(name.lower()), F.lit(canonical.get(name, name))) for name in WEIGHT_CLASSES]
-    )
+    known = F.array(*[F.struct(F.lit(n.lower()).alias("part"), F.lit(canonical.get(n, n)).alias("name")) for n in WEIGHT_CLASSES])
+    return F.get(F.filter(known, lambda c: text.contains(c["part"])), F.lit(0))["name"]
 
 
 def is_title(raw: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,9 +71,13 @@ DATE_FORMATS = ("yyyy/MM/dd", "MMM d, yyyy", "yyyy-MM-dd", "MMMM d, yyyy")
 
 
 def mixed_date(value: Column) -> Column:
-    """Text in any known date spelling -> timestamp without zone."""
+    """Text in any known date spelling -> timestamp without zone.
+
+    A spelling is tried only on text that holds its separator: a failed try costs
+    many times a parse.
+    """
     text = strip(value.cast("string"))
-    tries = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS]
+    tries = [F.when(text.contains(re.search("[/,-]", fmt)[0]), F.try_to_timestamp(text, F.lit(fmt))) for fmt in DATE_FORMATS]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 

@@ -44,28 +44,37 @@ def build_competitors(raw: DataFrame) -> DataFrame:
 
 
 def build_contests(raw: DataFrame) -> DataFrame:
-    """One row per contest: ids, date, winner code, targets and context."""
-    method = labels.method(F.col("method"))
-    last_round = number(F.col("finish_round")).cast("int")
-    scheduled = number(F.col("total_rounds")).cast("int")
-    id_a, id_b = strip(F.col("r_id")), strip(F.col("b_id"))
-    return raw.select(
+    """One row per contest: ids, date, winner code, targets and context.
+
+    In steps, so that a text is cleaned once and no step grows into a method that the
+    JVM would not compile.
+    """
+    read = raw.select(
         strip(F.col("contest_id")).alias("contest_id"),
         mixed_date(F.col("date")).alias("date"),
-        id_a.alias("competitor_a_id"),
-        id_b.alias("competitor_b_id"),
-        labels.winner_code(F.col("winner_id"), id_a, id_b, F.col("method")).alias("winner"),
-        method.alias("method"),
+        strip(F.col("r_id")).alias("competitor_a_id"),
+        strip(F.col("b_id")).alias("competitor_b_id"),
+        "winner_id",
         F.col("method").alias("method_raw"),
-        labels.decision_subtype(F.col("method")).alias("decision_subtype"),
-        labels.finish_round(method, last_round).alias("finish_round"),
-        scheduled.alias("scheduled_rounds"),
-        labels.weight_class(F.col("division")).alias("weight_class"),
+        labels.plain_text(F.col("method")).alias("method_text"),
+        number(F.col("finish_round")).cast("int").alias("last_round"),
+        number(F.col("total_rounds")).cast("int").alias("scheduled_rounds"),
+        labels.plain_text(F.col("division")).alias("class_text"),
         (F.coalesce(number(F.col("title_fight")), F.lit(0.0)) != 0).alias("title_fight"),
-        labels.duration_seconds(
-            method, last_round, scheduled, number(F.col("match_time_sec"))
-        ).alias("duration_sec"),
+        number(F.col("match_time_sec")).alias("clock"),
+    )
+    winner = labels.winner_code(*[F.col(c) for c in ("winner_id", "competitor_a_id", "competitor_b_id", "method_raw")])
+    named = read.withColumns(
+        {
+            "winner": winner,
+            "method": labels.method_in(F.col("method_text")),
+            "decision_subtype": labels.decision_subtype_in(F.col("method_text")),
+            "weight_class": labels.weight_class_in(F.col("class_text")),
+        }
     )
+    method, last_round = F.col("method"), F.col("last_round")
+    duration = labels.duration_seconds(method, last_round, F.col("scheduled_rounds"), F.col("clock"))
+    return named.withColumns({"finish_round": labels.finish_round(method, last_round), "duration_sec": duration}).select(*CONTEST_COLUMNS)
 
 
 def build_side_stats(raw: DataFrame) -> DataFrame:

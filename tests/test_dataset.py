@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from contestry.operators import dataset
@@ -33,6 +35,14 @@ def test_contests(spark):
     assert (got["f4"]["winner"], got["f4"]["date"], got["f4"]["scheduled_rounds"]) == ("nc", None, None)
 
 
+def test_contests_are_read_by_compiled_code(spark):
+    """The JVM interprets methods above 8000 bytes, many times slower."""
+    plan = dataset.build_contests(raw(spark, *ROWS))._jdf.queryExecution()
+    shown = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_side_stats(spark):
     got = dataset.build_side_stats(raw(spark, ROWS[0])).orderBy("side").collect()
     assert [(r["side"], r["competitor_id"], r["kd"], r["ctrl_sec"]) for r in got] == [
