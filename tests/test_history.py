@@ -86,6 +86,21 @@ def test_equals_replay_also_when_careers_are_split(spark, limit):
         assert got[key] == pytest.approx(want[key]), key
 
 
+def test_competitors_are_counted_without_joins(spark, monkeypatch):
+    contests, stats = random_league(seed=14, n=60, people=8, star="star")
+    c, s = tables(spark, contests, stats)
+    elo = ratings.run_elo(c, s)
+    counted, count = [], careers.hot_keys
+    monkeypatch.setattr(careers, "hot_keys", lambda rows, limit: counted.append(rows) or count(rows, limit))
+    history.build_history(c, s, elo, 10), history.build_snapshots(c, s, elo, 10), history.states_after(c, s, elo, 10)
+    want = sorted(r[0] for r in history.side_values(c, s, elo).select("competitor_id").collect())
+    assert len(counted) == 3
+    for rows in counted:
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        assert sorted(r["competitor_id"] for r in rows.collect()) == want
+
+
 def test_snapshots_do_not_depend_on_the_split(spark):
     contests, stats = random_league(seed=12, n=120, people=12, star="star")
     c, s = tables(spark, contests, stats)
