@@ -26,6 +26,29 @@ def fitted(spark, rows):
     return models, models.save(spark, scratch_path(spark, "artefact-test"))
 
 
+def test_trees_are_fitted_in_few_tasks_sized_by_rows(spark, rows, monkeypatch):
+    many = spark.range(0, 1000, 1, 24)
+    assert [artefact._spread(many, n).rdd.getNumPartitions() for n in (1000, 5 << 18, 1 << 30)] == [4, 5, 24]
+    assert artefact._spread(many.coalesce(2), 1 << 30).rdd.getNumPartitions() == 2
+    assert sorted(r.id for r in artefact._spread(many, 1000).collect()) == list(range(1000))
+
+    class Fits(Exception):
+        pass
+
+    def seen(spark, fits, threads):
+        fits["finish_round-1"]()
+
+    def boosted(given, label, max_rounds, seed):
+        raise Fits(given.rdd.getNumPartitions())
+
+    monkeypatch.setattr(artefact, "_fit_all", seen)
+    monkeypatch.setattr(artefact, "_boosted", boosted)
+    monkeypatch.setattr(artefact, "LEAST_TASKS", 1)
+    parts = [learn.split(rows, p, train_end=TRAIN_END, val=VAL) for p in ("train", "val")]
+    with pytest.raises(Fits, match="^1$"):
+        artefact.fit(*parts, "v-test", seeds=(0,))
+
+
 def test_models_read_back_score_as_the_fitted_ones(spark, rows, fitted):
     models, folder = fitted
     again = artefact.load(spark, folder)
