@@ -1,4 +1,5 @@
 import math
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,21 @@ def test_medians_of_odd_values(spark):
     assert math.isnan(got["nan"]) and 0.0 <= got["tiny"] <= 5e-324
 
 
+def test_many_columns_go_a_dozen_at_a_time(spark, monkeypatch):
+    values = [[float((i * k) % 17) for k in range(1, 31)] for i in range(40)]
+    names = [f"c{k}" for k in range(30)]
+    df = spark.createDataFrame(values, ", ".join(f"{c} double" for c in names))
+    asked, medians = [], quantiles._medians
+    monkeypatch.setattr(quantiles, "_medians", lambda rows, some: asked.append(list(some)) or medians(rows, some))
+    stats = learn.preprocessing_stats(df, names)
+    assert [len(some) for some in asked] == [12, 12, 6] and sum(asked, []) == names
+    scale = learn.fitted(stats)
+    assert list(scale) == names
+    for k, c in enumerate(names):
+        column = [row[k] for row in values]
+        assert scale[c] == pytest.approx((statistics.median(column), statistics.mean(column), statistics.pstdev(column)))
+
+
 def test_preprocessing(spark):
     train = spark.createDataFrame([(40.0, 1.0, None), (60.0, 1.0, None), (None, 1.0, None)], "x double, c double, n double")
     scale = learn.fitted(learn.preprocessing_stats(train, ["x", "c", "n"]))
