@@ -29,7 +29,7 @@ def fitted(spark, rows):
 def test_trees_are_fitted_in_few_tasks_sized_by_rows(spark, rows, monkeypatch):
     many = spark.range(0, 1000, 1, 24)
     assert [artefact._spread(many, n).rdd.getNumPartitions() for n in (1000, 5 << 18, 1 << 30)] == [4, 5, 24]
-    assert artefact._spread(many.coalesce(2), 1 << 30).rdd.getNumPartitions() == 2
+    assert artefact._spread(spark.range(0, 1000, 1, 2), 1 << 30).rdd.getNumPartitions() == 2
     assert sorted(r.id for r in artefact._spread(many, 1000).collect()) == list(range(1000))
 
     class Fits(Exception):
