@@ -20,7 +20,10 @@ from __future__ import annotations
 
 import ctypes
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import itemgetter
 from typing import Any
 
 import numpy as np
@@ -54,9 +57,10 @@ def bands_for(similarity: float, rows: int, recall: float = RECALL) -> int:
 ROWS = 2
 BANDS = bands_for(SIMILARITY / 100, ROWS)
 
-_PIECE_TYPE = pa.struct([("pos", pa.int32()), ("content", pa.int64())])
+_PIECE_TYPE = pa.struct([("pos", pa.int32()), ("content", pa.int64()), ("times", pa.int32()), ("step", pa.int32())])
+_WINDOW_TYPE = pa.struct([("pos", pa.int32()), ("next", pa.int32()), ("last", pa.int32()), ("times", pa.int32()), ("content", pa.int64())])
 _LINE_TYPE = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("content", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_FOUND = "pieces: array<struct<pos: int, content: bigint>>, lines: array<struct<start: int, size: int, content: bigint, keys: array<bigint>>>"
+_FOUND = "pieces: array<struct<pos: int, content: bigint, times: int, step: int>>, lines: array<struct<start: int, size: int, content: bigint, keys: array<bigint>>>"
 
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -191,7 +195,9 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in tx.chunks(batch.column(0)):
             marks = _Marks(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(tx.longs(np.concatenate([marks.pieces, marks.keys.ravel()])))], names=["key"])
+            keys, counts = np.unique(np.concatenate([marks.pieces, marks.keys.ravel()]), return_counts=True)
+            # a key that a chunk has more than once is known to repeat
+            yield pa.RecordBatch.from_arrays([pa.array(tx.longs(np.repeat(keys, np.minimum(counts, 2))))], names=["key"])
         _hand_back()
 
 
@@ -211,6 +217,25 @@ def _listed(owner: np.ndarray, count: int, rows: pa.StructArray) -> pa.ListArray
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(count + 1)), pa.int32()), rows)
 
 
+def _series(text: np.ndarray, places: np.ndarray, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pieces to keep, how many each stands for, and the words between these.
+
+    Text that repeats itself word by word, or line by line, has the same piece again and
+    again at even steps.  Such a series keeps its first two pieces and its last one, and
+    one for all between, which no other piece makes a run with.
+    """
+    steps = np.diff(places)
+    alike = (text[1:] == text[:-1]) & (contents[1:] == contents[:-1])
+    even = alike[1:] & alike[:-1] & (steps[1:] == steps[:-1])
+    inner = np.zeros(len(places), bool)
+    inner[2:-1] = even[1:] & even[:-1]
+    kept = np.ones(len(places), bool)
+    kept[1:] = ~(inner[1:] & inner[:-1] & alike)
+    first = np.flatnonzero(kept)
+    times = np.diff(np.append(first, len(places)))
+    return first, times, np.append(steps, 0)[first] * (times > 1)
+
+
 def _mark_chunk(chunk: tx.Chunk, bits: np.ndarray) -> pa.StructArray:
     marks = _Marks(chunk)
     words = marks.words
@@ -224,9 +249,10 @@ def _mark_chunk(chunk: tx.Chunk, bits: np.ndarray) -> pa.StructArray:
 
     own = repeated(marks.pieces)
     places, pieces = marks.places[own], marks.pieces[own]
-    pieces = pa.StructArray.from_arrays(
-        [pa.array(places - words.bounds[words.text[places]], pa.int32()), pa.array(tx.longs(pieces))], fields=list(_PIECE_TYPE)
-    )
+    first, times, steps = _series(words.text[places], places, pieces)
+    places, pieces = places[first], pieces[first]
+    sides = [pa.array(x, pa.int32()) for x in (places - words.bounds[words.text[places]], times, steps)]
+    pieces = pa.StructArray.from_arrays([sides[0], pa.array(tx.longs(pieces)), *sides[1:]], fields=list(_PIECE_TYPE))
     own = repeated(marks.keys).any(axis=1)
     starts, ends, keys = marks.starts[own], marks.ends[own], marks.keys[own]
     lines = pa.StructArray.from_arrays(
@@ -371,18 +397,24 @@ def _line_spans(lines: DataFrame, classes: DataFrame, posts: DataFrame, words: D
 
 def _piece_runs(found: DataFrame) -> DataFrame:
     """Runs of overlapping pieces that all occurred earlier, in one place and order."""
-    pieces = found.select("row", "doc_id", F.explode("found.pieces").alias("p")).select("row", "doc_id", "p.pos", "p.content")
-    firsts = pieces.groupBy("content").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = pieces.select("row", "pos", "content").join(firsts.drop("n"), "content").where("row <> first.row or pos <> first.pos")
-    later = later.select("row", "pos", F.col("first.row").alias("from_row"), F.col("first.pos").alias("from_pos"), F.col("first.doc_id").alias("source"))
+    pieces = found.select("row", "doc_id", F.explode("found.pieces").alias("p")).select("row", "doc_id", "p.*")
+    firsts = pieces.groupBy("content").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.sum("times").alias("n")).where("n > 1")
+    later = pieces.drop("doc_id").join(firsts.drop("n"), "content").where("row <> first.row or pos <> first.pos")
+    later = later.select("row", "pos", "times", "step", F.col("first.row").alias("from_row"), F.col("first.pos").alias("from_pos"), F.col("first.doc_id").alias("source"))
     places = Window.partitionBy("row").orderBy("pos")
     shift = F.col("pos") - F.col("from_pos")
     same = (F.lag("from_row").over(places) == F.col("from_row")) & (F.lag(shift).over(places) == shift) & (F.col("pos") - F.lag("pos").over(places) <= PIECE)
     marked = later.withColumn("fresh", F.when(same, 0).otherwise(1))
     numbered = marked.withColumn("run", F.sum("fresh").over(places))
+    # a piece that stands for a series is a run by itself, and so is each one that it stands for
     return numbered.groupBy("row", "run", "from_row", "source").agg(
-        F.min("pos").alias("start"), (F.max("pos") + PIECE).alias("end"), F.min("from_pos").alias("from_start"), (F.max("from_pos") + PIECE).alias("from_end")
-    )
+        F.min("pos").alias("start"), (F.max("pos") + PIECE).alias("end"), F.min("from_pos").alias("from_start"), (F.max("from_pos") + PIECE).alias("from_end"),
+        F.max("times").alias("times"), F.max("step").alias("step"),
+    )
+
+
+#: Runs of a series that are extended at once.
+_AT_ONCE = 1 << 14
 
 
 def _equal(ours: np.ndarray, theirs: np.ndarray) -> int:
@@ -392,6 +424,14 @@ def _equal(ours: np.ndarray, theirs: np.ndarray) -> int:
     return n if same.all() else int(np.argmin(same))
 
 
+def _agreeing(hashes: np.ndarray, places: np.ndarray, step: int, words: np.ndarray) -> np.ndarray:
+    """How many words agree with ``words`` from each place on, forwards or backwards."""
+    there = places[:, None] + step * np.arange(len(words))
+    inside = (there >= 0) & (there < len(hashes))
+    same = inside & (hashes[np.where(inside, there, 0)] == words)
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1)
+
+
 def _merged(ranges: list[tuple[int, int]], bridge: int) -> list[tuple[int, int]]:
     """The ranges in order, those at most ``bridge`` words apart joined."""
     merged: list[tuple[int, int]] = []
@@ -409,7 +449,7 @@ class _Spans:
     def __init__(self, spans: pa.ListArray) -> None:
         flat = spans.flatten()
         self.bounds = _ends(spans)
-        self.start, self.end = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+        self.start, self.end, self.times, self.step = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end", "times", "step"))
         self.source = flat.field("source")
         self.sides = {}
         for side in ("before", "after"):
@@ -424,18 +464,34 @@ class _Spans:
         """The text's ranges (start, end, run), extended as far as words agree with the first occurrence.
 
         And the starts of all windows that hold a piece of a run and leave its range.
+        Ranges of a series that meet are one, as they have one source.
         """
-        found, windows = [], [np.empty(0, np.int64)]
+        found, opened, closed = [], [], []
         for k in range(self.bounds[text], self.bounds[text + 1]):
-            start, end = int(self.start[k]), int(self.end[k])
-            low = start - _equal(hashes[max(0, start - PIECE) : start][::-1], self.around("before", k))
-            high = end + _equal(hashes[end : end + PIECE], self.around("after", k))
-            if high - low >= PASSAGE:
-                found.append((low, high, k))
-            windows.append(np.arange(start + PIECE - PASSAGE, low))
-            windows.append(np.arange(max(high + 1, end) - PASSAGE, end - PIECE + 1))
-        starts = np.unique(np.concatenate(windows))
-        return np.array(found, np.int64).reshape(-1, 3), starts[(starts >= 0) & (starts <= len(hashes) - PASSAGE)]
+            before, after = self.around("before", k), self.around("after", k)
+            begin, size = int(self.start[k]), int(self.end[k]) - int(self.start[k])
+            if self.times[k] == 1:
+                low = begin - _equal(hashes[max(0, begin - PIECE) : begin][::-1], before)
+                high = begin + size + _equal(hashes[begin + size : begin + size + PIECE], after)
+                if high - low >= PASSAGE:
+                    found.append((low, high, k))
+                opened += (begin + PIECE - PASSAGE, max(high + 1, begin + size) - PASSAGE)
+                closed += (low, begin + size - PIECE + 1)
+                continue
+            for first in range(0, int(self.times[k]), _AT_ONCE):
+                start = begin + int(self.step[k]) * np.arange(first, min(first + _AT_ONCE, int(self.times[k])))
+                end = start + size
+                low = start - _agreeing(hashes, start - 1, -1, before)
+                high = end + _agreeing(hashes, end, 1, after)
+                whole = high - low >= PASSAGE
+                found += [(a, b, k) for a, b in _merged(list(zip(low[whole].tolist(), high[whole].tolist(), strict=True)), 0)]
+                opened += [*(start + PIECE - PASSAGE).tolist(), *(np.maximum(high + 1, end) - PASSAGE).tolist()]
+                closed += [*low.tolist(), *(end - PIECE + 1).tolist()]
+        room = max(0, len(hashes) - PASSAGE + 1)
+        low, high = (np.clip(np.array(x, np.int64), 0, room) for x in (opened, closed))
+        some = low < high
+        open_ranges = np.bincount(low[some], minlength=room + 1) - np.bincount(high[some], minlength=room + 1)
+        return np.array(found, np.int64).reshape(-1, 3), np.flatnonzero(np.cumsum(open_ranges)[:room])
 
 
 def _ends(lists: pa.ListArray) -> np.ndarray:
@@ -453,7 +509,7 @@ def _without(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, ranges: lis
 
 
 _RANGES = "array<struct<start: int, end: int, source: bigint>>"
-_EXTENDED = f"struct<ranges: {_RANGES}, windows: array<struct<pos: int, content: bigint>>>"
+_EXTENDED = f"struct<ranges: {_RANGES}, windows: array<struct<pos: int, next: int, last: int, times: int, content: bigint>>>"
 _CUT = "struct<text: string, removed: array<struct<start: int, end: int>>, sources: array<bigint>>"
 
 
@@ -463,37 +519,54 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.empty(0, np.int64), bounds
 
 
+def _windows(text: np.ndarray, places: np.ndarray, contents: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Equal windows of a text that overlap or touch as one: owner, and first, second, last place, number and content."""
+    order = np.lexsort((places, contents, text))
+    text, places, contents = text[order], places[order], contents[order]
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | (contents[1:] != contents[:-1]) | (places[1:] - places[:-1] > PASSAGE)
+    first = np.flatnonzero(fresh)
+    times = np.diff(np.append(first, len(text)))
+    columns = [places[first], places[first + (times > 1)], places[first + times - 1], times]
+    return text[first], [*(pa.array(x, pa.int32()) for x in columns), pa.array(contents[first], pa.int64())]
+
+
 def _extend_runs(texts: pa.Array, runs: pa.Array) -> pa.Array:
-    known, ranges, places, contents = _Spans(runs), [], [], []
+    known, ranges, owners, places, contents = _Spans(runs), [], [], [], []
     for chunk in tx.chunks(texts):
         words = tx.find_words(chunk._replace(data=tx.lower(chunk.data)), tx.SPACED)
+        hashes, held = tx.longs(words.hashes), []
         for text in range(chunk.count):
-            hashes = words.hashes[words.bounds[text] : words.bounds[text + 1]]
-            own, starts = known.ranges(chunk.first + text, tx.longs(hashes))
+            own, starts = known.ranges(chunk.first + text, hashes[words.bounds[text] : words.bounds[text + 1]])
             ranges.append(own)
-            places.append(starts)
-            contents.append(tx.longs(tx.grams(hashes, PASSAGE)[starts]) if len(starts) else np.empty(0, np.int64))
+            held.append(starts)
+        places += held
+        owners.append(np.repeat(np.arange(chunk.count), [len(x) for x in held]))
+        starts = _joined(held)[0] + words.bounds[owners[-1]]
+        owners[-1] += chunk.first
+        contents.append(tx.longs(_range_hash(words.hashes, starts, starts + PASSAGE)))
     ranges, bounds = _joined(ranges)
     low, high, run = ranges.reshape(-1, 3).T
     sides = [pa.array(low, pa.int32()), pa.array(high, pa.int32()), known.source.take(pa.array(run))]
     ranges = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(sides, names=["start", "end", "source"]))
+    owner, columns = _windows(*(_joined(x)[0] for x in (owners, places, contents)))
     _hand_back()
-    places, bounds = _joined(places)
-    windows = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(_joined(contents)[0])], fields=list(_PIECE_TYPE))
-    windows = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), windows)
+    windows = _listed(owner, len(texts), pa.StructArray.from_arrays(columns, fields=list(_WINDOW_TYPE)))
     return pa.StructArray.from_arrays([ranges, windows], names=["ranges", "windows"])
 
 
 def _passage_spans(runs: DataFrame, sides: DataFrame, texts: DataFrame) -> DataFrame:
     """(row, start, end, source, extra) of passages that occurred earlier inside other text; extra for single windows."""
     runs = runs.join(sides, ["from_row", "from_start", "from_end"])
-    runs = runs.groupBy("row").agg(F.collect_list(F.struct("start", "end", "source", "before", "after")).alias("runs"))
+    runs = runs.groupBy("row").agg(F.collect_list(F.struct("start", "end", "times", "step", "source", "before", "after")).alias("runs"))
     extended = texts.join(runs, "row").select("row", "doc_id", F.arrow_udf(_extend_runs, _EXTENDED)("text", "runs").alias("x"))
     extended = materialise(extended.select("row", "doc_id", "x.*"), "passage_windows")
     windows = extended.select("row", "doc_id", F.explode("windows").alias("w")).select("row", "doc_id", "w.*")
-    firsts = windows.groupBy("content").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.select("row", "pos", "content").join(firsts.drop("n"), "content").where("row <> first.row or pos <> first.pos")
-    later = later.select("row", F.col("pos").alias("start"), (F.col("pos") + PASSAGE).alias("end"), F.col("first.doc_id").alias("source"), F.lit(True).alias("extra"))
+    firsts = windows.groupBy("content").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.sum("times").alias("n")).where("n > 1")
+    # where the first window of all overlaps equal ones, these go from the second on
+    later = windows.drop("doc_id").join(firsts.drop("n"), "content").where("row <> first.row or pos <> first.pos or times > 1")
+    start = F.when((F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos")), F.col("next")).otherwise(F.col("pos"))
+    later = later.select("row", start.alias("start"), (F.col("last") + PASSAGE).alias("end"), F.col("first.doc_id").alias("source"), F.lit(True).alias("extra"))
     return extended.select("row", F.explode("ranges").alias("r")).select("row", "r.*", F.lit(False).alias("extra")).unionByName(later)
 
 
@@ -503,36 +576,55 @@ def _beyond(spans: list[tuple], extras: list[tuple]) -> list[tuple]:
     So few words beside a passage may agree with those beside a copy in another source by chance.
     """
     found: list[tuple] = []
-    covered = sorted((a, b) for a, b, _ in spans)
+    covered = _merged([(a, b) for a, b, _ in spans], 0)
+    starts, ends = [a for a, _ in covered], [b for _, b in covered]
+    known, more = _Ranges(spans), _Ranges(extras)
     for start, end in _merged([(a, b) for a, b, _ in extras], 0):
         place, parts = start, []
-        for a, b in covered:
-            if b > place and a < end:
-                parts.append((place, a))
-                place = b
+        for a, b in covered[bisect_right(ends, start) : bisect_left(starts, end)]:
+            parts.append((place, a))
+            place = b
         for a, b in [*parts, (place, end)]:
-            beside = {source for x, y, source in spans if x <= b and y >= a}
-            found += [(max(a, x), min(b, y), source) for x, y, source in extras if x < b and y > a and (b - a > BRIDGE or source in beside)]
+            if a < b:
+                beside = None if b - a > BRIDGE else {source for _, _, source in known.touching(a, b)}
+                found += [(max(a, x), min(b, y), source) for x, y, source in more.touching(a, b) if x < b and y > a and (beside is None or source in beside)]
     return found
 
 
+class _Ranges:
+    """Ranges (start, end, source) in order of start, to be asked by place."""
+
+    def __init__(self, ranges: list[tuple]) -> None:
+        self.ranges = sorted(ranges, key=itemgetter(0, 1))
+        self.starts = [r[0] for r in self.ranges]
+        self.reach = list(accumulate((r[1] for r in self.ranges), max))
+
+    def touching(self, start: int, end: int) -> list[tuple]:
+        """Those with a place in common with start to end, both ends counted."""
+        some = self.ranges[bisect_left(self.reach, start) : bisect_right(self.starts, end)]
+        return [r for r in some if r[1] >= start]
+
+
 def _cut_texts(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    flat, bounds, left, removed, sources = spans.flatten(), _ends(spans), [], [], []
+    flat, bounds = spans.flatten(), _ends(spans)
+    left, removed, sources = [None] * len(texts), [[]] * len(texts), [[]] * len(texts)
     fields = [flat.field(k) for k in ("start", "end", "source", "extra")]
-    for chunk in tx.chunks(texts):
+    some = np.flatnonzero(np.diff(bounds))
+    for chunk in tx.chunks(texts.take(pa.array(some))):
         data, offsets = chunk.data, chunk.offsets
         words = tx.find_words(chunk._replace(data=tx.lower(data)), tx.SPACED)
         for text in range(chunk.count):
+            place = some[chunk.first + text]
             own = slice(words.bounds[text], words.bounds[text + 1])
-            span, size = bounds[chunk.first + text], bounds[chunk.first + text + 1] - bounds[chunk.first + text]
+            span, size = bounds[place], bounds[place + 1] - bounds[place]
             own_spans = list(zip(*(f.slice(span, size).to_pylist() for f in fields), strict=True))
             used = [(a, b, source) for a, b, source, extra in own_spans if not extra]
             used += _beyond(used, [(a, b, source) for a, b, source, extra in own_spans if extra])
             ranges = _merged([(a, b) for a, b, _ in used], BRIDGE)
             first, last = offsets[text], offsets[text + 1]
-            left.append(_without(data[first:last], words.starts[own] - first, words.ends[own] - first, ranges) if ranges else None)
-            removed.append([{"start": a, "end": b} for a, b in ranges])
-            sources.append(sorted({source for _, _, source in used if source is not None}))
+            left[place] = _without(data[first:last], words.starts[own] - first, words.ends[own] - first, ranges) if ranges else None
+            removed[place] = [{"start": a, "end": b} for a, b in ranges]
+            sources[place] = sorted({source for _, _, source in used if source is not None})
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     _hand_back()
     return pa.StructArray.from_arrays(

@@ -1,6 +1,11 @@
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from contestry.llm import substring
+from contestry.llm import text as tx
 from tests_llm_helpers import prose, rows_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,3 +126,47 @@ def test_paragraphs_of_short_lines_are_compared(spark):
     found = by_id(spark, rows)
     assert all(found[k].n_removed == 200 for k in (2, 3, 4)) and all(found[k].n_removed == 0 for k in (1, 5, 7, 8))
     assert 50 <= found[6].n_removed <= 900  # parts of it; edits this dense leave few parts similar enough
+
+
+def test_text_that_repeats_itself_keeps_few_pieces_and_windows(spark):
+    """Texts of one word, or one short line, again and again: cut as before, without a row for every place."""
+    periods = [prose(1600 + k, k) for k in (1, 3, 7, 20)]
+    rows = [(k, f"{prose(1700 + k, 40)} {' '.join([p] * (2000 // len(p.split())))} {prose(1800 + k, 40)}") for k, p in enumerate(periods)]
+    rows += [(10 + k, f"{prose(1710 + k, 40)} {' '.join([p] * 30)}") for k, p in enumerate(periods)]
+    bits = np.full(1 << 24, 255, np.uint8)
+    for chunk in tx.chunks(pa.array([text for _, text in rows])):
+        pieces = substring._mark_chunk(chunk, bits).field("pieces").to_pylist()
+        marks = substring._Marks(chunk)
+        assert [sum(p["times"] for p in own) for own in pieces] == np.bincount(marks.words.text[marks.places], minlength=len(rows)).tolist()
+        assert max(len(own) for own in pieces) < 40 and min(sum(p["times"] for p in own) for own in pieces[:4]) >= 100
+    found = by_id(spark, rows)
+    after = [(k, r.text) for k, r in found.items()]
+    assert {k for k, r in found.items() if r.n_removed} == repeated_windows(rows) and len(repeated_windows(after)) == 0
+    assert all(words(found[k].text)[:40] == words(rows[k][1])[:40] for k in range(4))
+
+
+def test_equal_windows_that_overlap_are_one():
+    places = np.array([0, 1, 2, 3, 100, 160, 5, 7])
+    owner, columns = substring._windows(np.array([0] * 6 + [1] * 2), places, np.array([9, 8, 9, 9, 9, 9, 4, 4]))
+    assert owner.tolist() == [0, 0, 0, 0, 1]
+    assert list(zip(*(c.to_pylist() for c in columns), strict=True)) == [(1, 1, 1, 1, 8), (0, 2, 3, 3, 9), (100, 100, 100, 1, 9), (160, 160, 160, 1, 9), (5, 7, 7, 2, 4)]
+
+
+def test_parts_beyond_spans_equal_those_of_a_plain_search():
+    chance = random.Random(5)
+    for _ in range(200):
+        spans, extras = ([(a, a + chance.randint(1, 30), chance.randint(1, 4)) for a in (chance.randint(0, 120) for _ in range(n))] for n in (chance.randint(0, 6), chance.randint(0, 8)))
+        free = [p for p in range(160) if any(a <= p < b for a, b, _ in extras) and not any(a <= p < b for a, b, _ in spans)]
+        runs = [[free[i] for i in range(s, e)] for s, e in _bounds(free)]
+        wanted = set()
+        for run in runs:
+            low, high = run[0], run[-1] + 1
+            beside = {s for a, b, s in spans if a <= high and b >= low}
+            wanted |= {(p, s) for a, b, s in extras if high - low > substring.BRIDGE or s in beside for p in range(max(a, low), min(b, high))}
+        found = substring._beyond(spans, extras)
+        assert {(p, s) for a, b, s in found for p in range(a, b)} == wanted
+
+
+def _bounds(places):
+    starts = [i for i, p in enumerate(places) if i == 0 or places[i - 1] != p - 1]
+    return list(zip(starts, [*starts[1:], len(places)], strict=False))
