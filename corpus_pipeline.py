@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm import bpe, decontam, neardup, quality, substring
+from contestry.llm import bpe, decontam, filters, neardup, quality, substring
 from contestry.session import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar five-word shingle sets."""
     copies = neardup.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    return filters.without(docs.select(*COLUMNS), materialise(copies, "pipeline_copies"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item; a row without id can't be named and stays."""
     found, _ = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    found = materialise(found.where("n_hit > 0").select("doc_id"), "pipeline_contaminated")
+    return filters.without(docs.select(*COLUMNS), found)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
